@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe import op1_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op7_exact_dedup": op7_exact_dedup}
 ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
