@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import Kept, table
 
 
 #: Where white space other than one space between two other characters touches a space.
@@ -145,7 +145,7 @@ class Codec:
         self.ranks = dict(zip(self.keys, self.ids, strict=True))
         self.pattern = regex.compile(vocabulary.pattern)
         self.by_word = vocabulary.pattern == public_tokenizers.PATTERN
-        self.pretokens, self.words = _Kept(self._pretoken, most), _Kept(self._word, 2 * most)
+        self.pretokens, self.words = Kept(self._pretoken, most), Kept(self._word, 2 * most)
         by_id = sorted(zip(self.ids, self.keys, strict=True))
         size = by_id[-1][0] + 1 if by_id else 0
         self.lengths = np.zeros(size, np.int64)
@@ -191,22 +191,6 @@ class Codec:
         return self.bytes[at].tobytes()
 
 
-class _Kept(dict):
-    """Results by key; long keys aren't kept, and all go when there are too many."""
-
-    def __init__(self, made_by, most: int) -> None:
-        super().__init__()
-        self.made_by, self.most = made_by, most
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.made_by(key)
-        if len(key) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
-        return value
-
-
 #: A worker's codecs by the number of their broadcast.
 _CODECS: dict[int, Codec] = {}
 

@@ -24,59 +24,55 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import stored, table
+from .shared import Kept, stored, table
 
 #: Parts in which pieces of one length are ranked, so that a common length isn't one task's.
 PARTS = 64
 
 
 class WordIds:
-    """Ids by the tokenizer's own normaliser, pre-tokeniser and model, kept by pre-token."""
+    """Ids by the tokenizer's model, kept by pre-token; where a text needs more than plain lower
+    case and the pattern below, or the tokenizer has another pattern, by the whole tokenizer."""
 
     #: Fixed value: the pattern of the tokenizer file's pre-tokeniser.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000) -> None:
+    def __init__(self, tokenizer_json: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(self.PATTERN).findall
         self.by_word = self.PATTERN in tokenizer_json.replace("\\\\", "\\")
-        self.kept: dict[str, bytes] = {}
-        self.most = most
+        self.kept = Kept(self._encoded, most)
 
     def __call__(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
+        if not (self.by_word and _PLAIN(text) and is_normalized("NFC", text)):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if _PLAIN(text) and is_normalized("NFC", text):
-            words = self.split(text.lower())
-        else:
-            words = self.split(self.tokenizer.normalizer.normalize_str(text))
-        kept = self.kept
-        try:
-            return b"".join(map(kept.__getitem__, words))
-        except KeyError:
-            new = list(dict.fromkeys(w for w in words if w not in kept))
-        encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        found = {w: array("I", e.ids).tobytes() for w, e in zip(new, encoded, strict=True)}
-        if len(kept) + len(found) > self.most:
-            kept.clear()
-        out = b"".join([kept[w] if w in kept else found[w] for w in words]) if kept else b"".join([found[w] if w in found else self._one(w) for w in words])
-        kept.update((w, x) for w, x in found.items() if len(w) <= 40)
-        return out
-
-    def _one(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        words = _SPLIT_PLAIN(text.lower())
+        return b"".join(map(self.kept.__getitem__, words))
 
+    def _encoded(self, word: str) -> bytes:
+        """Of a pre-token; byte-level, so the model gets a character for each of its bytes."""
+        found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))
+        return array("I", [t.id for t in found]).tobytes()
 
+
+def _byte_chars() -> dict[int, int]:
+    """Characters that stand for bytes: printable ones for themselves, the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_BYTE_CHARS = _byte_chars()
 #: Texts whose lower case depends on no rule of the tokenizer's own.
 _PLAIN = re.compile("[\x00-\u012f]*").fullmatch
+#: The pattern of WordIds for these, with their letters, numbers and white space spelled out.
+_LETTERS, _NUMBERS, _WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_SPLIT_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_WHITE}{_LETTERS}{_NUMBERS}]+").findall
 _WORD_IDS: dict[int, WordIds] = {}
 
 

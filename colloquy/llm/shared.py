@@ -50,3 +50,19 @@ def bounded_sample(df: DataFrame, by: list[str], key: str, at_most: int) -> Data
 
     order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key))
     return df.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= at_most).drop("__rank")
+
+
+class Kept(dict):
+    """Results by key; long keys aren't kept, and all go when there are too many."""
+
+    def __init__(self, made_by, most: int) -> None:
+        super().__init__()
+        self.made_by, self.most = made_by, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.made_by(key)
+        if len(key) <= 40:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
