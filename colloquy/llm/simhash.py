@@ -53,138 +53,193 @@ def hashes(text: str | None, words: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(view[a:b], seed) for a, b in zip(starts, ends[words - 1 :])), np.uint64, len(found) - words + 1)
 
 
-def fingerprint(h: np.ndarray) -> int:
-    """As a signed 64-bit integer."""
+def mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Hashes for another word of a wide fingerprint; the first word takes h itself."""
+    if not word:
+        return h
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * word)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
+    """As signed 64-bit integers."""
     if not len(h):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 16):  # a bounded part at a time
-        part = np.ascontiguousarray(h[k : k + (1 << 16)], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+        return [0] * words
+    out = []
+    for w in range(words):
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(h), 1 << 16):  # a bounded part at a time
+            part = np.ascontiguousarray(mixed(h[k : k + (1 << 16)], w), "<u8")
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
+    return out
 
 
-def fingerprints(text: Column, words: int = 4, seed: int = 42) -> Column:
-    @F.pandas_udf("long")
+def fingerprints(text: Column, shingle: int = 4, seed: int = 42, words: int = 1) -> Column:
+    """array<bigint> of 64 bits each."""
+
+    @F.pandas_udf("array<bigint>")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(hashes(t, words, seed)) for t in texts], dtype="int64")
+        return pd.Series([fingerprint(hashes(t, shingle, seed), words) for t in texts], dtype=object)
 
     return found(text)
 
 
 class Ring:
-    """Segments of 64 bits on a ring, for a threshold of k differing bits."""
-
-    def __init__(self, k: int) -> None:
-        self.k, self.m = k, k + 2
-        cuts = [round(64 * s / self.m) for s in range(self.m + 1)]
-        self.masks = [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.keys = [self.masks[a] | self.masks[b] for a, b in combinations(range(self.m), 2)]
+    """Segments of the bits of fingerprints on a ring, for a threshold of k differing bits.
+
+    Without a number of segments there are two more than k. `keys` are masks, by word, of bits
+    on which linked fingerprints may agree: of one word all pairs of segments, of which one is
+    always the same in both; of several words `bands` samples of `bits` bits each.
+    """
+
+    def __init__(self, k: int, words: int = 1, segments: int | None = None, bands: int = 32, bits: int = 16) -> None:
+        self.k, self.words = k, words
+        per_word = -(-(segments or k + 2) // words)
+        self.m = per_word * words
+        cuts = [round(64 * s / per_word) for s in range(per_word + 1)]
+        masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.segments = [(w, np.uint64(mask)) for w in range(words) for mask in masks]
+        if words == 1:
+            self.keys = [[masks[a] | masks[b]] for a, b in combinations(range(self.m), 2)]
+        else:
+            rng = np.random.default_rng(5)
+            chosen = [rng.choice(64 * words, bits, replace=False) for _ in range(bands)]
+            self.keys = [[sum(1 << int(b % 64) for b in c if b // 64 == w) for w in range(words)] for c in chosen]
 
     def near(self, x: np.ndarray) -> np.ndarray:
-        """Of differing bits (xor of fingerprints): whether at most k are set."""
+        """Of differing bits (xor of fingerprints, a row each): whether at most k are set."""
         at = np.flatnonzero(self.chained(x))
-        out = np.zeros(x.shape, bool)
-        out.flat[at] = np.bitwise_count(x.flat[at]) <= self.k
+        out = np.zeros(len(x), bool)
+        out[at] = np.bitwise_count(x[at]).sum(axis=1, dtype=np.int64) <= self.k
         return out
 
     def chained(self, x: np.ndarray) -> np.ndarray:
         """Whether, from some segment on, the first l differ in at most l * k / m bits for every l."""
-        counts = [np.bitwise_count(x & np.uint64(mask)) for mask in self.masks]
-        found = np.zeros(x.shape, bool)
+        counts = [np.bitwise_count(x[:, w] & mask).astype(np.int16) for w, mask in self.segments]
+        found = np.zeros(len(x), bool)
         for first in range(self.m):
-            total = counts[first]
-            good = total * self.m <= self.k
+            at = np.flatnonzero(~found & (counts[first] * self.m <= self.k))
+            total = counts[first][at]
             for more in range(1, self.m):
-                if not good.any():
+                if not len(at):
                     break
-                total = total + counts[(first + more) % self.m]
-                good &= total * self.m <= (more + 1) * self.k
-            found |= good
+                total = total + counts[(first + more) % self.m][at]
+                good = total.astype(np.int32) * self.m <= (more + 1) * self.k
+                at, total = at[good], total[good]
+            found[at] = True
         return found
 
 
-def forest(fps: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
-    """The edges of a spanning forest of the linked fingerprints."""
-    left, a, b = fps, [], []
+def forest(ids: np.ndarray, fps: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """The edges, by id, of a spanning forest of the linked fingerprints."""
+    left, a, b = np.arange(len(ids)), [], []
     while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            one, front = front[0], front[1:]
-            near = ring.near(left ^ one)
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            one = front.pop()
+            near = ring.near(fps[left] ^ fps[one])
             if near.any():
-                b.append(left[near])
-                a.append(np.full(len(b[-1]), one))
-                front = np.concatenate([front, b[-1]])
+                b.append(ids[left[near]])
+                a.append(np.full(len(b[-1]), ids[one]))
+                front.extend(left[near].tolist())
                 left = left[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
 
 
-def _linked(key: np.ndarray, fps: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within the runs of equal keys."""
-    bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+def _linked(cell: np.ndarray, ids: np.ndarray, fps: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within the runs of equal cells."""
+    bounds = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
     sizes = np.diff(bounds)
-    a, b = [fps[:0]], [fps[:0]]
-    small = np.repeat(sizes <= 16, sizes)
-    for shift in range(1, 16):
-        at = np.flatnonzero(small[shift:] & (key[shift:] == key[:-shift]))
+    a, b = [ids[:0]], [ids[:0]]
+    small = np.repeat(sizes <= 32, sizes)
+    for shift in range(1, 32):
+        at = np.flatnonzero(small[shift:] & (cell[shift:] == cell[:-shift]))
         if not len(at):
             break
-        at = at[ring.near(fps[at] ^ fps[at + shift])]
-        a.append(fps[at])
-        b.append(fps[at + shift])
-    for k in np.flatnonzero(sizes > 16):
-        x, y = forest(fps[bounds[k] : bounds[k + 1]], ring)
+        for k in range(0, len(at), 1 << 17):
+            part = at[k : k + (1 << 17)]
+            part = part[ring.near(fps[part] ^ fps[part + shift])]
+            a.append(ids[part])
+            b.append(ids[part + shift])
+    for k in np.flatnonzero(sizes > 32):
+        x, y = forest(ids[bounds[k] : bounds[k + 1]], fps[bounds[k] : bounds[k + 1]], ring)
         a.append(x)
         b.append(y)
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(distinct: DataFrame, k: int = 4) -> DataFrame:
-    """Edges a, b between the values of the column fp (different longs) that connect all that link."""
-    ring = Ring(k)
-    signed = [m - (1 << 64) if m >> 63 else m for m in ring.keys]
-    key = lambda n: F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed[n])))
-    keyed = distinct.select("fp", F.explode(F.array(*(key(n) for n in range(len(signed))))).alias("key"))
+def links(distinct: DataFrame, ring: Ring) -> DataFrame:
+    """Edges a, b between ids that connect all that link. distinct: id (long), fp (array<bigint>), all different."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    key = lambda n, masks: F.xxhash64(F.lit(n), *(F.col("fp")[w].bitwiseAND(F.lit(signed(m)).cast("long")) for w, m in enumerate(masks)))
+    keyed = distinct.select("id", "fp", F.explode(F.array(*(key(n, masks) for n, masks in enumerate(ring.keys)))).alias("key"))
     crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     shared = keyed.join(crowds, "key")
-    part = F.pmod(F.xxhash64(F.lit("part"), "fp"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("x"), F.greatest(o, part).alias("y")))
-    cells = shared.select("fp", "key", F.explode(others).alias("c")).select("fp", F.xxhash64("key", "c.x", "c.y").alias("cell"))
+    cells = shared.select("id", "fp", "key", F.explode(others).alias("c"))
+    cells = cells.select(F.xxhash64("key", "c.x", "c.y").alias("cell"), "id", *(F.col("fp")[w].alias(f"w{w}") for w in range(ring.words)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[np.ndarray] | None = None
 
-        def edges(cell: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = _linked(cell, fps, ring)
+        def edges(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            a, b = _linked(cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64), ring)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            cell = np.concatenate([held_key, batch.column(0).to_numpy()])
-            fps = np.concatenate([held, batch.column(1).to_numpy().view(np.uint64)])
-            if not len(cell):
+            cols = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
                 continue
-            last = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
-            held_key, held = cell[last:], fps[last:]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on in the next batch
+            held = [c[last:] for c in cols]
             if last:
-                yield from edges(cell[:last], fps[:last])
-        if len(held):
-            yield from edges(held_key, held)
+                yield from edges([c[:last] for c in cols])
+        if held is not None:
+            yield from edges(held)
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(search, "a long, b long")
 
-    return cells.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(search, "a long, b long")
 
+def grouped(docs: DataFrame, ring: Ring, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of docs: doc_id, text_hash, fp (array<bigint>), component_id."""
+    fp = fingerprints(F.col(text_col), shingle, seed, ring.words)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fp.alias("fp"))
+    rows = stored(rows.withColumn("id", F.col("fp")[0] if ring.words == 1 else F.xxhash64("fp")), "fingerprints")
+    classes = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
+    roots = components(links(classes.select("id", "fp"), ring))
+    found = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(found.join(least, "root").select("id", "component_id"), "id").select("doc_id", "text_hash", "fp", "component_id")
 
-def near_duplicates(docs: DataFrame, k: int = 4, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def near_duplicates(docs: DataFrame, k: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint as 16 hex digits, component_id."""
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), words, seed).alias("fp")), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    edges = links(classes.select("fp"), k)
-    roots = components(edges)
-    grouped = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = grouped(docs, Ring(k), shingle, seed, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Wide fingerprints of 256 bits estimate the share of common shingles: 45 differing bits stand
+#: for a similarity of 0.8 with a margin for the estimate's spread of about six bits.
+WIDE = {"k": 45, "words": 4, "segments": 16}
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies, that with the smallest id.
+
+    Rows of one id and text are one document. Wide fingerprints are met by samples of their
+    bits: of pairs with a similarity of 0.9 over 99 in 100 meet, of 0.8 about nine in ten.
+    """
+    found = grouped(docs, Ring(**WIDE), shingle, seed, id_col, text_col)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id"), F.col("text_hash").alias("__sim_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.xxhash64(F.col(text_col)) == F.col("__sim_hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
