@@ -35,8 +35,8 @@ ORDER = 7
 #: Evidence in nats from which a word is marked, and the number of a text's features.
 MARKED = (1.0, 2.5)
 FEATURES = 2 + 2 * len(MARKED)
-SAMPLE = 1500
-ENTRIES = 1_000_000
+SAMPLE = 1200
+ENTRIES = 600_000
 CHARS = 20_000  # the longest text that the sample takes; scoring reads all texts whole
 
 
