@@ -1,6 +1,344 @@
-"""The queries over the engine's operators, and their oracle SQL."""
+"""The queries over the engine's operators, and their oracle SQL.
+
+Values computed in another order by the two engines are rounded alike where they may differ in
+the last digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicon, text
+from ..operators import features, scoring, stats, turns
+from ..operators.features import DIMENSIONS, FEATURES, ITEMS
+from .feature_sql import IN_SQL, ROWS_SQL, SESSIONS_SQL, count, listed, words
+from .views import ITEMS_SQL, TURNS_SQL
+from .views import items as items_view
+from .views import turns as turns_view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _docs_as_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.col("doc_id").cast("string").alias("session_id"), F.col("source").alias("student"), F.lit("user").alias("role"), F.lit(0).alias("turn"), F.col("text").alias("content"))
+
+
+# --- turn logs ----------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INTEGER) AS turn, lower(trim(role)) AS role, 'pinned' AS model, coalesce(text, '') AS content
+FROM conversations WHERE lower(trim(role)) <> 'system'""")
+def q_turn_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    raw = c.select(F.col("conv_id").alias("session_id"), "turn", turns.role_of(F.col("role")).alias("role"), F.col("text").alias("content"))
+    found = features.in_order(turns.canonical(raw, "pinned"))
+    return found.select("session_id", "turn", "role", "model", text.text_of(F.col("content")).alias("content"))
+
+
+@query(f"""WITH {TURNS_SQL}, each AS (SELECT session_id, count(*) AS n FROM turns GROUP BY 1),
+a AS (SELECT count(*) AS sessions, min(n) AS min_turns, median(n) AS median_turns, max(n) AS max_turns FROM each),
+b AS (SELECT count(*) AS turns, count(DISTINCT student) AS students, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns,
+ count(*) FILTER (WHERE role = 'system') AS system_turns, CAST(0 AS BIGINT) AS model_known, count(*) FILTER (WHERE length(trim(content)) = 0) AS empty_content FROM turns)
+SELECT *, round(user_turns / assistant_turns, 6) AS user_assistant_ratio, NOT (user_turns / assistant_turns BETWEEN 0.5 AND 2.0) AS ratio_flag FROM a, b""")
+def q_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(turns.ingest_report(turns_view(spark, sf_dir)))
+
+
+_FAULTY = """faulty AS (
+  SELECT session_id, CASE WHEN CAST(session_id AS BIGINT) % 7 = 1 AND turn = 1 THEN 'x' ELSE student END AS student, CASE WHEN CAST(session_id AS BIGINT) % 11 = 2 THEN 'assistant' ELSE role END AS role,
+         CASE WHEN CAST(session_id AS BIGINT) % 5 = 3 AND turn = 1 THEN 0 ELSE turn END AS turn, content FROM turns)"""
+
+
+@query(f"""WITH {TURNS_SQL}, {_FAULTY}, g AS (
+ SELECT session_id, count(*) <> count(DISTINCT turn) AS a, count(DISTINCT student) > 1 AS b, count(*) FILTER (WHERE role = 'user') = 0 AS d FROM faulty GROUP BY 1)
+SELECT session_id, 'duplicate turn indices' AS problem FROM g WHERE a UNION ALL SELECT session_id, 'more than one student' FROM g WHERE b UNION ALL SELECT session_id, 'no student turns' FROM g WHERE d""")
+def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns_view(spark, sf_dir)
+    k = F.col("session_id").cast("long")
+    faulty = t.select(
+        "session_id", F.when((k % 7 == 1) & (F.col("turn") == 1), "x").otherwise(F.col("student")).alias("student"), F.when(k % 11 == 2, "assistant").otherwise(F.col("role")).alias("role"),
+        F.when((k % 5 == 3) & (F.col("turn") == 1), 0).otherwise(F.col("turn")).alias("turn"), "content", F.lit("m").alias("model"),
+    )
+    return turns.validate(faulty).filter("problem <> 'does not open with a student turn'")
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS session_id, len(regexp_extract_all(text, '{lexicon.PII["email"]}')) AS email, len(regexp_extract_all(text, '{lexicon.PII["url"]}')) AS url FROM documents""")
+def q_pii_email_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.screen_pii(_docs_as_turns(spark, sf_dir)).select("session_id", "email", "url")
+
+
+@query()
+def q_pii_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.screen_pii(_docs_as_turns(spark, sf_dir))
+
+
+@query(f"""WITH {TURNS_SQL}, names AS (SELECT DISTINCT student FROM turns), codes AS (SELECT student, row_number() OVER (ORDER BY student) AS code FROM names)
+SELECT session_id, turn, CAST(code AS INTEGER) AS student FROM turns JOIN codes USING (student)""")
+def q_roster_pseudonym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns_view(spark, sf_dir)
+    roster = t.select("session_id", "student").distinct()
+    return turns.pseudonyms(t, roster)[0].select("session_id", "turn", "student")
+
+
+# --- text and windows ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {TURNS_SQL}, t AS (SELECT session_id, turn, {words("content")} AS raw, content FROM live)
+SELECT session_id, turn, len(raw) AS n_tok, len(list_filter(raw, lambda w: NOT list_contains({listed(lexicon.STOPWORDS)}, lower(w)) AND length(w) > 3)) AS telling,
+ len(list_filter(raw, lambda w: regexp_matches(w, '^[A-Z]'))) AS caps, len(regexp_extract_all(content, '[0-9]')) AS digits FROM t""")
+def q_tokens_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = features.in_order(turns_view(spark, sf_dir)).select("session_id", "turn", "content", text.raw_tokens(F.col("content")).alias("raw"))
+    stop = F.array(*map(F.lit, lexicon.STOPWORDS))
+    size = lambda c: F.size(c).cast("long")
+    return t.select(
+        "session_id", "turn", size("raw").alias("n_tok"), size(F.filter("raw", lambda w: ~F.array_contains(stop, F.lower(w)) & (F.length(w) > 3))).alias("telling"),
+        size(F.filter("raw", lambda w: w.rlike("^[A-Z]"))).alias("caps"), text.count(F.col("content"), r"(?U)\d").alias("digits"),
+    )
+
+
+@query(f"WITH {ROWS_SQL} SELECT session_id, turn, near = 1 AS near_duplicate FROM near")
+def q_jaccard_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.windows(features.turn_features(turns_view(spark, sf_dir))).filter("role = 'user'")
+    return rows.select("session_id", "turn", F.coalesce("near", F.lit(False)).alias("near_duplicate"))
+
+
+@query(f"WITH {ROWS_SQL} SELECT session_id, turn, round(overlap, 9) AS overlap FROM overlap_rows")
+def q_paraphrase_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.windows(features.turn_features(turns_view(spark, sf_dir))).filter("overlap IS NOT NULL")
+    return rows.select("session_id", "turn", F.round("overlap", 9).alias("overlap"))
+
+
+@query(f"WITH {ROWS_SQL} SELECT session_id, turn, rechecked FROM rows_ WHERE role = 'user' AND c_error_assert > 0")
+def q_recheck_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.windows(features.turn_features(turns_view(spark, sf_dir))).filter("role = 'user' AND c_error_assert > 0").select("session_id", "turn", "rechecked")
+
+
+@query(f"WITH {ROWS_SQL} SELECT session_id, turn, primed FROM rows_ WHERE role = 'user' AND c_ethics > 0")
+def q_unprompted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.windows(features.turn_features(turns_view(spark, sf_dir))).filter("role = 'user' AND c_ethics > 0").select("session_id", "turn", "primed")
+
+
+@query(f"WITH {TURNS_SQL} SELECT session_id, turn, {', '.join(f'{count("content", f, "hpc")} AS {f}' for f in lexicon.HPC if f != 'enumeration')} FROM live")
+def q_marker_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = features.in_order(turns_view(spark, sf_dir))
+    return t.select("session_id", "turn", *(text.family(F.col("content"), "hpc", f).alias(f) for f in lexicon.HPC if f != "enumeration"))
+
+
+@query()
+def q_context_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = features.in_order(turns_view(spark, sf_dir)).filter("role = 'user'")
+    return t.select("session_id", "turn", text.context_chars(F.col("content")).alias("context_chars"), F.length("content").alias("chars"))
+
+
+# --- features and scores ------------------------------------------------------------------------
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT session_id, student, discipline, n_student_turns, {', '.join(f'round({f}, 9) AS {f}' for f in IN_SQL)} FROM sessions")
+def q_features_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.session_features(turns_view(spark, sf_dir))
+    return _round(found.select("session_id", "student", "discipline", "n_student_turns", *IN_SQL), 9)
+
+
+@query(f"""WITH {SESSIONS_SQL} SELECT student, count(*) AS n_sessions, sum(n_student_turns)::BIGINT AS n_student_turns, arg_min(discipline, session_id) AS discipline, {', '.join(f'round(avg({f}), 6) AS {f}' for f in IN_SQL)}
+FROM sessions GROUP BY student""")
+def q_features_student(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.extract(turns_view(spark, sf_dir), "student")
+    return _round(found.select("student", "n_sessions", "n_student_turns", "discipline", *IN_SQL))
+
+
+@query()
+def q_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.extract(turns_view(spark, sf_dir), "session", "hpc")
+
+
+_SCALE = {f: 0.07 + 0.03 * k for k, f in enumerate(FEATURES)}
+_VIEW_SQL = f"""{ITEMS_SQL}, feats AS (SELECT student, discipline, {", ".join(f"({i} - CAST(1.5 AS DOUBLE)) * CAST({_SCALE[f]!r} AS DOUBLE) + CAST(student AS BIGINT) % {7 + k} * CAST(0.01 AS DOUBLE) AS {f}" for k, (i, f) in enumerate(zip(ITEMS, FEATURES, strict=True)))} FROM items)"""
+
+
+def feature_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features made from the item matrix, so that both engines have the same."""
+    it = items_view(spark, sf_dir)
+    made = lambda k, i, f: ((F.col(i) - 1.5) * _SCALE[f] + F.pmod(F.col("student").cast("long"), F.lit(7 + k)) * 0.01).cast("double").alias(f)
+    return it.select("student", "discipline", *(made(k, i, f) for k, (i, f) in enumerate(zip(ITEMS, FEATURES, strict=True))))
+
+
+def _transformed_sql(i: str) -> str:
+    spec = scoring.A_PRIORI[i]
+    f = spec["feature"]
+    if spec["direction"] != "band":
+        return f
+    low, high = spec["band"]
+    return f"CASE WHEN {f} BETWEEN {low} AND {high} THEN 0.0 ELSE -least(abs({f} - {low}), abs({f} - {high})) END"
+
+
+_SCORED_SQL = f"""{_VIEW_SQL}, scored AS (SELECT student, discipline, {", ".join(f"CAST(1 + {' + '.join(f'CAST(({_transformed_sql(i)}) > {c} AS INTEGER)' for c in scoring.A_PRIORI[i]['cuts'])} AS INTEGER) AS {i}" for i in ITEMS)} FROM feats)"""
+_MEANS_SQL = ", ".join(f"round_even(({' + '.join(f'{d}_i{k}' for k in range(1, 6))}) / 5.0, 3) AS {d}" for d in DIMENSIONS)
+
+
+@query(f"WITH {_SCORED_SQL} SELECT 'AUTOMATED_APRIORI' AS \"SCORING_SOURCE\", *, {_MEANS_SQL} FROM scored")
+def q_score_apriori(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_items(feature_view(spark, sf_dir))
+
+
+def _cut_rows(spark: SparkSession, cuts: scoring.Cutpoints) -> DataFrame:
+    rows = [(i, *(round(float(c), 6) for c in cuts[i]["cuts"])) for i in ITEMS]  # 25 rows
+    return spark.createDataFrame(rows, "item string, c1 double, c2 double, c3 double, c4 double")
+
+
+def _quantiles_sql(probabilities: list[str], source: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{i}' AS item, {', '.join(f'round(quantile_cont({_transformed_sql(i)}, {p}), 6) AS c{k + 1}' for k, p in enumerate(probabilities))} FROM {source}" for i in ITEMS)
+
+
+@query(f"WITH {_VIEW_SQL} {_quantiles_sql(['0.1', '0.3', '0.7', '0.9'], 'feats')}")
+def q_norm_cutpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_rows(spark, scoring.quantile_cutpoints(feature_view(spark, sf_dir)))
+
+
+_CALIBRATE_SQL = " UNION ALL ".join(
+    f"SELECT '{i}' AS item, {', '.join(f'round(list_extract(v, CAST(floor(p{k} * (n - 1)) AS INTEGER) + 1) + (p{k} * (n - 1) - floor(p{k} * (n - 1))) * (list_extract(v, CAST(least(floor(p{k} * (n - 1)) + 1, n - 1) AS INTEGER) + 1) - list_extract(v, CAST(floor(p{k} * (n - 1)) AS INTEGER) + 1)), 6) AS c{k}' for k in range(1, 5))} "
+    f"FROM (SELECT list_sort(list({_transformed_sql(i)})) AS v, count(*) AS n, {', '.join(f'avg(CAST({i} <= {k} AS DOUBLE)) AS p{k}' for k in range(1, 5))} FROM feats JOIN items USING (student))"
+    for i in ITEMS
+)
+
+
+@query(f"WITH {_VIEW_SQL} {_CALIBRATE_SQL}")
+def q_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_rows(spark, scoring.calibrate(feature_view(spark, sf_dir), items_view(spark, sf_dir))[0])
+
+
+_DIST_SQL = f"""{_VIEW_SQL}, dist AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS n, count(DISTINCT {f}) AS \"distinct\", round_even(avg(CAST({f} = 0 AS DOUBLE)), 3) AS zero_share, round_even(min({f}), 4) AS min, round_even(quantile_cont({f}, 0.25), 4) AS q25, round_even(quantile_cont({f}, 0.5), 4) AS median, round_even(quantile_cont({f}, 0.75), 4) AS q75, round_even(max({f}), 4) AS max, round_even(quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25), 4) AS iqr FROM feats" for f in FEATURES)})"""
+
+
+@query(f"WITH {_DIST_SQL} SELECT * FROM dist")
+def q_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.distribution_report(feature_view(spark, sf_dir))
+
+
+@query(f"WITH {_DIST_SQL} SELECT feature, \"distinct\", zero_share, list_contains({listed(scoring.SUSPECT)}, feature) AS lexicon_suspect FROM dist WHERE zero_share >= 0.90 OR \"distinct\" < 3")
+def q_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.flat_features(scoring.distribution_report(feature_view(spark, sf_dir)))
+
+
+@query(f"""WITH {_SCORED_SQL}, long AS ({" UNION ALL ".join(f"SELECT '{i}' AS item, {i} AS score FROM scored" for i in ITEMS)}), c AS (SELECT item, score, count(*) AS n FROM long GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, score) AS k, sum(n) OVER (PARTITION BY item) AS total, count(*) OVER (PARTITION BY item) AS d FROM c)
+SELECT item, score AS modal_score, round_even(CAST(n / total AS DOUBLE), 3) AS modal_share, d AS distinct_scores, n / total >= 0.80 AS degenerate FROM r WHERE k = 1""")
+def q_degeneracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.degeneracy_report(scoring.score_items(feature_view(spark, sf_dir)))
+
+
+def _kappa_sql(a: str, b: str) -> str:
+    return f"1 - avg(({a} - {b}) * ({a} - {b})) / (var_pop({a}) + var_pop({b}) + (avg({a}) - avg({b})) * (avg({a}) - avg({b})))"
+
+
+@query(f"""WITH {_SCORED_SQL}, long AS ({" UNION ALL ".join(f"SELECT '{i}' AS item, CAST(s.{i} AS DOUBLE) AS a, CAST(h.{i} AS DOUBLE) AS b FROM scored s JOIN items h USING (student)" for i in ITEMS)})
+SELECT item, count(*) AS n, round({_kappa_sql("a", "b")}, 6) AS kappa, round(avg(CAST(a = b AS DOUBLE)), 6) AS exact, round(avg(abs(a - b)), 6) AS mad FROM long GROUP BY item""")
+def q_agreement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    auto = scoring.unpivoted(scoring.score_items(feature_view(spark, sf_dir)), ["student"], ITEMS, "item", "a")
+    human = scoring.unpivoted(items_view(spark, sf_dir), ["student"], ITEMS, "item", "b")
+    a, b = F.col("a"), F.col("b")
+    return _round(auto.join(human, ["student", "item"]).groupBy("item").agg(F.count("*").alias("n"), scoring.kappa("a", "b").alias("kappa"), F.avg((a == b).cast("double")).alias("exact"), F.avg(F.abs(a - b)).alias("mad")))
+
+
+@query(f"SELECT count(*) AS n, round({_kappa_sql('(quality + 1)', '(toxic + 1)')}, 6) AS kappa FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL")
+def q_agreement_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.read.parquet(f"{sf_dir}/labels.parquet").select((F.col("quality") + 1).alias("a"), (F.col("toxic") + 1).alias("b")).dropna()
+    return _round(pairs.agg(F.count("*").alias("n"), scoring.kappa("a", "b").alias("kappa")))
+
+
+@query("SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY 1, 2")
+def q_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.contingency(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", "toxic")
+
+
+# --- statistics ---------------------------------------------------------------------------------
+
+_DIM_SQL = f"{ITEMS_SQL}, dims AS (SELECT student, discipline, {', '.join(f'({" + ".join(f"{d}_i{k}" for k in range(1, 6))}) / 5.0 AS {d}' for d in DIMENSIONS)} FROM items)"
+_LONG_SQL = f"{_DIM_SQL}, long AS ({' UNION ALL '.join(f"SELECT discipline, '{d}' AS dimension, {d} AS x FROM dims" for d in DIMENSIONS)})"
+
+
+@query(f"WITH {ITEMS_SQL} " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, round(1.25 * (1 - ({' + '.join(f'var_samp({d}_i{k})' for k in range(1, 6))}) / var_samp({' + '.join(f'{d}_i{k}' for k in range(1, 6))})), 6) AS alpha FROM items" for d in DIMENSIONS))
+def q_cronbach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(stats.cronbach(items_view(spark, sf_dir)))
+
+
+@query(f"""WITH {_LONG_SQL}, m AS (SELECT *, avg(x) OVER (PARTITION BY dimension) AS g, avg(x) OVER (PARTITION BY dimension, discipline) AS c FROM long),
+s AS (SELECT dimension, sum((c - g) * (c - g)) AS b, sum((x - c) * (x - c)) AS w, count(*) AS n, count(DISTINCT discipline) AS k FROM m GROUP BY 1)
+SELECT dimension, k - 1 AS df_between, n - k AS df_within, round(b / (k - 1) / (w / (n - k)), 6) AS f, round(b / (b + w), 6) AS eta_squared FROM s""")
+def q_eta_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(stats.anova(stats.dimension_means(items_view(spark, sf_dir))))
+
+
+@query(f"""WITH {_DIM_SQL}, p AS (SELECT student, PromptEngineering AS v, 1 AS o FROM dims UNION ALL SELECT student, OutputValidation, 2 FROM dims),
+m AS (SELECT *, avg(v) OVER () AS g, avg(v) OVER (PARTITION BY student) AS r, avg(v) OVER (PARTITION BY o) AS c FROM p),
+s AS (SELECT count(*) / 2 AS n, sum((r - g) * (r - g)) AS sr, sum((c - g) * (c - g)) AS sc, sum((v - g) * (v - g)) AS st FROM m),
+q AS (SELECT n, sr / (n - 1) AS mr, sc AS mc, (st - sr - sc) / (n - 1) AS me FROM s) SELECT round((mr - me) / (mr + me + 2 * (mc - me) / n), 6) AS icc FROM q""")
+def q_icc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(stats.icc(stats.dimension_means(items_view(spark, sf_dir)), "PromptEngineering", "OutputValidation"))
+
+
+_RATINGS_SQL = f"{ITEMS_SQL}, ratings AS ({' UNION ALL '.join(f"SELECT student, '{d}' AS dimension, {k} AS rater, {d}_i{k} AS score FROM items" for d in DIMENSIONS for k in (1, 2, 3))})"
+
+
+def ratings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three items of a dimension as scores of three raters."""
+    it = items_view(spark, sf_dir)
+    cells = [F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("rater"), F.col(f"{d}_i{k}").alias("score")) for d in DIMENSIONS for k in (1, 2, 3)]
+    return it.select("student", F.explode(F.array(*cells)).alias("c")).select("student", "c.*")
+
+
+@query(f"""WITH {_RATINGS_SQL}, o AS (SELECT a.dimension, sum((a.score - b.score) * (a.score - b.score) / 2.0) AS d FROM ratings a JOIN ratings b ON a.student = b.student AND a.dimension = b.dimension AND a.rater <> b.rater GROUP BY 1),
+e AS (SELECT dimension, count(*) AS n, 2 * (count(*) * sum(score * score) - sum(score) * sum(score)) / (count(*) * (count(*) - 1.0)) AS x FROM ratings GROUP BY 1)
+SELECT dimension, round(1 - d / n / x, 6) AS alpha FROM o JOIN e USING (dimension)""")
+def q_krippendorff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(stats.krippendorff(ratings_view(spark, sf_dir)))
+
+
+@query(f"WITH {_RATINGS_SQL} SELECT dimension, student, max(score) FILTER (WHERE rater = 1) AS \"1\", max(score) FILTER (WHERE rater = 2) AS \"2\", max(score) FILTER (WHERE rater = 3) AS \"3\" FROM ratings GROUP BY 1, 2")
+def q_wide_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.wide_ratings(ratings_view(spark, sf_dir), [1, 2, 3])
+
+
+@query("""WITH c AS (SELECT CAST(user_id % 3 AS VARCHAR) AS discipline, event_type AS code, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT discipline, code, n AS count, round(100.0 * n / sum(n) OVER (PARTITION BY discipline), 6) AS percent FROM c""")
+def q_think_aloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 3).cast("string").alias("discipline"), F.col("event_type").alias("code"), F.lit(1).cast("long").alias("count"))
+    return _round(stats.think_aloud(e))
+
+
+@query(f"WITH {_LONG_SQL} SELECT discipline, dimension, round(avg(x), 6) AS mean, round(stddev_samp(x) / sqrt(count(x)), 6) AS sem FROM long GROUP BY 1, 2")
+def q_group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(stats.group_means(stats.dimension_means(items_view(spark, sf_dir))))
+
+
+@query(f"WITH {_DIM_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM dims" for k, a in enumerate(DIMENSIONS) for b in DIMENSIONS[k + 1 :]))
+def q_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(stats.correlations(stats.dimension_means(items_view(spark, sf_dir))))
+
+
+@query()
+def q_manova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([stats.manova(stats.dimension_means(items_view(spark, sf_dir)))])
+
+
+@query()
+def q_tukey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(stats.tukey(stats.dimension_means(items_view(spark, sf_dir))))
