@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
-from ..operators import features, scoring, stats, turns
+from ..operators import controls, features, psychometrics, scoring, simulate, stats, turns
 from ..operators.features import DIMENSIONS, FEATURES, ITEMS
 from .feature_sql import IN_SQL, ROWS_SQL, SESSIONS_SQL, count, listed, words
 from .views import ITEMS_SQL, TURNS_SQL
@@ -342,3 +342,50 @@ def q_manova(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_tukey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(stats.tukey(stats.dimension_means(items_view(spark, sf_dir))))
+
+
+@query()
+def q_polychoric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return psychometrics.polychoric_pairs(items_view(spark, sf_dir), ITEMS)
+
+
+@query()
+def q_cfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = psychometrics.cfa_of(items_view(spark, sf_dir))
+    return spark.createDataFrame([{k: float(v) for k, v in found.items()}])
+
+
+@query()
+def q_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(psychometrics.reliability(items_view(spark, sf_dir)))
+
+
+@query()
+def q_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.derive(feature_view(spark, sf_dir), items_view(spark, sf_dir), corpus="events")
+    return spark.createDataFrame(scoring.compare_to_prior(found.cutpoints))
+
+
+@query()
+def q_length_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = feature_view(spark, sf_dir).withColumn("n_student_turns", F.col("student").cast("long") % 9)
+    return spark.createDataFrame(scoring.length_baseline(frame, items_view(spark, sf_dir)))
+
+
+@query()
+def q_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The controls at smoke size; their sizes are parameters."""
+    null = controls.null_control(spark, 25)
+    coder = controls.contaminated_coder_control(spark, 20)
+    rows = [(null["condition"], null["observed"]), (coder["condition"], f"{coder['kappa_clean']:.3f} {coder['kappa_contaminated']:.3f}")]
+    return spark.createDataFrame(rows, "condition string, observed string")
+
+
+@query()
+def q_fit_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return controls.fit_sweep_summary(controls.fit_sweep(spark, (30, 60, 120), 3))
+
+
+@query()
+def q_simulated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.extract(simulate.logs(simulate.latents(spark, 5), 2), "student")
