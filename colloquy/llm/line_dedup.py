@@ -7,9 +7,9 @@ the join probes, for each length that may match, the few substrings where a segm
 
 First the keys alone (hashes of length, segment number and substring) are counted; lines on a
 key that no other line has are done. The rest meet by key in semi joins, which end at the first
-earlier line that is near and never give pairs. A pair is verified only if the parities of its
-character counts agree in all but 2t bits, by a banded bit-parallel edit distance in 64-bit
-arithmetic.
+earlier line that is near and never give pairs. A pair is verified, by a banded bit-parallel edit
+distance in 64-bit arithmetic, only if the parities of its counts of characters differ in 2t bits
+at most, and those of its pairs of neighbouring characters in 4t.
 
 Lines of fewer than `least` characters are neither dropped nor a reason to drop, as are blank
 ones: two edits are too large a part of them.
@@ -118,10 +118,17 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), lb), start, step, lambda s: s["d"])
 
 
-def parities(line: Column) -> Column:
-    """A bit for each of 64 classes of characters: whether their count in the line is odd."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)).cast("int"))
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda x, c: x.bitwiseXOR(F.when(c == "", F.lit(0).cast("long")).otherwise(bit(c))))
+def parities(line: Column) -> tuple[Column, Column]:
+    """Bits for 64 classes of characters, and of pairs of neighbours: whether their count is odd.
+
+    An edit changes two characters' counts at most, and four pairs'.
+    """
+    chars = F.filter(F.split(line, ""), lambda c: c != "")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    xor = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda x, b: x.bitwiseXOR(b))
+    code = lambda c: F.coalesce(F.ascii(c), F.lit(0))
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: bit(code(a) * 37 + code(b) * 11))
+    return xor(F.transform(chars, lambda c: bit(code(c)))), xor(pairs)
 
 
 def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
@@ -131,21 +138,24 @@ def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     keyed = lines.select("h", F.explode(F.array(*mark(own, True), *mark(probes, False))).alias("k")).select("h", "k.*")
     crowds = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bool_or("own").alias("own")).filter("own AND a <> b").select("key")
     crowds = stored(crowds, "line-keys")
-    if crowds.count() <= BROADCAST_KEYS:
-        crowds = F.broadcast(crowds)
-    else:  # the texts of lines on no such key stay where they are
-        lines = lines.join(keyed.join(crowds, "key", "left_semi").select("h").distinct(), "h", "left_semi")
-    rows = lines.select("h", "h2", "line", "n", "place", F.explode(F.array(*mark(own, True), *mark(probes, False))).alias("k")).select("h", "h2", "line", "n", "place", "k.*")
-    rows = rows.join(crowds, "key", "left_semi").join(firsts.select("h", "h2", F.col("place").alias("first")), ["h", "h2"]).filter(F.col("place") == F.col("first")).drop("place")
-    rows = stored(rows.withColumn("odd", parities(F.col("line"))), "line-rows")
+    small = crowds.count() <= BROADCAST_KEYS
+    kept = keyed.join(F.broadcast(crowds) if small else crowds, "key", "left_semi").distinct()
+    kept = stored(kept, "line-rows")
+    met = firsts.join(kept.select("h").distinct(), "h", "left_semi").select("h", "h2", F.col("place").alias("first"))
+    # texts are fetched for lines on a shared key alone, once for each different line
+    texts = lines.join(met, ["h", "h2"]).filter(F.col("place") == F.col("first")).select("h", "h2", "first", "line", "n").dropDuplicates(["h", "h2"])
+    odd, odd_pairs = parities(F.col("line"))
+    texts = stored(texts.select("*", odd.alias("odd"), odd_pairs.alias("odd_pairs")), "line-texts")
+    rows = kept.join(texts, "h")
     one, two = rows.alias("x"), rows.alias("y")
-    differ = F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd")))
+    differ = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     near = (
         (F.col("x.key") == F.col("y.key"))
+        & (differ("odd") <= 2 * edits)
+        & (differ("odd_pairs") <= 4 * edits)
+        & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
         & (F.col("x.own") != F.col("y.own"))
         & (F.col("y.first") < F.col("x.first"))
-        & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
-        & (differ <= 2 * edits)
         & (banded_distance(F.col("y.line"), F.col("x.line"), edits) <= edits)
     )
     return one.join(two, near, "left_semi").select("h", "h2").distinct()
