@@ -162,7 +162,7 @@ def polychoric_matrix(items: DataFrame, cols: list[str]) -> np.ndarray:
     out = np.eye(len(cols))
     for row in polychoric_pairs(items, cols).collect():  # a row for each pair of columns
         i, j = cols.index(row.a), cols.index(row.b)
-        out[i, j] = out[j, i] = 0.0 if math.isnan(row.r) else row.r
+        out[i, j] = out[j, i] = 0.0 if row.r is None or math.isnan(row.r) else row.r
     return out
 
 
