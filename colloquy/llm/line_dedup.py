@@ -9,7 +9,8 @@ First the keys alone (hashes of length, segment number and substring) are counte
 key that no other line has are done. The rest meet by key in semi joins, which end at the first
 earlier line that is near and never give pairs. A pair is verified, by a banded bit-parallel edit
 distance in 64-bit arithmetic, only if the parities of its counts of characters differ in 2t bits
-at most, and those of its pairs of neighbouring characters in 4t.
+at most, those of its pairs of neighbouring characters in 4t, and if the lines stay alike for a
+few characters where they first and last part.
 
 Lines of fewer than `least` characters are neither dropped nor a reason to drop, as are blank
 ones: two edits are too large a part of them.
@@ -131,6 +132,18 @@ def parities(line: Column) -> tuple[Column, Column]:
     return xor(F.transform(chars, lambda c: bit(code(c)))), xor(pairs)
 
 
+def alike_where_they_part(a: Column, b: Column, edits: int, window: int = 32) -> Column:
+    """False only for strings that are more than `edits` apart: at the first character where they
+    part, the next `window` characters of each are within 2 * edits of each other if the strings
+    are within `edits`, as the other's matching piece may be up to `edits` longer or shorter."""
+    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
+    same = lambda p, s: F.substring(a, p + 1, s) == F.substring(b, p + 1, s)
+    fits = lambda p, s: p + s <= F.least(F.length(a), F.length(b))
+    common = F.aggregate(steps, F.lit(0), lambda p, s: F.when(fits(p, s) & same(p, s), p + s).otherwise(p))
+    pair = F.transform(F.array(common), lambda p: F.levenshtein(F.substring(a, p + 1, F.lit(window)), F.substring(b, p + 1, F.lit(window)), 2 * edits))
+    return F.element_at(pair, 1) >= 0
+
+
 def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     """h and h2 of different lines that have an earlier one within `edits`."""
     own, probes = _keys(edits)
@@ -156,6 +169,8 @@ def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
         & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
         & (F.col("x.own") != F.col("y.own"))
         & (F.col("y.first") < F.col("x.first"))
+        & alike_where_they_part(F.col("y.line"), F.col("x.line"), edits)
+        & alike_where_they_part(F.reverse(F.col("y.line")), F.reverse(F.col("x.line")), edits)
         & (banded_distance(F.col("y.line"), F.col("x.line"), edits) <= edits)
     )
     return one.join(two, near, "left_semi").select("h", "h2").distinct()

@@ -181,6 +181,10 @@ def test_banded_distance(spark, edits):
             pairs.append((a, b, distance(a, b)))
     for r in spark.createDataFrame(pairs, "a string, b string, d int").withColumn("got", line_dedup.banded_distance(F.col("a"), F.col("b"), edits)).collect():
         assert (r.got == r.d) if r.d <= edits else (r.got > edits), r
+    df = spark.createDataFrame(pairs, "a string, b string, d int")
+    a, b = F.col("a"), F.col("b")
+    alike = line_dedup.alike_where_they_part(a, b, edits, 8) & line_dedup.alike_where_they_part(F.reverse("a"), F.reverse("b"), edits, 8)
+    assert df.filter(~alike & (F.col("d") <= edits)).count() == 0 and df.filter(~alike).count() > 0
 
 
 def test_line_dedup_against_brute_force(spark):
