@@ -101,13 +101,16 @@ _CDF = np.vectorize(NormalDist().cdf)
 
 def bvn(h: np.ndarray, k: np.ndarray, r: float) -> np.ndarray:
     """P(X < h, Y < k) at all pairs, by an integral over the angle of the correlation."""
-    h, k = np.clip(h, -9, 9)[:, None], np.clip(k, -9, 9)[None, :]
+    h, k = np.clip(h, -9, 9), np.clip(k, -9, 9)
+    return np.outer(_CDF(h), _CDF(k)) + _beyond_independence(h, k, r)
+
+
+def _beyond_independence(h: np.ndarray, k: np.ndarray, r: float) -> np.ndarray:
     top = math.asin(r)
-    out = _CDF(h) * _CDF(k)
-    for x, w in zip(_NODES, _WEIGHTS, strict=True):
-        angle = top * (x + 1) / 2
-        out = out + w * top / 2 / (2 * math.pi) * np.exp(-(h * h + k * k - 2 * h * k * math.sin(angle)) / (2 * math.cos(angle) ** 2))
-    return out
+    angle = (top * (_NODES + 1) / 2)[:, None, None]
+    h, k = h[None, :, None], k[None, None, :]
+    each = np.exp(-(h * h + k * k - 2 * h * k * np.sin(angle)) / (2 * np.cos(angle) ** 2))
+    return np.einsum("n,nij->ij", _WEIGHTS * top / (4 * math.pi), each)
 
 
 def thresholds(counts: np.ndarray) -> np.ndarray:
@@ -121,8 +124,10 @@ def polychoric(table: np.ndarray) -> float:
         return math.nan
     a, b = (np.concatenate([[-9], thresholds(table.sum(axis=x)), [9]]) for x in (1, 0))
 
+    apart = np.outer(_CDF(a), _CDF(b))
+
     def loss(r: float) -> float:
-        grid = bvn(a, b, r)
+        grid = apart + _beyond_independence(a, b, r)
         cells = grid[1:, 1:] - grid[:-1, 1:] - grid[1:, :-1] + grid[:-1, :-1]
         return -float((table * np.log(np.clip(cells, 1e-12, 1.0))).sum())
 
