@@ -225,19 +225,137 @@ def near_duplicates(docs: DataFrame, k: int = 4, shingle: int = 4, seed: int = 4
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints of 256 bits estimate the share of common shingles: 45 differing bits stand
-#: for a similarity of 0.8 with a margin for the estimate's spread of about six bits.
-WIDE = {"k": 45, "words": 4, "segments": 16}
+#: Documents of the sample in which common shingles are counted, and the most shingles held as common.
+SAMPLED, COMMON = 20_000, 200_000
+
+
+def shingles(text: Column, shingle: int, seed: int) -> Column:
+    """array<bigint>: the different shingles' hashes, in unsigned order."""
+
+    @F.pandas_udf("array<bigint>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(hashes(t, shingle, seed)).view(np.int64) for t in texts], dtype=object)
+
+    return found(text)
+
+
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """Shingles that several documents of a bounded sample have, sorted. They only set an order."""
+    share = min(1.0, SAMPLED / max(1, rows.count()))
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < share * (1 << 30))
+    counts = sample.select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()
+    return np.sort(found.key.to_numpy(np.int64))
+
+
+def prefix_keys(rows: DataFrame, common: np.ndarray) -> DataFrame:
+    """id, n (size of the set), key: the shingles of which two sets of Jaccard similarity 0.8 share one.
+
+    One order holds for all sets, the common shingles last: of n shingles the first
+    n - ceil(0.8 n) + 1 can't all be missing from a set that has 0.8 n of them.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast(common)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets = batch.column(0).to_numpy(), batch.column(1)
+            cuts, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+            last = np.zeros(len(values), bool)
+            if len(shipped.value):
+                at = np.searchsorted(shipped.value, values)
+                last = shipped.value[np.minimum(at, len(shipped.value) - 1)] == values
+            n = np.diff(cuts).astype(np.int64)
+            take = np.where(n > 0, n - -(-4 * n // 5) + 1, 0)
+            out = [values[:0]]
+            for a, b, t in zip(cuts, cuts[1:], take, strict=False):
+                one, late = values[a:b], last[a:b]
+                out.append(np.concatenate([one[~late], one[late]])[:t] if late.any() else one[:t])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take)), pa.array(np.repeat(n, take)), pa.array(np.concatenate(out))], names=["id", "n", "key"])
+
+    return rows.select("id", "set").mapInArrow(keys, "id long, n long, key long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs a, b those whose sets have a Jaccard similarity of 0.8 at least."""
+    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def _fit(x: str | Column, y: str | Column) -> Column:
+    """Whether sets of these sizes can be similar."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+
+def similar_links(rows: DataFrame) -> DataFrame:
+    """Edges a, b that connect all ids whose sets are similar. rows: id, set; rows of one id have one set.
+
+    Each member of a block first meets the block's least one. Pairs that these links leave in
+    different components are then met all, so that no link is lost and a dense group doesn't
+    give all its pairs.
+    """
+    keyed = prefix_keys(rows, common_shingles(rows))
+    crowds = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.max("id").alias("b")).filter("m.id <> b").select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an"))
+    shared = stored(keyed.join(crowds, "key").select("key", "id", "n", "a", "an").distinct(), "shingle-keys")
+    met = shared.select("id").distinct()
+    sets = stored(rows.join(met, "id", "left_semi").select("id", "set").dropDuplicates(["id"]), "shingle-sets")
+    stars = stored(similar(shared.filter((F.col("a") != F.col("id")) & _fit("n", "an")).select("a", F.col("id").alias("b")).distinct(), sets), "star-links")
+    roots = components(stars)
+    placed = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "a", F.coalesce("root", "id").alias("root"))
+    split = placed.filter("id <> a").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y")
+    split = split.select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    left = placed.filter("id <> a").join(split, "key")
+    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("x"), F.greatest(o, part).alias("y")))
+    cells = left.select("id", "n", "root", "key", F.explode(others).alias("c")).select(F.xxhash64("key", "c.x", "c.y").alias("cell"), "id", "n", "root")
+    rest = stored(cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_parted, "a long, b long").distinct(), "pairs-left")
+    return stars.union(similar(rest, sets))
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within runs of equal cells that have different roots and sizes that fit."""
+    held: list[np.ndarray] | None = None
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell, ids, n, root = cols
+        ends = np.searchsorted(cell, cell, side="right")
+        for i in np.flatnonzero(ends - np.arange(len(cell)) > 1):
+            at = slice(i + 1, ends[i])
+            fit = (root[at] != root[i]) & (ids[at] != ids[i]) & (5 * np.minimum(n[at], n[i]) >= 4 * np.maximum(n[at], n[i]))
+            if fit.any():
+                other = ids[at][fit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), ids[i])), pa.array(other)], names=["a", "b"])
+
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on in the next batch
+        held = [c[last:] for c in cols]
+        if last:
+            yield from pairs([c[:last] for c in cols])
+    if held is not None:
+        yield from pairs(held)
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near copies, that with the smallest id.
 
-    Rows of one id and text are one document. Wide fingerprints are met by samples of their
-    bits: of pairs with a similarity of 0.9 over 99 in 100 meet, of 0.8 about nine in ten.
+    Rows of one id and text are one document. Documents link if the Jaccard similarity of their
+    shingles is 0.8 at least; candidates come from prefixes of the shingles, which lose none, and
+    every link is verified.
     """
-    found = grouped(docs, Ring(**WIDE), shingle, seed, id_col, text_col)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id"), F.col("text_hash").alias("__sim_hash")).distinct()
+    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), shingles(F.col(text_col), shingle, seed).alias("set"))
+    rows = stored(found.withColumn("id", F.xxhash64("set")), "shingles")
+    classes = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    roots = components(similar_links(rows))
+    placed = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    gone = rows.select("id", "doc_id", "text_hash").join(placed.join(least, "root").select("id", "component_id"), "id")
+    gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id"), F.col("text_hash").alias("__sim_hash")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.xxhash64(F.col(text_col)) == F.col("__sim_hash"))
     return docs.join(gone, same, "left_anti")
 

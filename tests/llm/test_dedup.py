@@ -142,6 +142,34 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert kept.filter("doc_id IS NULL").count() == 1
 
 
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_equal_brute_force_around_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 8)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    docs = []
+    for g in range(60):  # pairs on both sides of 0.8, half of them with a passage that all share
+        words = [word() for _ in range(rng.randint(80, 160))] + (passage if g % 2 else [])
+        own = list(words)
+        for k in rng.sample(range(0, 80, 5), rng.randint(1, 9)):
+            own[k] = word()
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(own))]
+    for k in range(40):  # documents that are mostly one template, some of them similar
+        docs.append((200 + k, " ".join(passage + passage[::-1] + [word() for _ in range(rng.randint(2, 14))])))
+    sets = [shingle_set(t) for _, t in docs]
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(docs)) for j in range(i)}
+    close = [x for x in jaccard.values() if 0.7 < x < 0.9]
+    assert sum(x >= 0.8 for x in close) > 20 and sum(x < 0.8 for x in close) > 20
+    root = union_find([(i, i) for i in range(len(docs))] + [p for p, x in jaccard.items() if x >= 0.8])
+    kept = simhash.without_near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(docs[i][0] for i in set(root.values()))
+
+
 # --- line dedup ---------------------------------------------------------------------------------
 
 
