@@ -12,8 +12,9 @@ distance in 64-bit arithmetic, only if the parities of its counts of characters
 at most, those of its pairs of neighbouring characters in 4t, and if the lines stay alike for a
 few characters where they first and last part.
 
-Lines of fewer than `least` characters are neither dropped nor a reason to drop, as are blank
-ones: two edits are too large a part of them.
+Lines of fewer than `least` characters take no part in the edit join, as two edits are too large
+a part of them; with `short` they are dropped if an earlier line is equal, else they stay. Blank
+lines always stay.
 
 Defined results: a null text stays null and has no lines; a text that loses all lines becomes
 empty; rows that repeat id and text count as one document and get the same lines; rows with a
@@ -176,20 +177,20 @@ def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     return one.join(two, near, "left_semi").select("h", "h2").distinct()
 
 
-def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """One row per line that goes: id, doc (hash of its text), pos."""
-    lines = lines_of(docs, id_col, text_col, least)
+    lines = lines_of(docs, id_col, text_col, 1 if short else least)
     firsts = stored(lines.groupBy("h", "h2").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "line-classes")
-    near = near_lines(lines, firsts, edits) if edits else firsts.select("h", "h2").limit(0)
+    near = near_lines(lines.filter(F.col("n") >= least), firsts, edits) if edits else firsts.select("h", "h2").limit(0)
     # of a class with near earlier lines all copies go, of another all but the first
     going = firsts.join(near.withColumn("near", F.lit(True)), ["h", "h2"], "left").filter("copies > 1 OR near")
     going = going.select("h", "h2", F.when(F.col("near").isNull(), F.col("place")).alias("kept"))
     return lines.select("h", "h2", "place").join(going, ["h", "h2"]).filter(F.col("kept").isNull() | (F.col("place") != F.col("kept"))).select("place.id", "place.doc", "place.pos").distinct()
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs with the lines that go taken out of the text; one more column, `__line_dropped`, counts them."""
-    gone = decisions(docs, edits, least, id_col, text_col).groupBy("id", "doc").agg(F.collect_set("pos").alias("__line_gone"))
+    gone = decisions(docs, edits, least, id_col, text_col, short).groupBy("id", "doc").agg(F.collect_set("pos").alias("__line_gone"))
     gone = gone.select(F.col("id").alias("__line_id"), F.col("doc").alias("__line_doc"), "__line_gone")
     rows = docs.withColumn("__line_key", F.xxhash64(F.col(text_col)))
     joined = rows.join(gone, F.col(id_col).eqNullSafe(F.col("__line_id")) & (F.col("__line_key") == F.col("__line_doc")), "left")
@@ -201,5 +202,5 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_dropped, the text that is left and its length."""
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return found.select("doc_id", F.col("__line_dropped").alias("n_dropped"), F.length("text").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))

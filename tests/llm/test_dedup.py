@@ -240,3 +240,12 @@ def test_line_dedup_cases(spark):
     got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()]
     assert sorted(got, key=str) == sorted([(1, f"{line}\n")] * 2 + [(2, ""), (None, ""), (3, ""), (4, "short\nshort")], key=str)
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_op10_drops_exact_repeats_of_short_lines(spark, tmp_path):
+    line = "a line that is long enough to count"
+    docs = [(1, "Les.\n\n日本語\nLes.\nab"), (2, f"{line}\n Les. \n日本語\n\nLet.\nac"), (3, f"{line}s\nac\nnew")]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: "Les.\n\n日本語\nab", 2: f"{line}\n\nLet.\nac", 3: "new"}
+    got = {r.doc_id: (r.n_dropped, r.text_sha256) for r in line_dedup.op10_line_dedup(spark, f"file://{tmp_path}").collect()}
+    assert got == {k: (n, hashlib.sha256(want[k].encode()).hexdigest()) for k, n in [(1, 1), (2, 2), (3, 2)]}
