@@ -31,6 +31,7 @@ SAMPLE = 1000
 CHARS = 20_000  # the longest text that the sample takes; prediction reads all texts whole
 GRAMS = (2, 3)
 PENALTY = 6.0  # nats for a switch
+FLOOR = 0.02  # of a language's letters are in words that score less than those that count as its own
 SHARE = 0.01  # of a language's letters that must be in a script for it to be one of its scripts
 #: First code points of ranges of scripts, in order.
 RANGES = [
@@ -58,6 +59,7 @@ class Model:
     scores: dict[str, tuple[float, ...]]  # by gram, for each language
     unseen: tuple[float, ...]
     scripts: dict[str, tuple[bool, ...]]
+    floors: tuple[float, ...] = ()  # for each language, the least mean score of a word that counts as its own
 
 
 def fit(texts: list[str], languages: list[str], least: int = 2) -> Model:
@@ -79,7 +81,14 @@ def fit(texts: list[str], languages: list[str], least: int = 2) -> Model:
     unseen = tuple(float(np.log(0.5 / (t + 0.5 * size))) for t in totals)
     seen = {s for x in names for s in letters[x]}
     scripts = {s: tuple(letters[x][s] >= SHARE * max(1, sum(letters[x].values())) for x in names) for s in seen}
-    return Model(names, scores, unseen, {s: v for s, v in scripts.items() if any(v)})
+    floors = []
+    for k, x in enumerate(names):
+        mine = {g: s[k] for g, s in scores.items()}
+        means = np.array([sum(mine.get(g, unseen[k]) for g in found) / len(found) for found in map(grams, words[x])])
+        order, sizes = np.argsort(means), np.array([n * len(w) for w, n in words[x].items()], float)
+        below = np.cumsum(sizes[order]) if len(means) else sizes
+        floors.append(float(means[order[np.searchsorted(below, FLOOR * below[-1])]]) if len(means) else 0.0)
+    return Model(names, scores, unseen, {s: v for s, v in scripts.items() if any(v)}, tuple(floors))
 
 
 def viterbi(scores: list[np.ndarray], penalty: float = PENALTY, together: int = 1 << 21) -> list[np.ndarray]:
@@ -138,25 +147,31 @@ class Labeller:
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, max(1, len(self.model.languages))), np.float32)
+        self.own = np.zeros(self.table.shape, bool)
 
     def _add(self, word: str) -> int:
         k = len(self.index)
         if k == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.own = np.concatenate([self.own, np.zeros_like(self.own)])
         scores, unseen = self.model.scores, self.model.unseen
         found = [scores.get(g, unseen) for g in grams(word)]
         row = np.array(found).mean(axis=0)
         if allowed := self.model.scripts.get(script(word[0])):
+            self.own[k] = (row >= self.model.floors) & allowed
             row[~np.array(allowed)] -= 50.0
         self.table[k] = row * min(len(word), 12) ** 0.5
         self.index[word] = k
         return k
 
-    def _rows(self, words: list[str]) -> np.ndarray:
+    def _at(self, words: list[str]) -> list[int]:
         if len(self.index) > self.most:
             self._clear()
         index = self.index
-        at = [index[w] if w in index else self._add(w) for w in words]
+        return [index[w] if w in index else self._add(w) for w in words]
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        at = self._at(words)
         return self.table[at]
 
     def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
@@ -177,6 +192,22 @@ class Labeller:
             out.append((self.model.languages[best], float(letters[best] / letters.sum())))
         return out
 
+    def own_shares(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language with the most letters in words that count as its own, and their share of
+        all letters; `und` if there are none. Words of a script that wasn't learned, or less
+        likely than nearly all of a language's words, count for none."""
+        out = []
+        for words, labels in self.label(texts):
+            if not len(labels):
+                out.append(("und", 0.0))
+                continue
+            at = self._at(words)
+            sizes = np.fromiter(map(len, words), float, len(words))
+            letters = np.bincount(labels, sizes * self.own[at, labels], len(self.model.languages))
+            best = int(letters.argmax())
+            out.append((self.model.languages[best] if letters[best] else "und", float(letters[best] / sizes.sum())))
+        return out
+
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """Language, first word and the word after the last."""
         ((_, labels),) = self.label([text])
@@ -196,8 +227,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 _LABELLERS: dict[int, Labeller] = {}
 
 
-def language(spark: SparkSession, text: Column, model: Model, batch: int = 1024) -> Column:
-    """lang_pred and score of a text."""
+def language(spark: SparkSession, text: Column, model: Model, batch: int = 1024, own: bool = False) -> Column:
+    """lang_pred and score of a text; with `own` only words that count as a language's own give it letters."""
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -206,7 +237,8 @@ def language(spark: SparkSession, text: Column, model: Model, batch: int = 1024)
         if key not in _LABELLERS:
             _LABELLERS.clear()
             _LABELLERS[key] = Labeller(shipped.value)
-        rows = [r for k in range(0, len(texts), batch) for r in _LABELLERS[key].predict(texts.iloc[k : k + batch].tolist())]
+        predict = _LABELLERS[key].own_shares if own else _LABELLERS[key].predict
+        rows = [r for k in range(0, len(texts), batch) for r in predict(texts.iloc[k : k + batch].tolist())]
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return predicted(text)

@@ -60,3 +60,17 @@ def test_run_and_registered_queries(spark, tmp_path):
     made(folder, spark)
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert sorted({int(q[2:].split("_")[0]) for q in queries.QUERIES}) == list(range(1, 11))
+
+
+def test_language_stage_rejects_what_no_learned_language_has(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    docs, _ = made(folder, spark)
+    own = docs[0][1].split()
+    rng = random.Random(3)
+    random_words = ["".join(rng.choice("dfghjqvwxyz") for _ in range(7)) for _ in range(60)]
+    mixed = own[:12] + random_words[:12] + ["это", "русский", "текст"] * 6 + ["日本語の文章"] * 10 + ["ελληνικά"] * 10
+    odd = {2000: "日本語の文章 " * 20, 2001: "это русский текст " * 20, 2002: " ".join(random_words), 2003: " ".join(mixed), 2004: " ".join(own[:40] + random_words[:15])}
+    more = spark.createDataFrame([(k, t, None, "s", 0) for k, t in odd.items()], SCHEMA)
+    every = spark.read.parquet(f"{folder}/documents.parquet").union(more)
+    kept = {r.doc_id for r in corpus_pipeline._language(spark, every, folder).select("doc_id").collect()}
+    assert kept == {d for d, *_ in docs} - {1002, 1003} | {2004}
