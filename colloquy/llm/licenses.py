@@ -129,10 +129,8 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
     spark = docs.sparkSession
     found = digests(KNOWN if known is None else known)
     listed = spark.createDataFrame(found, "digest string, license string")
-    longest = max((len(canonical_text(t)) for _, t in (KNOWN if known is None else known) if "\n" not in t), default=0)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    # a line can't be a known text if it has more letters and digits than any of one line
-    lines = F.filter(F.split(F.coalesce("__text", F.lit("")), "\n", -1), lambda x: (F.length(x) > 0) & (F.length(x) <= 4 * longest + 64))
+    lines = F.filter(F.split(F.coalesce("__text", F.lit("")), "\n", -1), lambda x: F.length(x) > 0)
     of_lines = F.transform(lines, lambda x: F.sha2(canonical(x), 256))
     by_digest = F.create_map(*(F.lit(x) for pair in found for x in pair)) if found else F.lit(None).cast("map<string,string>")
     names = F.array_sort(F.array_distinct(F.filter(F.transform(of_lines, lambda d: by_digest[d]), lambda x: x.isNotNull())))
@@ -141,10 +139,18 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
 
 
 def _marked(known: list[tuple[str, str]] | None) -> str:
-    """A pattern of words of which each known text of one line has one, in any spelling."""
-    firsts = {max(re.findall(r"[a-z]+", t.lower()), key=len) for _, t in (KNOWN if known is None else known) if "\n" not in t and re.search("[A-Za-z]", t)}
-    other = {a for a, b in EQUIVALENT if b in firsts} | {b for a, b in EQUIVALENT if a in firsts}
-    return "(?i)" + "|".join(sorted(firsts | other)) if firsts else "$^"
+    """A pattern of words of which each known text has one in its canonical form, in any spelling."""
+    texts = [x for _, t in (KNOWN if known is None else known) if (x := canonical_text(t))]
+    words = [re.findall(r"(?<!\S)[a-z]+(?!\S)", x) for x in texts]
+    if not all(words):
+        return ""
+    firsts: set[str] = set()
+    for found in words:
+        if firsts.isdisjoint(found):
+            firsts.add(max(found, key=len))
+    other = {a for a, b in EQUIVALENT if b in firsts}
+    spelt = sorted(w.replace("i", "[iİ]").replace("k", "[k\u212a]") for w in firsts | other)  # letters with these lower cases
+    return "(?i)" + "|".join(spelt) if firsts else "$^"
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -126,6 +127,23 @@ def test_licence_scan(spark):
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_licences_of_any_length_on_one_line_equal_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    flat = {n: t.replace("\n", " ") for n, t in licenses.KNOWN if "\n" in t}
+    texts = [*flat.values(), *(f"Some text\n{t}\nand more" for t in flat.values()), "*" * 400 + " Released under the MIT License. " + "-" * 400, f"{flat['MIT']}\n{flat['ISC'].upper()}", "no notice", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = sorted(tuple(r) for r in licenses.scan(docs).collect())
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert got == sorted(db.execute(licenses.OP4_SQL).fetchall())
+    notices = [r[3] for r in got]
+    assert notices[: len(flat)] == list(flat) and notices[len(flat) : 2 * len(flat)] == list(flat) and notices[2 * len(flat) :] == ["MIT", "ISC,MIT", "", ""]
+    own = [("Own", "First part of it.\nSecond part."), ("Digits", "1 2 3")]
+    rows = spark.createDataFrame([(1, "x\nfirst part of it second PART"), (2, "y\n1, 2, 3"), (3, "z")], DOCS)
+    assert {r.doc_id: r.notices for r in licenses.scan(rows, own).collect()} == {1: "Own", 2: "Digits", 3: ""}
+
+
 # --- toxicity and language ----------------------------------------------------------------------
 
 
