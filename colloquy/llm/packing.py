@@ -135,7 +135,7 @@ class Gaps:
                     return pair
         low = max(1, gap - 2 * self.full)
         thirds = np.flatnonzero(self.there[low : max(low, min(gap, self.full + 1))])[::-1] + low
-        for c in thirds[self.pairs[gap - thirds] > 0][:64]:
+        for c in thirds[self.pairs[gap - thirds] > 0]:
             for pair in self._pairs(gap - int(c)):
                 if self.enough(_plus(used, [int(c), *pair])):
                     return [int(c), *pair]
@@ -145,7 +145,7 @@ class Gaps:
         low, high = max(1, total - self.full), total // 2
         if high >= low:
             a = np.arange(low, high + 1)
-            for x in a[self.there[a] & self.there[total - a]][:64]:
+            for x in a[self.there[a] & self.there[total - a]]:
                 yield [int(total - x), int(x)]
 
     def best(self, gap: int, used: dict[int, int]) -> int:

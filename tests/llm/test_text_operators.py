@@ -222,3 +222,12 @@ def test_neighbours_recall_copies_and_cases(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in ann.nearest(few, F.col("vec_id") == 0).collect()] == [(0, 1)]
     assert ann.nearest(few.limit(0), F.lit(True)).count() == 0
+
+
+def test_exact_complements_beyond_many_that_are_used():
+    counts = np.zeros(4097, np.int64)
+    counts[1:72] = counts[3929:4000] = 1
+    assert packing.Gaps(counts.copy()).exact(4000, {k: 1 for k in range(1, 71)}) == [3929, 71]
+    counts[:] = 0
+    counts[45:82] = counts[3929:4000] = 1
+    assert packing.Gaps(counts.copy()).exact(4090, {k: 1 for k in range(3930, 4000)}) == [3929, 81, 80]
