@@ -5,8 +5,15 @@ log-likelihood under the language's character grams; a Viterbi search over the w
 with a penalty for each switch, labels spans. The text's language is the one whose spans hold
 the most letters, and the score is its share of them.
 
+Most texts need no search: let b be the language of the largest total. Any run of words that
+another labelling gives to other languages costs a switch at least, and gains at most the sum,
+over the run, of the best other language's score less that of b. If the largest such sum of any
+run is below the penalty, no switch can pay and all words are b, which is what the search finds.
+
 Learned from a bounded sample: at most `sample` texts of each language (those with the smallest
-hash of the id); the gram table has a fixed number of buckets. Prediction covers whole texts.
+hash of the id), each whole; of rows that repeat an id one is learned from. Words are counted in
+Spark, so what reaches the driver are the different words of the sample. Prediction covers whole
+texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is every text
 if nothing was learned; words in a script of which no language was learned may have any language;
@@ -25,10 +32,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LETTERS, bounded_sample, remainder, table
+from .shared import Spelled, bounded_sample, found_in, remainder, stored, table, word_lists, words
 
 SAMPLE = 1000
-CHARS = 20_000  # the longest text that the sample takes; prediction reads all texts whole
 GRAMS = (2, 3)
 PENALTY = 6.0  # nats for a switch
 FLOOR = 0.02  # of a language's letters are in words that score less than those that count as its own
@@ -48,50 +54,81 @@ def script(char: str) -> str:
     return _SCRIPTS[bisect_right(_STARTS, ord(char)) - 1]
 
 
-def grams(word: str) -> list[str]:
-    word = f"\x02{word}\x03"
-    return [word[k : k + n] for n in GRAMS for k in range(len(word) - n + 1)]
+def grams_of(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all grams of words and the word of each; and the number of grams of each word."""
+    spelled = Spelled(found, max(GRAMS))
+    at = [np.flatnonzero(spelled.place >= n - 1) for n in GRAMS]
+    word = np.concatenate([spelled.word[a] for a in at])
+    return np.concatenate([spelled.grams[n][a] for n, a in zip(GRAMS, at, strict=True)]), word, np.bincount(word, minlength=len(found))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    scores: dict[str, tuple[float, ...]]  # by gram, for each language
-    unseen: tuple[float, ...]
+    grams: np.ndarray  # sorted hashes
+    scores: np.ndarray  # a row for each gram, a column for each language
+    unseen: np.ndarray
     scripts: dict[str, tuple[bool, ...]]
-    floors: tuple[float, ...] = ()  # for each language, the least mean score of a word that counts as its own
+    floors: np.ndarray  # for each language, the least mean score of a word that counts as its own
+
+    def means(self, found: list[str]) -> np.ndarray:
+        """The mean score of each word's grams, for each language."""
+        if not found:
+            return np.zeros((0, len(self.languages)))
+        gram, word, n = grams_of(found)
+        score, there = found_in(self.grams, self.scores, gram)
+        score = np.where(there[:, None], score, self.unseen)
+        return np.stack([np.bincount(word, score[:, k], len(found)) for k in range(len(self.languages))], axis=1) / n[:, None]
+
+
+def fit(found: list[str], counts: np.ndarray, languages: list[str], least: int = 2) -> Model:
+    """From different words and how often each language (a column, in the order of the sorted names) has them."""
+    if not languages:
+        return Model([], *(np.zeros(0) for _ in range(3)), {}, np.zeros(0))
+    sizes = np.fromiter(map(len, found), float, len(found))
+    scripts: dict[str, np.ndarray] = {}
+    for w, n, size in zip(found, counts, sizes, strict=True):
+        name = script(w[0])
+        scripts[name] = scripts.get(name, 0) + n * size
+    letters = np.maximum(1, sizes @ counts) if found else np.ones(len(languages))
+    gram, word, _ = grams_of(found) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), None)
+    grams, one = np.unique(gram, return_inverse=True)
+    n = np.stack([np.bincount(one, c[word], len(grams)) for c in counts.T], axis=1)
+    total, often = n.sum(axis=0), (n >= least).any(axis=1)
+    size = often.sum() + 1
+    score = lambda x: np.log((x + 0.5) / (total + 0.5 * size))
+    known = {s: tuple((v >= SHARE * letters).tolist()) for s, v in scripts.items()}
+    model = Model(languages, grams[often], score(n[often]), score(np.zeros(len(languages))), {s: v for s, v in known.items() if any(v)}, np.zeros(len(languages)))
+    means = model.means(found)
+    for k in range(len(languages)):
+        own = np.flatnonzero(counts[:, k]) if found else np.zeros(0, int)
+        if len(own):
+            order = own[np.argsort(means[own, k])]
+            below = np.cumsum(counts[order, k] * sizes[order])
+            model.floors[k] = means[order[np.searchsorted(below, FLOOR * below[-1])], k]
+    return model
+
+
+def fit_texts(texts: list[str], languages: list[str]) -> Model:
+    """From texts in memory."""
+    names = sorted(set(languages))
+    counted = Counter((w, x) for t, x in zip(texts, languages, strict=True) for w in words(t))
+    found = sorted({w for w, _ in counted})
+    return fit(found, np.array([[counted[w, x] for x in names] for w in found], float).reshape(len(found), len(names)), names)
 
 
-def fit(texts: list[str], languages: list[str], least: int = 2) -> Model:
-    names = sorted(set(languages))
-    words = {x: Counter() for x in names}
-    for t, x in zip(texts, languages, strict=True):
-        words[x].update(LETTERS.findall((t or "").lower()))
-    counts = {x: Counter() for x in names}
-    letters = {x: Counter() for x in names}
-    for x in names:
-        for w, n in words[x].items():
-            letters[x][script(w[0])] += n * len(w)
-            for g in grams(w):
-                counts[x][g] += n
-    totals = [sum(counts[x].values()) for x in names]
-    kept = {g for x in names for g, n in counts[x].items() if n >= least}
-    size = len(kept) + 1
-    scores = {g: tuple(float(np.log((counts[x][g] + 0.5) / (t + 0.5 * size))) for x, t in zip(names, totals, strict=True)) for g in kept}
-    unseen = tuple(float(np.log(0.5 / (t + 0.5 * size))) for t in totals)
-    seen = {s for x in names for s in letters[x]}
-    scripts = {s: tuple(letters[x][s] >= SHARE * max(1, sum(letters[x].values())) for x in names) for s in seen}
-    floors = []
-    for k, x in enumerate(names):
-        mine = {g: s[k] for g, s in scores.items()}
-        means = np.array([sum(mine.get(g, unseen[k]) for g in found) / len(found) for found in map(grams, words[x])])
-        order, sizes = np.argsort(means), np.array([n * len(w) for w, n in words[x].items()], float)
-        below = np.cumsum(sizes[order]) if len(means) else sizes
-        floors.append(float(means[order[np.searchsorted(below, FLOOR * below[-1])]]) if len(means) else 0.0)
-    return Model(names, scores, unseen, {s: v for s, v in scripts.items() if any(v)}, tuple(floors))
-
-
-def viterbi(scores: list[np.ndarray], penalty: float = PENALTY, together: int = 1 << 21) -> list[np.ndarray]:
+def switch_may_pay(scores: np.ndarray, best: int, penalty: float) -> bool:
+    """Whether some run of words gains the penalty at least by other languages than the best."""
+    if scores.shape[1] < 2:
+        return False
+    own = scores[:, best].copy()
+    others = scores.copy()
+    others[:, best] = -np.inf
+    sums = np.concatenate([[0.0], np.cumsum(others.max(axis=1) - own)])
+    return bool((sums - np.minimum.accumulate(sums)).max() >= penalty)
+
+
+def viterbi(scores: list[np.ndarray], penalty: float = PENALTY, together: int = 1 << 20) -> list[np.ndarray]:
     """The labels of each text's words. Texts go through in step, sorted by length.
 
     A state's best score is its own of the step before, or the best of any less the penalty;
@@ -112,12 +149,12 @@ def viterbi(scores: list[np.ndarray], penalty: float = PENALTY, together: int =
 def _in_step(scores: list[np.ndarray], group: list[int], penalty: float, out: list[np.ndarray]) -> None:
     lengths = np.array([len(scores[k]) for k in group])
     n, steps, states = len(group), int(lengths[0]), scores[group[0]].shape[1]
-    padded = np.zeros((steps, n, states), np.float32)
+    padded = np.zeros((steps, n, states))
     for j, k in enumerate(group):
         padded[: lengths[j], j] = scores[k]
     switched = np.zeros((steps, n, states), bool)
     best_from = np.zeros((steps, n), np.int8)
-    now = padded[0].astype(np.float64)
+    now = padded[0].copy()
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # texts longer than the step
     for t in range(1, steps):
         m = active[t]
@@ -140,105 +177,105 @@ def _in_step(scores: list[np.ndarray], group: list[int], penalty: float, out: li
 class Labeller:
     """Labels the words of texts; keeps the scores of words in a table, up to a number of words."""
 
-    def __init__(self, model: Model, most: int = 500_000) -> None:
+    def __init__(self, model: Model, most: int = 400_000) -> None:
         self.model, self.most = model, most
         self._clear()
 
     def _clear(self) -> None:
+        n = len(self.model.languages)
         self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, max(1, len(self.model.languages))), np.float32)
-        self.own = np.zeros(self.table.shape, bool)
-
-    def _add(self, word: str) -> int:
-        k = len(self.index)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.own = np.concatenate([self.own, np.zeros_like(self.own)])
-        scores, unseen = self.model.scores, self.model.unseen
-        found = [scores.get(g, unseen) for g in grams(word)]
-        row = np.array(found).mean(axis=0)
-        if allowed := self.model.scripts.get(script(word[0])):
-            self.own[k] = (row >= self.model.floors) & allowed
-            row[~np.array(allowed)] -= 50.0
-        self.table[k] = row * min(len(word), 12) ** 0.5
-        self.index[word] = k
-        return k
-
-    def _at(self, words: list[str]) -> list[int]:
-        if len(self.index) > self.most:
-            self._clear()
-        index = self.index
-        return [index[w] if w in index else self._add(w) for w in words]
+        self.table = np.zeros((0, n))
+        self.own = np.zeros((0, n), bool)
 
-    def _rows(self, words: list[str]) -> np.ndarray:
-        at = self._at(words)
-        return self.table[at]
-
-    def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
-        """The words of each text, and their labels as positions among the languages."""
-        words = [LETTERS.findall((t or "").lower()) for t in texts]
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Puts the words that aren't there yet into the table."""
+        new = list({w for ws in texts for w in ws if w not in self.index})
+        if len(new) + len(self.index) > self.most:
+            self._clear()
+            new = list({w for ws in texts for w in ws})
+        if not new:
+            return
+        means = np.concatenate([self.model.means(new[k : k + (1 << 16)]) for k in range(0, len(new), 1 << 16)])
+        kinds = [script(w[0]) for w in new]
+        allowed = {s: np.array(self.model.scripts.get(s) or [True] * len(self.model.languages)) for s in set(kinds)}
+        known = np.array([s in self.model.scripts for s in kinds])
+        may = np.stack([allowed[s] for s in kinds])
+        sizes = np.fromiter(map(len, new), float, len(new))
+        self.own = np.concatenate([self.own, (means >= self.model.floors) & may & known[:, None]])
+        self.table = np.concatenate([self.table, (means - np.where(may, 0.0, 50.0)) * np.sqrt(np.minimum(sizes, 12))[:, None]])
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+
+    def label(self, texts: list[str | None], penalty: float = PENALTY) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """Of each text its words, their places in the table, and their labels as positions among the languages."""
+        every = [words(t) for t in texts]
         if not self.model.languages:
-            return [([], np.zeros(0, np.int8)) for _ in words]
-        return list(zip(words, viterbi([self._rows(w) for w in words]), strict=True))
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out = []
-        for words, labels in self.label(texts):
-            if not len(labels):
-                out.append(("und", 0.0))
-                continue
-            letters = np.bincount(labels, np.fromiter(map(len, words), float, len(words)), len(self.model.languages))
-            best = int(letters.argmax())
-            out.append((self.model.languages[best], float(letters[best] / letters.sum())))
-        return out
-
-    def own_shares(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The language with the most letters in words that count as its own, and their share of
-        all letters; `und` if there are none. Words of a script that wasn't learned, or less
-        likely than nearly all of a language's words, count for none."""
+            return [([], np.zeros(0, np.int64), np.zeros(0, np.int8)) for _ in every]
+        self._learn(every)
+        get = self.index.__getitem__
+        places = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in every]
+        labels: list[np.ndarray] = []
+        search = []
+        for k, at in enumerate(places):
+            scores = self.table[at]
+            best = int(scores.sum(axis=0).argmax()) if len(at) else 0
+            labels.append(np.full(len(at), best, np.int8))
+            if len(at) and switch_may_pay(scores, best, penalty):
+                search.append(k)
+        for k, found in zip(search, viterbi([self.table[places[k]] for k in search], penalty), strict=True):
+            labels[k] = found
+        return list(zip(every, places, labels, strict=True))
+
+    def predict(self, texts: list[str | None], own: bool = False) -> list[tuple[str, float]]:
+        """The language with the most letters and its share of them; `und` if there is none.
+
+        With `own` a word gives its letters to its label only if it counts as that language's
+        own. Words of a script that wasn't learned, or less likely than nearly all of a
+        language's words, count for none.
+        """
         out = []
-        for words, labels in self.label(texts):
+        for found, at, labels in self.label(texts):
             if not len(labels):
                 out.append(("und", 0.0))
                 continue
-            at = self._at(words)
-            sizes = np.fromiter(map(len, words), float, len(words))
-            letters = np.bincount(labels, sizes * self.own[at, labels], len(self.model.languages))
+            sizes = np.fromiter(map(len, found), float, len(found))
+            letters = np.bincount(labels, sizes * self.own[at, labels] if own else sizes, len(self.model.languages))
             best = int(letters.argmax())
             out.append((self.model.languages[best] if letters[best] else "und", float(letters[best] / sizes.sum())))
         return out
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """Language, first word and the word after the last."""
-        ((_, labels),) = self.label([text])
+        ((_, _, labels),) = self.label([text])
         cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
         return [(self.model.languages[labels[a]], a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """From rows with a language whose crc32 of the id modulo 4 isn't 2; at most `sample` of each."""
+    """From rows with a language whose crc32 of the id modulo 4 isn't 2; at most `sample` rows of each."""
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = found.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= CHARS))
+    found = found.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = bounded_sample(found.select("doc_id", "lang").distinct(), ["lang"], "doc_id", sample)
-    rows = found.join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("lang", "doc_id", "text").select("text", "lang").toPandas()
-    return fit(rows.text.tolist(), rows.lang.tolist())
+    rows = found.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    counts = stored(rows.select("lang", F.explode(word_lists(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
+    languages = sorted(r.lang for r in ids.select("lang").distinct().collect())
+    wide = counts.groupBy("word").pivot("lang", languages).agg(F.sum("n")) if languages else counts.select("word").limit(0)
+    got = wide.na.fill(0).toPandas()
+    return fit(got.word.tolist(), got[languages].to_numpy(float).reshape(len(got), len(languages)), languages)
 
 
-_LABELLERS: dict[int, Labeller] = {}
+_LABELLERS: list[tuple[object, Labeller]] = []
 
 
-def language(spark: SparkSession, text: Column, model: Model, batch: int = 1024, own: bool = False) -> Column:
+def language(spark: SparkSession, text: Column, model: Model, batch: int = 2048, own: bool = False) -> Column:
     """lang_pred and score of a text; with `own` only words that count as a language's own give it letters."""
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        key = id(shipped.value)
-        if key not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[key] = Labeller(shipped.value)
-        predict = _LABELLERS[key].own_shares if own else _LABELLERS[key].predict
-        rows = [r for k in range(0, len(texts), batch) for r in predict(texts.iloc[k : k + batch].tolist())]
+        if not (_LABELLERS and _LABELLERS[0][0] is shipped.value):  # the value is kept, so that no other can take its place
+            _LABELLERS[:] = [(shipped.value, Labeller(shipped.value))]
+        labeller = _LABELLERS[0][1]
+        rows = [r for k in range(0, len(texts), batch) for r in labeller.predict(texts.iloc[k : k + batch].tolist(), own)]
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return predicted(text)

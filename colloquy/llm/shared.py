@@ -1,16 +1,77 @@
-"""Helpers shared by the operators: table access, shared storage, labelled samples, words."""
+"""Helpers shared by the operators: table access, shared storage, labelled samples, words and their grams."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import unicodedata
 import uuid
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A maximal run of Unicode letters.
-LETTERS = re.compile(r"[^\W\d_]+")
+
+def _ranges(categories: str) -> str:
+    """The characters whose category begins with one of these letters, as ranges of a character class."""
+    there = [unicodedata.category(chr(k))[0] in categories for k in range(0x110000)]
+    starts = [k for k in range(0x110000) if there[k] and not (k and there[k - 1])]
+    ends = [k for k in range(0x110000) if there[k] and not (k + 1 < 0x110000 and there[k + 1])]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+@cache
+def _words():
+    return re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*").findall
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text in lower case: a letter, then letters and combining marks."""
+    return _words()((text or "").lower())
+
+
+def word_lists(text: Column) -> Column:
+    """array<string>: the words of a text."""
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([words(t) for t in texts], dtype=object)
+
+    return found(text)
+
+
+class Spelled:
+    """The characters of words between a start and an end mark, and hashes of their grams."""
+
+    def __init__(self, found: list[str], order: int) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
+        codes = np.frombuffer("".join(f"\x02{w}\x03" for w in found).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self.first = np.cumsum(sizes) - sizes
+        self.word = np.repeat(np.arange(len(found)), sizes)
+        self.place = np.arange(len(codes)) - self.first[self.word]
+        codes = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        self.codes = codes ^ (codes >> np.uint64(29))
+        self.grams = [np.zeros(len(codes), np.uint64)]  # by length: of the characters up to each place
+        for _ in range(order):
+            self.grams.append(self.before(self.grams[-1]) * np.uint64(0x9E3779B97F4A7C15) + self.codes)
+
+    @staticmethod
+    def before(x: np.ndarray) -> np.ndarray:
+        """At each place the value of the place before."""
+        out = np.zeros_like(x)
+        out[1:] = x[:-1]
+        return out
+
+
+def found_in(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each wanted key among sorted ones, and whether it is there."""
+    if not len(keys):
+        return np.zeros((len(wanted), *values.shape[1:])), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return values[at], keys[at] == wanted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +79,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a session on one machine
+    (tests) gets a temporary one; others raise an error, as executors couldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='colloquy-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -28,14 +92,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage."""
+    """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
+
+    The table must stay until the results that read it are written; `forget` then removes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Removes all tables that this process stored; their number. For after the results are written."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _STORED]
+    for path in paths:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _STORED.clear()
+    return len(paths)
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))

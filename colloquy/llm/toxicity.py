@@ -1,216 +1,207 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Each class, toxic and ordinary, has an interpolated Kneser-Ney model of the characters of words:
-the chance of a character after the ones before it, discounted and backed off to continuation
-counts of shorter contexts, so that a rare spelling of a known expression still gets the mass
-of what it shares with others. A word's evidence is the difference of its two log-likelihoods;
-a text is compared by the mean over its words, so that its length doesn't count, and by how far
-the evidence of marked words goes beyond two levels, both on average and in all. A logistic
-regression, fitted on evidence from models that haven't seen the text, weighs these.
-
-Fitted on a bounded sample: at most `sample` labelled texts of each class (those with the
-smallest hash of the id); the model that is broadcast is bounded by `entries` context counts a
-class. Scoring covers every whole text.
+"""Toxicity by class-conditional Kneser-Ney models with shared backoff.
+
+Each class, toxic and ordinary, has a model of the characters of words. The longest contexts
+(the six characters before, or all since the word's start) are counted for each class; their
+discounted mass goes to shorter contexts, whose continuation counts are shared: they are those
+of both classes together. So a rare expression gets what both classes know of its parts, and
+only what one class has seen more of speaks for it. A toxic text is taken for a mixture: of its
+words a small share comes from the toxic model and the rest from the ordinary one. Its evidence
+is the difference of the two log-likelihoods over the number of its words, drawn towards none in
+very short texts; the score is a logistic function of this evidence alone, whose two constants
+are fitted on labelled texts by models that were counted without them.
+
+Where neither class has seen a gram, both chances back off to the same shared one, which
+cancels; the ratio of the two backoff weights is left. So the model that is shipped has a number
+for each gram and for each context, in arrays sorted by hash, and no shorter ones.
+
+Learned from a bounded sample: at most `sample` labelled texts of each class (those with the
+smallest hash of the id), each whole. Their words are counted in Spark. Scoring covers every
+whole text.
 
 Defined results: a null or empty text, or one without letters, has no evidence and gets the
-score of that; repeated rows are scored each; labels that are null are no labels; if a class
-has no labelled text, every score is 0; an empty table gives an empty result; columns other
-than id and text are ignored.
+score of that; repeated rows are scored each; labels that are null or other than 0 and 1 are
+none; of labels that repeat an id the larger counts, and of texts that do one is learned from; if a class has no labelled text, every
+score is 0; an empty table gives an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LETTERS, bounded_sample, remainder, table
+from .shared import Spelled, bounded_sample, found_in, remainder, stored, table, word_lists, words
 
 ORDER = 7
-#: Evidence in nats from which a word is marked, and the number of a text's features.
-MARKED = (1.0, 2.5)
-FEATURES = 2 + 2 * len(MARKED)
+DISCOUNT = 0.75
 SAMPLE = 1200
-ENTRIES = 600_000
-CHARS = 20_000  # the longest text that the sample takes; scoring reads all texts whole
-
-
-class KneserNey:
-    """Interpolated Kneser-Ney over the characters of words, from counts of words."""
-
-    def __init__(self, words: Counter, order: int = ORDER, discount: float = 0.75, entries: int = ENTRIES) -> None:
-        self.discount = discount
-        top: Counter = Counter()
-        for w, n in words.items():
-            w = "\x02" + w + "\x03"
-            for k in range(1, len(w)):
-                top[w[max(0, k - order + 1) : k + 1]] += n
-        if len(top) > entries:
-            top = Counter(dict(top.most_common(entries)))
-        self.counts: dict[str, float] = dict(top)
-        seen = set(top)
-        for g in list(seen):  # continuation counts: by how many different characters g is preceded
-            while len(g) > 1:
-                g = g[1:]
-                self.counts[g] = self.counts.get(g, 0) + 1
-                if g in seen:
-                    break
-                seen.add(g)
-        self.totals: dict[str, float] = {}
-        self.kinds: dict[str, int] = {}
-        for g, n in self.counts.items():
-            self.totals[g[:-1]] = self.totals.get(g[:-1], 0) + n
-            self.kinds[g[:-1]] = self.kinds.get(g[:-1], 0) + 1
-
-    def backoff(self, context: str) -> float:
-        """The factor that a chance from the shorter context gets for an unseen character."""
-        total = self.totals.get(context)
-        return self.discount * self.kinds[context] / total if total else 1.0
-
-    def chance(self, gram: str, shorter: float) -> float:
-        """The chance of the last character after the others, given its chance after one fewer."""
-        total = self.totals.get(gram[:-1])
-        seen = max(self.counts.get(gram, 0) - self.discount, 0) / total if total else 0.0
-        return seen + self.backoff(gram[:-1]) * shorter
+MIXED = 0.01  # the share of a toxic text's words that are its class's own
+SHORT = 10  # words' worth of no evidence that every text has besides its own
+
+
+def top(spelled: Spelled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every character but the starts: its place, its longest gram and that one's context."""
+    at = np.flatnonzero(spelled.place > 0)
+    n = np.minimum(spelled.place[at] + 1, ORDER)
+    gram, context = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for k in range(2, ORDER + 1):
+        here = n == k
+        gram[here], context[here] = spelled.grams[k][at[here]], spelled.grams[k - 1][at[here] - 1]
+    return at, gram, context
+
+
+def shared_chances(spelled: Spelled) -> list[np.ndarray]:
+    """By length, at each place: the chance of the character after the ones before it, by
+    continuation counts (how many different characters a gram follows) of all words."""
+    base = 1.0 / max(1, len(np.unique(spelled.codes)))
+    out = [np.full(len(spelled.codes), base)]
+    for k in range(1, ORDER):
+        at = np.flatnonzero(spelled.place >= k)
+        _, longer = np.unique(spelled.grams[k + 1][at], return_index=True)
+        gram, one = np.unique(spelled.grams[k][at][longer], return_inverse=True)
+        follows = np.bincount(one, minlength=len(gram))
+        place = np.zeros(len(gram), np.int64)
+        place[one] = at[longer]
+        _, context = np.unique(spelled.grams[k - 1][place - 1], return_inverse=True)
+        total, kinds = np.bincount(context, follows)[context], np.bincount(context)[context]
+        chance = np.maximum(follows - DISCOUNT, 0) / total + DISCOUNT * kinds / total * out[k - 1][place]
+        found = np.zeros(len(spelled.codes))
+        found[at] = chance[np.searchsorted(gram, spelled.grams[k][at])]
+        out.append(found)
+    return out
 
 
+@dataclass
 class Evidence:
-    """log P(c | context; toxic) - log P(c | context; ordinary) for each gram that a class has.
-
-    Where neither has a gram, both back off; the ratio of their factors is kept by context.
-    """
-
-    def __init__(self, toxic: KneserNey, ordinary: KneserNey, order: int = ORDER, floor: float = 1e-4) -> None:
-        self.order = order
-        chances: dict[str, tuple[float, float]] = {}
-        self.gram: dict[str, float] = {}
-        for g in sorted(toxic.counts.keys() | ordinary.counts.keys(), key=len):
-            a, b = chances.get(g[1:], (floor, floor))
-            chances[g] = a, b = toxic.chance(g, a), ordinary.chance(g, b)
-            self.gram[g] = math.log(a / b)
-        self.back = {c: math.log(toxic.backoff(c) / ordinary.backoff(c)) for c in toxic.totals.keys() | ordinary.totals.keys()}
-
-    def of(self, word: str) -> float:
-        """Of the whole word."""
-        word = "\x02" + word + "\x03"
-        gram, back, out = self.gram, self.back, 0.0
-        for k in range(1, len(word)):
-            for start in range(max(0, k - self.order + 1), k + 1):
-                found = gram.get(word[start : k + 1])
-                if found is not None:
-                    out += found
-                    break
-                out += back.get(word[start:k], 0.0)
-        return out
+    """log P(c | context; toxic) - log P(c | context; ordinary), by gram and, for the rest, by context."""
+
+    grams: np.ndarray
+    of_gram: np.ndarray
+    contexts: np.ndarray
+    of_context: np.ndarray
+
+    def of(self, found: list[str]) -> np.ndarray:
+        """Of whole words: log((1 - MIXED) + MIXED * P(word; toxic) / P(word; ordinary))."""
+        if not found:
+            return np.zeros(0)
+        spelled = Spelled(found, ORDER)
+        at, gram, context = top(spelled)
+        value, there = found_in(self.grams, self.of_gram, gram)
+        back, known = found_in(self.contexts, self.of_context, context)
+        ratio = np.bincount(spelled.word[at], np.where(there, value, np.where(known, back, 0.0)), len(found))
+        return np.log1p(MIXED * np.expm1(np.minimum(ratio, 50.0)))
+
+
+def class_chances(n: np.ndarray, context: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of grams that occur n times in a class: the chance of the last character, and by context the backoff weight."""
+    total, kinds = np.bincount(context, n), np.bincount(context, n > 0)
+    weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    return np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[context] + weight[context] * shared, weight
+
+
+def evidence(found: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Evidence:
+    """From different words and how often each class has them."""
+    there = np.flatnonzero((toxic + ordinary) > 0)
+    if not len(there):
+        return Evidence(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint64, np.float32)))
+    spelled = Spelled([found[k] for k in there], ORDER)
+    at, gram, context = top(spelled)
+    shared = shared_chances(spelled)
+    grams, first, one = np.unique(gram, return_index=True, return_inverse=True)
+    contexts, of = np.unique(context[first], return_inverse=True)
+    shorter = np.minimum(spelled.place[at[first]], ORDER - 1)
+    behind = np.select([shorter == k for k in range(1, ORDER)], [shared[k][at[first]] for k in range(1, ORDER)])
+    (a, wa), (b, wb) = (class_chances(np.bincount(one, n[there][spelled.word[at]], len(grams)), of, behind) for n in (toxic, ordinary))
+    return Evidence(grams, np.log(a / b).astype(np.float32), contexts, np.log(wa / wb).astype(np.float32))
 
 
 @dataclass
 class Model:
-    evidence: Evidence
-    weights: np.ndarray
-
-
-class Scorer:
-    """Scores texts; keeps the evidence of words, up to a number of words."""
-
-    def __init__(self, model: Model, most: int = 500_000) -> None:
-        self.model, self.most = model, most
-        self.kept: dict[str, float] = {}
-
-    def evidence(self, word: str) -> float:
-        found = self.model.evidence.of(word)
-        if len(self.kept) >= self.most:
+    evidence: Evidence | None
+    shift: float = 0.0
+    slope: float = 0.0
+    kept: dict[str, float] = field(default_factory=dict)
+
+    def normalised(self, texts: list[str | None], most: int = 400_000) -> list[float]:
+        """The evidence of each text over its length. Keeps that of words, up to a number of them."""
+        every = [words(t) for t in texts]
+        new = list({w for ws in every for w in ws if w not in self.kept})
+        if len(self.kept) + len(new) > most:
             self.kept.clear()
-        if len(word) <= 40:
-            self.kept[word] = found
-        return found
-
-    def features(self, text: str | None) -> np.ndarray:
-        words = LETTERS.findall((text or "").lower())
-        out = np.zeros(FEATURES)
-        out[0] = 1.0
-        if words:
-            kept = self.kept
-            x = np.fromiter((kept[w] if w in kept else self.evidence(w) for w in words), float, len(words))
-            out[1] = x.mean()
-            for k, mark in enumerate(MARKED):
-                high = np.maximum(x - mark, 0)
-                out[2 + 2 * k : 4 + 2 * k] = min(math.sqrt(high.mean()) * 10, 10.0), math.log1p(high.sum())
-        return out
-
-    def score(self, text: str | None) -> float:
-        z = float(self.features(text) @ self.model.weights) if len(self.model.weights) else -30.0
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method with classes of equal weight."""
-    w = np.zeros(x.shape[1])
+            new = list({w for ws in every for w in ws})
+        for k in range(0, len(new), 1 << 16):
+            part = new[k : k + (1 << 16)]
+            self.kept.update(zip(part, self.evidence.of(part).tolist(), strict=True))
+        get = self.kept.__getitem__
+        return [sum(map(get, ws)) / (len(ws) + SHORT) for ws in every]
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.evidence is None:
+            return np.zeros(len(texts))
+        z = self.shift + self.slope * np.array(self.normalised(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Shift and slope of a logistic function, by Newton's method, both classes of equal weight."""
+    scale = float(np.abs(x).max()) or 1.0
+    a = np.stack([np.ones(len(x)), x / scale], axis=1)
+    w = np.zeros(2)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - ridge * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w += step
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        grad = a.T @ (weight * (y - p)) - ridge * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), grad)
+        w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return w
-
-
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """The class models from one half of the texts each, the weights from the other half's evidence."""
-    lowered = [LETTERS.findall((t or "").lower()) for t in texts]
-    y = np.array(toxic)
-
-    def model_of(rows: np.ndarray) -> Model:
-        words = {c: Counter() for c in (0, 1)}
-        for k in rows:
-            words[int(y[k])].update(lowered[k])
-        return Model(Evidence(KneserNey(words[1]), KneserNey(words[0])), np.zeros(0))
-
-    if len(set(toxic)) < 2:
-        return Model(Evidence(KneserNey(Counter()), KneserNey(Counter())), np.zeros(0))
-    at = np.arange(len(y))
-    x = np.zeros((len(y), FEATURES))
-    for half in (0, 1):
-        scorer = Scorer(model_of(at[at % 2 != half]))
-        for k in at[at % 2 == half]:
-            x[k] = scorer.features(texts[k])
-    model = model_of(at)
-    model.weights = _logistic(x, y)
-    return model
+    return float(w[0]), float(w[1] / scale)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """From rows whose crc32 of the id modulo 5 isn't 0; at most `sample` of each class."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropna().dropDuplicates(["doc_id"])
-    marked = bounded_sample(marked.filter((remainder("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)), ["toxic"], "doc_id", sample)
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") <= CHARS).join(F.broadcast(marked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = found.select("text", "toxic").toPandas()  # at most 2 * sample texts of CHARS characters at most
-    return fit(rows.text.tolist(), rows.toxic.tolist())
+    spark = docs.sparkSession
+    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter((remainder(id_col, 5) != 0) & F.col("toxic").isin(0, 1))
+    marked = bounded_sample(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), ["toxic"], "doc_id", sample)
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    once = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = stored(once.select("text", "toxic", half.alias("half")), "toxicity-sample")
+
+    n = lambda h, c: F.count(F.when((F.col("half") == h) & (F.col("toxic") == c), 1)).alias(f"n{h}{c}")
+    counts = rows.select("half", "toxic", F.explode(word_lists(F.col("text"))).alias("word")).groupBy("word").agg(*(n(h, c) for h in (0, 1) for c in (0, 1))).toPandas()
+    vocabulary = counts.word.tolist()
+    toxic, ordinary = (np.stack([counts[f"n{h}{c}"].to_numpy(float) for h in (0, 1)]) for c in (1, 0))
+    if not (toxic.sum() and ordinary.sum()):
+        return Model(None)
+    held = [Model(evidence(vocabulary, toxic[1 - h], ordinary[1 - h])) for h in (0, 1)]  # for the texts of half h
+    at = F.when(F.col("half") == 0, normalised(spark, F.col("text"), held[0])).otherwise(normalised(spark, F.col("text"), held[1]))
+    got = rows.select("toxic", at.alias("x")).toPandas()  # two numbers for each row of the sample
+    shift, slope = calibrated(got.x.to_numpy(float), got.toxic.to_numpy(float))
+    return Model(evidence(vocabulary, toxic.sum(axis=0), ordinary.sum(axis=0)), shift, slope)
+
+
+def normalised(spark: SparkSession, text: Column, model: Model) -> Column:
+    shipped = spark.sparkContext.broadcast(model)
 
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(shipped.value.normalised(texts.tolist()), dtype=float)
 
-_SCORERS: dict[int, Scorer] = {}
+    return of(text)
 
 
-def toxicity(spark: SparkSession, text: Column, model: Model) -> Column:
+def toxicity(spark: SparkSession, text: Column, model: Model, batch: int = 2048) -> Column:
     """The score of a text, 0 to 1."""
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        key = id(shipped.value)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shipped.value)
-        scorer = _SCORERS[key]
-        return pd.Series([scorer.score(t) for t in texts], dtype=float)
+        parts = [shipped.value.scores(texts.iloc[k : k + batch].tolist()) for k in range(0, len(texts), batch)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
     return score(text)
 

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from colloquy.llm import ann, bpe, langid, licenses, packing, toxicity, url_filter
+from colloquy.llm import ann, bpe, langid, licenses, packing, shared, toxicity, url_filter
 
 DOCS = "doc_id long, text string"
 ODD = ["a", "b", " ", "'", "s", "é", "\n", "日", "本", " \x1c", "\x85", "　", "🙂", "ll", "'ve", "<|endoftext|>", "İ", "ǅ", "é", "5", "²", "$", "ſ", "  "]
@@ -190,6 +190,101 @@ def test_language_held_out_spans_and_cases(spark):
     assert langid.identify(docs, langid.train(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+def plain_chances(counts, order=toxicity.ORDER, d=toxicity.DISCOUNT):
+    """Kneser-Ney by the book, with dicts: counts[word] is how often each of two classes has it."""
+    top, longer = {}, {}
+    for w, n in counts.items():
+        w = f"\x02{w}\x03"
+        for k in range(1, len(w)):
+            g = w[max(0, k - order + 1) : k + 1]
+            top[g] = [a + b for a, b in zip(top.get(g, (0, 0)), n)]
+            for m in range(2, min(order, k + 1) + 1):
+                longer.setdefault(m, set()).add(w[k - m + 1 : k + 1])
+    cont = {m: {} for m in range(1, order)}
+    for m in cont:
+        for g in longer.get(m + 1, ()):
+            cont[m][g[1:]] = cont[m].get(g[1:], 0) + 1
+    base = 1 / len({c for w in counts for c in f"\x02{w}\x03"})
+
+    def shared(g):
+        if not g:
+            return base
+        same = {x: n for x, n in cont[len(g)].items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        return max(same.get(g, 0) - d, 0) / total + d * len(same) / total * shared(g[1:])
+
+    def of_class(g, c):
+        same = {x: n[c] for x, n in top.items() if x[:-1] == g[:-1] and n[c]}
+        total = sum(same.values())
+        return max(same.get(g, 0) - d, 0) / total + d * len(same) / total * shared(g[1:]) if total else shared(g[1:])
+
+    def ratio(word):
+        w = f"\x02{word}\x03"
+        return sum(np.log(of_class(w[max(0, k - order + 1) : k + 1], 0) / of_class(w[max(0, k - order + 1) : k + 1], 1)) for k in range(1, len(w)))
+
+    return ratio, of_class, top
+
+
+def test_class_chances_equal_plain_kneser_ney():
+    rng = random.Random(4)
+    counts = {"".join(rng.choice("abcé日") for _ in range(rng.randint(1, 11))): (rng.randint(0, 3), rng.randint(0, 3)) for _ in range(60)}
+    counts = {w: n for w, n in counts.items() if sum(n)}
+    ratio, of_class, top = plain_chances(counts)
+    found = list(counts)
+    model = toxicity.evidence(found, *(np.array([counts[w][c] for w in found], float) for c in (0, 1)))
+    want = np.array([ratio(w) for w in found])
+    assert np.allclose(model.of(found), np.log1p(toxicity.MIXED * np.expm1(want)), atol=1e-4)
+    contexts = {g[:-1] for g, n in top.items() if n[0]}
+    for context in list(contexts)[:10]:  # the chances of all characters that are known after a context, and of the others, are at most 1
+        assert 0 < sum(of_class(g, 0) for g in top if g[:-1] == context) < 1 + 1e-9
+
+
+def test_language_of_whole_texts_equals_a_plain_search():
+    rows = corpus(120, 16)
+    model = langid.fit_texts([t for _, t, _, _ in rows], [x for *_, x, _ in rows])
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(rows)[1].split()[:9][k % 9 :] + rng.choice(rows)[1].split()[:5]) for k in range(150)]
+    labeller = langid.Labeller(model)
+    searched = 0
+    for (found, at, labels), (lang, share) in zip(labeller.label(texts), labeller.predict(texts), strict=True):
+        scores = labeller.table[at]
+        searched += langid.switch_may_pay(scores, int(scores.sum(axis=0).argmax()), langid.PENALTY)
+        best, back = scores[0].copy(), []
+        for s in scores[1:]:
+            moves = best[None, :] - langid.PENALTY * (1 - np.eye(len(best)))
+            back.append(moves.argmax(axis=1))
+            best = moves.max(axis=1) + s
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path.reverse()
+        assert path == labels.tolist()
+        letters = [sum(len(w) for w, x in zip(found, path) if x == k) for k in range(2)]
+        assert lang == model.languages[int(np.argmax(letters))] and abs(share - max(letters) / sum(letters)) < 1e-12
+    assert 10 < searched < 140
+
+
+def test_letters_are_letters():
+    model = langid.fit_texts(["kalo miturn", "schung beiei"], ["aa", "bb"])
+    got = langid.Labeller(model).predict(["²½", "Ⅷ", "١٢٣", None, "", "_ 5", "नमस्ते", "e\u0301"])
+    assert [g[0] for g in got[:6]] == ["und"] * 6 and got[6][0] != "und" and got[7][0] != "und"
+    assert shared.words("नमस्ते e\u0301A x²y") == ["नमस्ते", "e\u0301a", "x", "y"]
+
+
+def test_empty_repeated_long_and_clashing_rows(spark):
+    rows = corpus(120, 26)
+    docs = spark.createDataFrame([(d, t, x, 0.5, "p", 7) for d, t, x, _ in rows], DOCS + ", lang string, score double, lang_pred string, word int")
+    docs = docs.union(docs.limit(5)).union(spark.createDataFrame([(5000, rows[0][1] * 3000, None, 0.1, "q", 1)], docs.schema))
+    labels = spark.createDataFrame([(d, x, 0.0) for d, _, _, x in rows] * 2, "doc_id long, toxic int, score double")
+    empty = docs.limit(0)
+    bad, lang = toxicity.train(docs, labels), langid.train(docs)
+    for found in (toxicity.score_documents(docs, bad), langid.identify(docs, lang)):
+        assert found.count() == 126 and found.filter("score IS NULL").count() == 0
+        assert found.distinct().count() == 121
+    assert toxicity.score_documents(empty, bad).count() == langid.identify(empty, lang).count() == 0
+    assert toxicity.score_documents(docs, toxicity.train(empty, labels)).filter("score > 0").count() == 0
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     scores = [rng.normal(size=(n, 3)).astype(np.float32) for n in (0, 1, 2, 5, 6)]
