@@ -1,21 +1,30 @@
 """Near-duplicate removal of lines by a segment-partition edit join, in DataFrame functions only.
 
 A line, with its white space collapsed, is dropped if an earlier one (by document id, the text's
-hash and position) is equal or within two edits. Two lines within `t` edits share one of the
-t + 1 segments of the shorter line as a substring whose place differs by a bounded shift, so
-the join probes, for each length that may match, the few substrings where a segment may be.
-
-First the keys alone (hashes of length, segment number and substring) are counted; lines on a
-key that no other line has are done. The rest meet by key in semi joins, which end at the first
-earlier line that is near and never give pairs. A pair is verified, by a banded bit-parallel edit
-distance in 64-bit arithmetic, only if the parities of its counts of characters differ in 2t bits
-at most, those of its pairs of neighbouring characters in 4t, and if the lines stay alike for a
-few characters where they first and last part.
+hash and position) is equal or within two edits.
+
+Segments: lines are binned by length, eight lengths a bin, and each bin has t + 1 disjoint
+segments for t edits: the first half of them counted from a line's start, the others from its
+end. Of two lines within t edits one segment is whole in both, at a place that differs by no more
+than the number of segments between it and the nearer end; so each line has a key for each
+segment and each such place, of its own bin and, if a line t characters shorter may be in the
+next lower bin, of that one too. Near lines share a key.
+
+The lines are read once and stored with their keys. Keys that several different lines have are
+counted first; only lines on these go on. Where many lines share a key, it is refined by the
+keys of a second partition, with other lengths, of which near lines share one as well. The rest
+meet in a semi join, which ends at the first earlier line that is near and never gives pairs.
+Spark's own bounded edit distance rules pairs out first; those left are verified by a banded
+bit-parallel edit distance in 64-bit arithmetic.
 
 Lines of fewer than `least` characters take no part in the edit join, as two edits are too large
 a part of them; with `short` they are dropped if an earlier line is equal, else they stay. Blank
 lines always stay.
 
+Tables are broadcast only after a count has shown them to be small; beyond that they are joined
+by exchanges, which adaptive execution can split at a common line: no join is followed by a step
+that needs its partitioning.
+
 Defined results: a null text stays null and has no lines; a text that loses all lines becomes
 empty; rows that repeat id and text count as one document and get the same lines; rows with a
 null id come last in order; an empty table gives an empty result; other columns are kept as they
@@ -31,44 +40,60 @@ from .shared import stored, table
 
 EDITS = 2
 LEAST = 20
-BROADCAST_KEYS = 2_000_000  # of eight bytes each
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """One row per line that takes part: first (id, text's hash, position), a hash, text, length."""
+BIN = 8  # lengths that share segments
+CROWD = 64  # lines on a key from which it is refined
+BROADCAST_ROWS = 500_000  # of about a hundred bytes each at most
+#: Shares of a line that the outer segments have together, in twentieths, for the two partitions of three segments.
+_OUTER = (14, 18)
+
+
+def collapsed(raw: Column) -> Column:
+    """White space collapsed; most lines have none to collapse and cost no pattern."""
+    odd = F.lit(False)
+    for mark in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd |= F.contains(raw, F.lit(mark))
+    return F.trim(F.when(odd, F.regexp_replace(raw, r"\s+", " ")).otherwise(raw))
+
+
+def _segments(base: Column, edits: int, outer: int) -> list[tuple[Column, Column]]:
+    """Start and length of each segment of a bin whose least length is `base`."""
+    if not edits:
+        return [(F.lit(0), base)]
+    if edits == 2:
+        side = F.floor(base * outer / 40)
+        return [(F.lit(0), side), (side, base - 2 * side), (base - side, side)]
+    cut = lambda k: F.floor(base * k / (edits + 1))
+    return [(cut(k), cut(k + 1) - cut(k)) for k in range(edits + 1)]
+
+
+def keys(line: Column, n: Column, edits: int, outer: int = _OUTER[0]) -> Column:
+    """array<bigint> of a line's keys."""
+
+    def of_bin(number: Column) -> list[Column]:
+        out = []
+        base = number * BIN
+        for k, (start, length) in enumerate(_segments(base, edits, outer)):
+            reach = min(k, edits - k)
+            begin = start if 2 * k <= edits else n - base + start  # the later ones keep their place from the end
+            for shift in range(-reach, reach + 1):
+                out.append(F.xxhash64(F.lit(outer * 10 + k), number, F.substring(line, (begin + shift + 1).cast("int"), length.cast("int"))))
+        return out
+
+    number = F.floor(n / BIN)
+    own, lower = F.array(*of_bin(number)), F.array(*of_bin(number - 1))
+    return F.when((F.pmod(n, F.lit(BIN)) < edits) & (number > 1), F.concat(own, lower)).otherwise(own)
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str, least: int, short: bool, edits: int) -> DataFrame:
+    """One row per line: its place (id, text's hash, position), two hashes, its length and, from `least` characters, its text and keys."""
     at = F.posexplode(F.split(F.col("__line_text"), "\n", -1)).alias("pos", "raw")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__line_text")).withColumn("doc", F.xxhash64("__line_text"))
-    found = rows.select("id", "doc", at).withColumn("line", F.trim(F.regexp_replace("raw", r"\s+", " "))).withColumn("n", F.length("line"))
-    place = F.struct(F.col("id").isNull().alias("late"), "id", "doc", "pos")
-    return found.filter(F.col("n") >= least).select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"), "line", "n")
-
-
-def _segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each segment of a line of n characters, the longer ones last."""
-    parts = edits + 1
-    base, longer = F.floor(n / parts), F.pmod(n, F.lit(parts))
-    out = []
-    for k in range(parts):
-        extra = F.greatest(F.lit(0), longer - (parts - k))  # longer segments before this one
-        out.append((base * k + extra, base + F.when(F.lit(parts - k) <= longer, 1).otherwise(0)))
-    return out
-
-
-def _key(n: Column, segment: int, start: Column, length: Column) -> Column:
-    return F.xxhash64(n, F.lit(segment), F.substring(F.col("line"), (start + 1).cast("int"), length.cast("int")))
-
-
-def _keys(edits: int) -> tuple[list[Column], list[Column]]:
-    """The keys of a line's own segments, and those under which it looks for lines as long or shorter."""
-    n = F.col("n")
-    own = [_key(n, k, *s) for k, s in enumerate(_segments(n, edits))]
-    probes = []
-    for shorter in range(edits + 1):
-        for k, (start, length) in enumerate(_segments(n - shorter, edits)):
-            # edits before the segment shift it by k at most, and those after it by the rest
-            low, high = max(-k, shorter - (edits - k)), min(k, shorter + (edits - k))
-            probes += [_key(n - shorter, k, start + shift, length) for shift in range(low, high + 1)]
-    return own, probes
+    found = rows.select("id", "doc", at).withColumn("line", collapsed(F.col("raw"))).withColumn("n", F.length("line")).filter(F.col("n") >= (1 if short else least))
+    long = F.col("n") >= least
+    return found.select(
+        F.struct(F.col("id").isNull().alias("late"), "id", "doc", "pos").alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"), "n",
+        F.when(long, F.col("line")).alias("line"), F.when(long, keys(F.col("line"), F.col("n"), edits)).alias("keys"),
+    )
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -79,10 +104,16 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     the next character of b, and the distance is followed along the lowest diagonal, then, when
     a's end is reached, up the last row.
     """
+    split = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+    # an array of one element binds the characters, so that no step splits the strings again
+    found = F.transform(F.array(F.struct(split(a).alias("a"), split(b).alias("b"))), lambda s: _banded(s["a"], s["b"], edits))
+    return F.element_at(found, 1)
+
+
+def _banded(chars_a: Column, chars_b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
-    chars_a, chars_b = F.split(a, ""), F.split(b, "")
-    la, lb = F.length(a), F.length(b)
+    la, lb = F.size(chars_a), F.size(chars_b)
 
     def step(state: Column, j: Column) -> Column:
         """j counts the characters of b from 1."""
@@ -120,58 +151,41 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), lb), start, step, lambda s: s["d"])
 
 
-def parities(line: Column) -> tuple[Column, Column]:
-    """Bits for 64 classes of characters, and of pairs of neighbours: whether their count is odd.
+def may_be_near(a: Column, b: Column, edits: int, window: int = 64, short: int = 512) -> Column:
+    """False only for strings that are more than `edits` apart: by Spark's own distance for short
+    ones, whose time grows with the square of the length, else by that of both ends, which are
+    within twice the edits if the strings are within them."""
+    end = lambda x: F.substring(x, -window, window)
+    ends = (F.levenshtein(F.substring(a, 1, window), F.substring(b, 1, window), 2 * edits) >= 0) & (F.levenshtein(end(a), end(b), 2 * edits) >= 0)
+    return F.when(F.length(a) <= short, F.levenshtein(a, b, edits) >= 0).otherwise(ends)
 
-    An edit changes two characters' counts at most, and four pairs'.
-    """
-    chars = F.filter(F.split(line, ""), lambda c: c != "")
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
-    xor = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda x, b: x.bitwiseXOR(b))
-    code = lambda c: F.coalesce(F.ascii(c), F.lit(0))
-    pairs = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: bit(code(a) * 37 + code(b) * 11))
-    return xor(F.transform(chars, lambda c: bit(code(c)))), xor(pairs)
-
-
-def alike_where_they_part(a: Column, b: Column, edits: int, window: int = 32) -> Column:
-    """False only for strings that are more than `edits` apart: at the first character where they
-    part, the next `window` characters of each are within 2 * edits of each other if the strings
-    are within `edits`, as the other's matching piece may be up to `edits` longer or shorter."""
-    steps = F.array(*(F.lit(1 << k) for k in range(20, -1, -1)))
-    same = lambda p, s: F.substring(a, p + 1, s) == F.substring(b, p + 1, s)
-    fits = lambda p, s: p + s <= F.least(F.length(a), F.length(b))
-    common = F.aggregate(steps, F.lit(0), lambda p, s: F.when(fits(p, s) & same(p, s), p + s).otherwise(p))
-    pair = F.transform(F.array(common), lambda p: F.levenshtein(F.substring(a, p + 1, F.lit(window)), F.substring(b, p + 1, F.lit(window)), 2 * edits))
-    return F.element_at(pair, 1) >= 0
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if it has few rows. `rows` is its count."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     """h and h2 of different lines that have an earlier one within `edits`."""
-    own, probes = _keys(edits)
-    mark = lambda cols, kind: [F.struct(c.alias("key"), F.lit(kind).alias("own")) for c in cols]
-    keyed = lines.select("h", F.explode(F.array(*mark(own, True), *mark(probes, False))).alias("k")).select("h", "k.*")
-    crowds = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bool_or("own").alias("own")).filter("own AND a <> b").select("key")
+    keyed = lines.filter(F.col("keys").isNotNull()).select("h", F.explode("keys").alias("key"))
+    crowds = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     crowds = stored(crowds, "line-keys")
-    small = crowds.count() <= BROADCAST_KEYS
-    kept = keyed.join(F.broadcast(crowds) if small else crowds, "key", "left_semi").distinct()
-    kept = stored(kept, "line-rows")
-    met = firsts.join(kept.select("h").distinct(), "h", "left_semi").select("h", "h2", F.col("place").alias("first"))
-    # texts are fetched for lines on a shared key alone, once for each different line
-    texts = lines.join(met, ["h", "h2"]).filter(F.col("place") == F.col("first")).select("h", "h2", "first", "line", "n").dropDuplicates(["h", "h2"])
-    odd, odd_pairs = parities(F.col("line"))
-    texts = stored(texts.select("*", odd.alias("odd"), odd_pairs.alias("odd_pairs")), "line-texts")
-    rows = kept.join(texts, "h")
+    kept = stored(keyed.join(sized(crowds, crowds.count()), "key", "left_semi").distinct(), "line-rows")
+    ids = stored(kept.select("h").distinct(), "line-met")
+    met = stored(firsts.join(sized(ids, n := ids.count()), "h", "left_semi").select("h", "h2", F.col("place").alias("first")), "line-firsts")
+    # the text of each different line on a shared key: at its first place alone
+    firsts_only = lines.join(sized(met, n), ["h", "h2"]).filter(F.col("place") == F.col("first")).select("h", "h2", "first", "line", "n")
+    texts = stored(stored(firsts_only, "line-copies").groupBy("h", "h2").agg(F.min("first").alias("first"), F.min("line").alias("line"), F.min("n").alias("n")), "line-texts")
+    sizes = kept.groupBy("key").agg(F.count("*").alias("size"))
+    rows = kept.join(sizes, "key").join(sized(texts, n), "h")
+    finer = F.transform(F.array_distinct(keys(F.col("line"), F.col("n"), edits, _OUTER[1])), lambda k: F.xxhash64("key", k))
+    rows = stored(rows.withColumn("key", F.explode(F.when(F.col("size") > CROWD, finer).otherwise(F.array("key")))).drop("size"), "line-cells")
     one, two = rows.alias("x"), rows.alias("y")
-    differ = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     near = (
         (F.col("x.key") == F.col("y.key"))
-        & (differ("odd") <= 2 * edits)
-        & (differ("odd_pairs") <= 4 * edits)
         & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
-        & (F.col("x.own") != F.col("y.own"))
         & (F.col("y.first") < F.col("x.first"))
-        & alike_where_they_part(F.col("y.line"), F.col("x.line"), edits)
-        & alike_where_they_part(F.reverse(F.col("y.line")), F.reverse(F.col("x.line")), edits)
+        & may_be_near(F.col("y.line"), F.col("x.line"), edits)
         & (banded_distance(F.col("y.line"), F.col("x.line"), edits) <= edits)
     )
     return one.join(two, near, "left_semi").select("h", "h2").distinct()
@@ -179,23 +193,36 @@ def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
 
 def decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """One row per line that goes: id, doc (hash of its text), pos."""
-    lines = lines_of(docs, id_col, text_col, 1 if short else least)
+    lines = stored(lines_of(docs, id_col, text_col, least, short, edits), "lines")
     firsts = stored(lines.groupBy("h", "h2").agg(F.min("place").alias("place"), F.count("*").alias("copies")), "line-classes")
-    near = near_lines(lines.filter(F.col("n") >= least), firsts, edits) if edits else firsts.select("h", "h2").limit(0)
+    near = stored(near_lines(lines, firsts, edits), "line-near") if edits else firsts.select("h", "h2").limit(0)
     # of a class with near earlier lines all copies go, of another all but the first
-    going = firsts.join(near.withColumn("near", F.lit(True)), ["h", "h2"], "left").filter("copies > 1 OR near")
-    going = going.select("h", "h2", F.when(F.col("near").isNull(), F.col("place")).alias("kept"))
-    return lines.select("h", "h2", "place").join(going, ["h", "h2"]).filter(F.col("kept").isNull() | (F.col("place") != F.col("kept"))).select("place.id", "place.doc", "place.pos").distinct()
+    going = firsts.join(sized(near.withColumn("near", F.lit(True)), near.count()), ["h", "h2"], "left").filter("copies > 1 OR near")
+    going = stored(going.select("h", "h2", F.when(F.col("near").isNull(), F.col("place")).alias("kept")), "line-going")
+    gone = lines.select("h", "h2", "place").join(sized(going, going.count()), ["h", "h2"]).filter(F.col("kept").isNull() | (F.col("place") != F.col("kept")))
+    return gone.select("place.id", "place.doc", "place.pos").distinct()
+
+
+def without(text: Column, gone: Column) -> Column:
+    """A text without the lines at sorted positions (from 0): the slices between them."""
+
+    def left(lines: Column, cuts: Column) -> Column:
+        between = lambda k: F.slice(lines, F.get(cuts, k) + 2, F.get(cuts, k + 1) - F.get(cuts, k) - 1)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), between))
+
+    # arrays of one element bind the lines and the cuts, so that no step splits the text again
+    bound = F.transform(F.array(F.split(text, "\n", -1)), lambda x: F.struct(x.alias("lines"), F.concat(F.array(F.lit(-1)), gone, F.array(F.size(x))).alias("cuts")))
+    return F.array_join(F.element_at(F.transform(bound, lambda s: left(s["lines"], s["cuts"])), 1), "\n")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs with the lines that go taken out of the text; one more column, `__line_dropped`, counts them."""
-    gone = decisions(docs, edits, least, id_col, text_col, short).groupBy("id", "doc").agg(F.collect_set("pos").alias("__line_gone"))
-    gone = gone.select(F.col("id").alias("__line_id"), F.col("doc").alias("__line_doc"), "__line_gone")
+    gone = decisions(docs, edits, least, id_col, text_col, short).groupBy("id", "doc").agg(F.array_sort(F.collect_list("pos")).alias("__line_gone"))
+    gone = stored(gone.select(F.col("id").alias("__line_id"), F.col("doc").alias("__line_doc"), "__line_gone"), "line-gone")
+    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("__line_gone")), F.lit(0)).alias("lines")).first()
     rows = docs.withColumn("__line_key", F.xxhash64(F.col(text_col)))
-    joined = rows.join(gone, F.col(id_col).eqNullSafe(F.col("__line_id")) & (F.col("__line_key") == F.col("__line_doc")), "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, k: ~F.array_contains("__line_gone", k))
-    text = F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    joined = rows.join(sized(gone, size.rows + size.lines // 8), F.col(id_col).eqNullSafe(F.col("__line_id")) & (F.col("__line_key") == F.col("__line_doc")), "left")
+    text = F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("__line_gone")))
     dropped = F.coalesce(F.array_size("__line_gone"), F.lit(0)).cast("long")
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), dropped.alias("__line_dropped"))
 

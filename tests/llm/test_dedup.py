@@ -209,13 +209,31 @@ def test_banded_distance(spark, edits):
             pairs.append((a, b, distance(a, b)))
     for r in spark.createDataFrame(pairs, "a string, b string, d int").withColumn("got", line_dedup.banded_distance(F.col("a"), F.col("b"), edits)).collect():
         assert (r.got == r.d) if r.d <= edits else (r.got > edits), r
-    df = spark.createDataFrame(pairs, "a string, b string, d int")
-    a, b = F.col("a"), F.col("b")
-    alike = line_dedup.alike_where_they_part(a, b, edits, 8) & line_dedup.alike_where_they_part(F.reverse("a"), F.reverse("b"), edits, 8)
-    assert df.filter(~alike & (F.col("d") <= edits)).count() == 0 and df.filter(~alike).count() > 0
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_near_lines_share_a_key_of_each_partition(spark, edits):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(edits)
+    pairs = []
+    for n in [*range(20, 60), 100, 101] * 12:
+        a = "".join(rng.choice("abé") for _ in range(n))
+        b = changed(rng, a, edits)
+        if len(b) >= 20 and distance(a, b) <= edits:
+            pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for outer in line_dedup._OUTER:
+        of = lambda c: line_dedup.keys(F.col(c), F.length(c), edits, outer)  # noqa: E731, B023
+        assert df.filter(~F.arrays_overlap(of("a"), of("b"))).count() == 0
+    far = spark.createDataFrame([("".join(rng.choice("abcdefgh") for _ in range(40)), "".join(rng.choice("abcdefgh") for _ in range(40))) for _ in range(50)], "a string, b string")
+    assert far.filter(F.arrays_overlap(of("a"), of("b"))).count() == 0
+
+
+@pytest.mark.parametrize("crowd,broadcast", [(64, 500_000), (2, 0)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, crowd, broadcast):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(15, 60))) for _ in range(25)]
     docs = [(k, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(rng.randint(0, 5))) if k % 17 else None, k) for k in range(40)]
@@ -242,6 +260,18 @@ def test_line_dedup_cases(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_very_long_lines_and_very_many(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh") for _ in range(50_000))
+    many = [f"line {k} of very many in this one" for k in range(0, 100_000_000, 1001)]
+    docs = [(1, long), (2, long[:20_000] + "x" + long[20_000:]), (3, "\n".join(many[:1000] * 100)), (4, None)]
+    got = {r.doc_id: (r.text, r["__line_dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[1] == (long, 0) and got[2] == ("", 1) and got[4] == (None, 0)
+    left = got[3][0].split("\n")
+    assert got[3][1] == 100_000 - len(left) and left == [x for x in many[:1000] if x in set(left)]
+    assert all(distance(a, b) > 2 for a, b in zip(left, left[1:]))
+
+
 def test_op10_drops_exact_repeats_of_short_lines(spark, tmp_path):
     line = "a line that is long enough to count"
     docs = [(1, "Les.\n\n日本語\nLes.\nab"), (2, f"{line}\n Les. \n日本語\n\nLet.\nac"), (3, f"{line}s\nac\nnew")]
