@@ -54,12 +54,34 @@ def script(char: str) -> str:
     return _SCRIPTS[bisect_right(_STARTS, ord(char)) - 1]
 
 
+#: Words that are spelled at once.
+CHUNK = 1 << 14
+
+
 def grams_of(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all grams of words and the word of each; and the number of grams of each word."""
-    spelled = Spelled(found, max(GRAMS))
-    at = [np.flatnonzero(spelled.place >= n - 1) for n in GRAMS]
-    word = np.concatenate([spelled.word[a] for a in at])
-    return np.concatenate([spelled.grams[n][a] for n, a in zip(GRAMS, at, strict=True)]), word, np.bincount(word, minlength=len(found))
+    spelled = Spelled(found)
+    hashes, of = [], []
+    for n, (_, grams) in enumerate(spelled.grams(max(GRAMS)), 1):
+        if n in GRAMS:
+            at = np.flatnonzero(spelled.place >= n - 1)
+            hashes.append(grams[at])
+            of.append(spelled.word[at])
+    word = np.concatenate(of)
+    return np.concatenate(hashes), word, np.bincount(word, minlength=len(found))
+
+
+def gram_counts(found: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams, sorted, and how often each language has them."""
+    keys, sums = np.zeros(0, np.uint64), np.zeros((0, counts.shape[1]))
+    for k in range(0, len(found), CHUNK):
+        gram, word, _ = grams_of(found[k : k + CHUNK])
+        every, one = np.unique(np.concatenate([keys, gram]), return_inverse=True)
+        old, new = one[: len(keys)], one[len(keys) :]
+        total = np.stack([np.bincount(new, c[k : k + CHUNK][word], len(every)) for c in counts.T], axis=1)
+        total[old] += sums
+        keys, sums = every, total
+    return keys, sums
 
 
 @dataclass
@@ -73,12 +95,14 @@ class Model:
 
     def means(self, found: list[str]) -> np.ndarray:
         """The mean score of each word's grams, for each language."""
-        if not found:
-            return np.zeros((0, len(self.languages)))
-        gram, word, n = grams_of(found)
-        score, there = found_in(self.grams, self.scores, gram)
-        score = np.where(there[:, None], score, self.unseen)
-        return np.stack([np.bincount(word, score[:, k], len(found)) for k in range(len(self.languages))], axis=1) / n[:, None]
+        out = np.zeros((len(found), len(self.languages)))
+        for k in range(0, len(found), CHUNK):
+            gram, word, n = grams_of(found[k : k + CHUNK])
+            score, there = found_in(self.grams, self.scores, gram)
+            score[~there] = self.unseen
+            for x in range(len(self.languages)):
+                out[k : k + CHUNK, x] = np.bincount(word, score[:, x], len(n)) / n
+        return out
 
 
 def fit(found: list[str], counts: np.ndarray, languages: list[str], least: int = 2) -> Model:
@@ -91,9 +115,7 @@ def fit(found: list[str], counts: np.ndarray, languages: list[str], least: int =
         name = script(w[0])
         scripts[name] = scripts.get(name, 0) + n * size
     letters = np.maximum(1, sizes @ counts) if found else np.ones(len(languages))
-    gram, word, _ = grams_of(found) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), None)
-    grams, one = np.unique(gram, return_inverse=True)
-    n = np.stack([np.bincount(one, c[word], len(grams)) for c in counts.T], axis=1)
+    grams, n = gram_counts(found, counts)
     total, often = n.sum(axis=0), (n >= least).any(axis=1)
     size = often.sum() + 1
     score = lambda x: np.log((x + 0.5) / (total + 0.5 * size))
@@ -195,7 +217,7 @@ class Labeller:
             new = list({w for ws in texts for w in ws})
         if not new:
             return
-        means = np.concatenate([self.model.means(new[k : k + (1 << 16)]) for k in range(0, len(new), 1 << 16)])
+        means = self.model.means(new)
         kinds = [script(w[0]) for w in new]
         allowed = {s: np.array(self.model.scripts.get(s) or [True] * len(self.model.languages)) for s in set(kinds)}
         known = np.array([s in self.model.scripts for s in kinds])

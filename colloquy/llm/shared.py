@@ -6,6 +6,7 @@ import re
 import tempfile
 import unicodedata
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -43,27 +44,25 @@ def word_lists(text: Column) -> Column:
 
 
 class Spelled:
-    """The characters of words between a start and an end mark, and hashes of their grams."""
+    """The characters of words between a start and an end mark: a hash, the word and the place in it."""
 
-    def __init__(self, found: list[str], order: int) -> None:
+    def __init__(self, found: list[str]) -> None:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
         codes = np.frombuffer("".join(f"\x02{w}\x03" for w in found).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        self.first = np.cumsum(sizes) - sizes
-        self.word = np.repeat(np.arange(len(found)), sizes)
-        self.place = np.arange(len(codes)) - self.first[self.word]
+        self.word = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+        self.place = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         codes = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         self.codes = codes ^ (codes >> np.uint64(29))
-        self.grams = [np.zeros(len(codes), np.uint64)]  # by length: of the characters up to each place
-        for _ in range(order):
-            self.grams.append(self.before(self.grams[-1]) * np.uint64(0x9E3779B97F4A7C15) + self.codes)
-
-    @staticmethod
-    def before(x: np.ndarray) -> np.ndarray:
-        """At each place the value of the place before."""
-        out = np.zeros_like(x)
-        out[1:] = x[:-1]
-        return out
+
+    def grams(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to `most` characters: hashes of the grams of one fewer and of so many that end at each place."""
+        now = np.zeros(len(self.codes), np.uint64)
+        for _ in range(most):
+            longer = self.codes.copy()
+            longer[1:] += now[:-1] * np.uint64(0x9E3779B97F4A7C15)
+            yield now, longer
+            now = longer
 
 
 def found_in(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -47,30 +47,33 @@ def top(spelled: Spelled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(spelled.place > 0)
     n = np.minimum(spelled.place[at] + 1, ORDER)
     gram, context = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for k in range(2, ORDER + 1):
+    for k, (shorter, grams) in enumerate(spelled.grams(ORDER), 1):
         here = n == k
-        gram[here], context[here] = spelled.grams[k][at[here]], spelled.grams[k - 1][at[here] - 1]
+        gram[here], context[here] = grams[at[here]], shorter[at[here] - 1]
     return at, gram, context
 
 
-def shared_chances(spelled: Spelled) -> list[np.ndarray]:
-    """By length, at each place: the chance of the character after the ones before it, by
-    continuation counts (how many different characters a gram follows) of all words."""
-    base = 1.0 / max(1, len(np.unique(spelled.codes)))
-    out = [np.full(len(spelled.codes), base)]
-    for k in range(1, ORDER):
-        at = np.flatnonzero(spelled.place >= k)
-        _, longer = np.unique(spelled.grams[k + 1][at], return_index=True)
-        gram, one = np.unique(spelled.grams[k][at][longer], return_inverse=True)
-        follows = np.bincount(one, minlength=len(gram))
-        place = np.zeros(len(gram), np.int64)
-        place[one] = at[longer]
-        _, context = np.unique(spelled.grams[k - 1][place - 1], return_inverse=True)
-        total, kinds = np.bincount(context, follows)[context], np.bincount(context)[context]
-        chance = np.maximum(follows - DISCOUNT, 0) / total + DISCOUNT * kinds / total * out[k - 1][place]
-        found = np.zeros(len(spelled.codes))
-        found[at] = chance[np.searchsorted(gram, spelled.grams[k][at])]
-        out.append(found)
+def backed_off(spelled: Spelled, wanted: np.ndarray) -> np.ndarray:
+    """At the wanted places: the chance of the character after the ones that its longest gram has
+    but the first, by continuation counts (how many different characters a gram follows) of all words."""
+    chance = np.full(len(spelled.codes), 1.0 / max(1, len(np.unique(spelled.codes))))
+    out, order = np.zeros(len(wanted)), np.minimum(spelled.place[wanted], ORDER - 1)
+    before = None
+    for k, (shorter, grams) in enumerate(spelled.grams(ORDER)):  # grams of k + 1 characters, of which k are the shorter gram
+        if k:
+            at = np.flatnonzero(spelled.place >= k)
+            _, longer = np.unique(grams[at], return_index=True)
+            gram, one = np.unique(shorter[at][longer], return_inverse=True)
+            follows = np.bincount(one, minlength=len(gram))
+            place = np.zeros(len(gram), np.int64)
+            place[one] = at[longer]
+            _, context = np.unique(before[place - 1], return_inverse=True)
+            total, kinds = np.bincount(context, follows)[context], np.bincount(context)[context]
+            found = np.maximum(follows - DISCOUNT, 0) / total + DISCOUNT * kinds / total * chance[place]
+            chance[at] = found[np.searchsorted(gram, shorter[at])]
+            here = order == k
+            out[here] = chance[wanted[here]]
+        before = shorter
     return out
 
 
@@ -87,7 +90,7 @@ class Evidence:
         """Of whole words: log((1 - MIXED) + MIXED * P(word; toxic) / P(word; ordinary))."""
         if not found:
             return np.zeros(0)
-        spelled = Spelled(found, ORDER)
+        spelled = Spelled(found)
         at, gram, context = top(spelled)
         value, there = found_in(self.grams, self.of_gram, gram)
         back, known = found_in(self.contexts, self.of_context, context)
@@ -107,13 +110,11 @@ def evidence(found: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Evide
     there = np.flatnonzero((toxic + ordinary) > 0)
     if not len(there):
         return Evidence(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint64, np.float32)))
-    spelled = Spelled([found[k] for k in there], ORDER)
+    spelled = Spelled([found[k] for k in there])
     at, gram, context = top(spelled)
-    shared = shared_chances(spelled)
     grams, first, one = np.unique(gram, return_index=True, return_inverse=True)
     contexts, of = np.unique(context[first], return_inverse=True)
-    shorter = np.minimum(spelled.place[at[first]], ORDER - 1)
-    behind = np.select([shorter == k for k in range(1, ORDER)], [shared[k][at[first]] for k in range(1, ORDER)])
+    behind = backed_off(spelled, at[first])
     (a, wa), (b, wb) = (class_chances(np.bincount(one, n[there][spelled.word[at]], len(grams)), of, behind) for n in (toxic, ordinary))
     return Evidence(grams, np.log(a / b).astype(np.float32), contexts, np.log(wa / wb).astype(np.float32))
 
@@ -132,8 +133,8 @@ class Model:
         if len(self.kept) + len(new) > most:
             self.kept.clear()
             new = list({w for ws in every for w in ws})
-        for k in range(0, len(new), 1 << 16):
-            part = new[k : k + (1 << 16)]
+        for k in range(0, len(new), 1 << 14):
+            part = new[k : k + (1 << 14)]
             self.kept.update(zip(part, self.evidence.of(part).tolist(), strict=True))
         get = self.kept.__getitem__
         return [sum(map(get, ws)) / (len(ws) + SHORT) for ws in every]
