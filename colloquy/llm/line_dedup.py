@@ -36,13 +36,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import sized, stored, table
 
 EDITS = 2
 LEAST = 20
 BIN = 8  # lengths that share segments
 CROWD = 64  # lines on a key from which it is refined
-BROADCAST_ROWS = 500_000  # of about a hundred bytes each at most
 #: Shares of a line that the outer segments have together, in twentieths, for the two partitions of three segments.
 _OUTER = (14, 18)
 
@@ -160,11 +159,6 @@ def may_be_near(a: Column, b: Column, edits: int, window: int = 64, short: int =
     return F.when(F.length(a) <= short, F.levenshtein(a, b, edits) >= 0).otherwise(ends)
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """To be broadcast if it has few rows. `rows` is its count."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     """h and h2 of different lines that have an earlier one within `edits`."""
     keyed = lines.filter(F.col("keys").isNotNull()).select("h", F.explode("keys").alias("key"))

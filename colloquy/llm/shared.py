@@ -106,6 +106,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows, of about a hundred bytes each at most, up to which a table is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """To be broadcast if it has few rows. `rows` is its count; without it df is counted."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
 def forget(spark: SparkSession) -> int:
     """Removes all tables that this process stored; their number. For after the results are written."""
     paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _STORED]

@@ -10,7 +10,9 @@ segments gives a blocking key. Records that share one are candidates, of which t
 keeps those with a chain of segments whose differences, added up along the ring, stay within
 l * k / m after each l segments; a full Hamming check follows. Within a block only the edges of
 a spanning forest are kept, so that a dense group doesn't give all its pairs; connections are
-the same. Blocks beyond a size are cut into parts, and each pair of parts is a task of its own.
+the same. Blocks beyond a size get finer keys: the bits outside the block's two segments are cut
+into one piece more than k, of which linked fingerprints agree in one at least. What is beyond
+the size even so is cut into parts, and each pair of parts is a task of its own.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint zero and
 links like any other; rows that repeat a doc_id are each returned; rows with a null doc_id take
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored, table
+from .shared import sized, stored, table
 
 #: Records of a block that one task compares with each other or with as many others.
 PART = 2048
@@ -53,36 +55,19 @@ def hashes(text: str | None, words: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(view[a:b], seed) for a, b in zip(starts, ends[words - 1 :])), np.uint64, len(found) - words + 1)
 
 
-def mixed(h: np.ndarray, word: int) -> np.ndarray:
-    """Hashes for another word of a wide fingerprint; the first word takes h itself."""
-    if not word:
-        return h
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * word)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+def fingerprint(h: np.ndarray) -> int:
+    """As a signed 64-bit integer."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):  # a bounded part at a time
+        part = np.ascontiguousarray(h[k : k + (1 << 16)], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
-    """As signed 64-bit integers."""
-    if not len(h):
-        return [0] * words
-    out = []
-    for w in range(words):
-        ones = np.zeros(64, np.int64)
-        for k in range(0, len(h), 1 << 16):  # a bounded part at a time
-            part = np.ascontiguousarray(mixed(h[k : k + (1 << 16)], w), "<u8")
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-    return out
-
-
-def fingerprints(text: Column, shingle: int = 4, seed: int = 42, words: int = 1) -> Column:
-    """array<bigint> of 64 bits each."""
-
-    @F.pandas_udf("array<bigint>")
+def fingerprints(text: Column, shingle: int = 4, seed: int = 42) -> Column:
+    @F.pandas_udf("bigint")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(hashes(t, shingle, seed), words) for t in texts], dtype=object)
+        return pd.Series([fingerprint(hashes(t, shingle, seed)) for t in texts], dtype="int64")
 
     return found(text)
 
@@ -90,35 +75,32 @@ def fingerprints(text: Column, shingle: int = 4, seed: int = 42, words: int = 1)
 class Ring:
     """Segments of the bits of fingerprints on a ring, for a threshold of k differing bits.
 
-    Without a number of segments there are two more than k. `keys` are masks, by word, of bits
-    on which linked fingerprints may agree: of one word all pairs of segments, of which one is
-    always the same in both; of several words `bands` samples of `bits` bits each.
+    There are two more than k. `keys` are masks of the bits of all pairs of segments, of which one
+    is always the same in both; `finer` has, for each, masks of pieces of the other bits.
     """
 
-    def __init__(self, k: int, words: int = 1, segments: int | None = None, bands: int = 32, bits: int = 16) -> None:
-        self.k, self.words = k, words
-        per_word = -(-(segments or k + 2) // words)
-        self.m = per_word * words
-        cuts = [round(64 * s / per_word) for s in range(per_word + 1)]
+    def __init__(self, k: int) -> None:
+        self.k, self.m = k, k + 2
+        cuts = [round(64 * s / self.m) for s in range(self.m + 1)]
         masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.segments = [(w, np.uint64(mask)) for w in range(words) for mask in masks]
-        if words == 1:
-            self.keys = [[masks[a] | masks[b]] for a, b in combinations(range(self.m), 2)]
-        else:
-            rng = np.random.default_rng(5)
-            chosen = [rng.choice(64 * words, bits, replace=False) for _ in range(bands)]
-            self.keys = [[sum(1 << int(b % 64) for b in c if b // 64 == w) for w in range(words)] for c in chosen]
+        self.segments = [np.uint64(mask) for mask in masks]
+        self.keys = [masks[a] | masks[b] for a, b in combinations(range(self.m), 2)]
+        self.finer = []
+        for key in self.keys:
+            rest = [1 << b for b in range(64) if not key >> b & 1]
+            ends = [round(len(rest) * s / (k + 1)) for s in range(k + 2)]
+            self.finer.append([sum(rest[a:b]) for a, b in zip(ends, ends[1:], strict=False)])
 
     def near(self, x: np.ndarray) -> np.ndarray:
-        """Of differing bits (xor of fingerprints, a row each): whether at most k are set."""
+        """Of differing bits (xor of fingerprints): whether at most k are set."""
         at = np.flatnonzero(self.chained(x))
         out = np.zeros(len(x), bool)
-        out[at] = np.bitwise_count(x[at]).sum(axis=1, dtype=np.int64) <= self.k
+        out[at] = np.bitwise_count(x[at]) <= self.k
         return out
 
     def chained(self, x: np.ndarray) -> np.ndarray:
         """Whether, from some segment on, the first l differ in at most l * k / m bits for every l."""
-        counts = [np.bitwise_count(x[:, w] & mask).astype(np.int16) for w, mask in self.segments]
+        counts = [np.bitwise_count(x & mask).astype(np.int16) for mask in self.segments]
         found = np.zeros(len(x), bool)
         for first in range(self.m):
             at = np.flatnonzero(~found & (counts[first] * self.m <= self.k))
@@ -172,22 +154,26 @@ def _linked(cell: np.ndarray, ids: np.ndarray, fps: np.ndarray, ring: Ring) -> t
 
 
 def links(distinct: DataFrame, ring: Ring) -> DataFrame:
-    """Edges a, b between ids that connect all that link. distinct: id (long), fp (array<bigint>), all different."""
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    key = lambda n, masks: F.xxhash64(F.lit(n), *(F.col("fp")[w].bitwiseAND(F.lit(signed(m)).cast("long")) for w, m in enumerate(masks)))
-    keyed = distinct.select("id", "fp", F.explode(F.array(*(key(n, masks) for n, masks in enumerate(ring.keys)))).alias("key"))
-    crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    shared = keyed.join(crowds, "key")
+    """Edges a, b between fingerprints that connect all that link. distinct: id (long), all different."""
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    key = lambda n, mask: F.struct(F.xxhash64(F.lit(n), F.col("id").bitwiseAND(signed(mask))).alias("key"), F.lit(n).alias("kind"))
+    keyed = distinct.select("id", F.explode(F.array(*(key(n, mask) for n, mask in enumerate(ring.keys)))).alias("k")).select("id", "k.*")
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(keyed.join(crowds, "key"), "fingerprint-keys")
+    pieces = F.get(F.array(*(F.array(*map(signed, masks)) for masks in ring.finer)), F.col("kind"))
+    finer = F.transform(pieces, lambda m: F.xxhash64("key", m, F.col("id").bitwiseAND(m)))
+    fine = shared.filter(F.col("n") > PART).select("id", F.explode(finer).alias("key"))
+    sizes = fine.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    every = shared.filter(F.col("n") <= PART).select("id", "key", F.lit(1).alias("parts")).union(fine.join(sizes, "key").select("id", "key", "parts"))
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("x"), F.greatest(o, part).alias("y")))
-    cells = shared.select("id", "fp", "key", F.explode(others).alias("c"))
-    cells = cells.select(F.xxhash64("key", "c.x", "c.y").alias("cell"), "id", *(F.col("fp")[w].alias(f"w{w}") for w in range(ring.words)))
+    cells = every.select("id", "key", F.explode(others).alias("c")).select(F.xxhash64("key", "c.x", "c.y").alias("cell"), "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def edges(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = _linked(cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64), ring)
+            a, b = _linked(cols[0], cols[1], cols[1].view(np.uint64), ring)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -207,22 +193,22 @@ def links(distinct: DataFrame, ring: Ring) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(search, "a long, b long")
 
 
-def grouped(docs: DataFrame, ring: Ring, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per row of docs: doc_id, text_hash, fp (array<bigint>), component_id."""
-    fp = fingerprints(F.col(text_col), shingle, seed, ring.words)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fp.alias("fp"))
-    rows = stored(rows.withColumn("id", F.col("fp")[0] if ring.words == 1 else F.xxhash64("fp")), "fingerprints")
-    classes = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"))
-    roots = components(links(classes.select("id", "fp"), ring))
-    found = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(found.join(least, "root").select("id", "component_id"), "id").select("doc_id", "text_hash", "fp", "component_id")
+def component_of(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, component_id: the smallest doc_id among all classes that are connected. classes: id, doc_id.
+
+    No step after a join needs its partitioning, so that a large component can be split.
+    """
+    placed = stored(classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "doc_id", F.coalesce("root", "id").alias("root")), "classes")
+    least = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return stored(placed.join(sized(least), "root").select("id", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint as 16 hex digits, component_id."""
-    found = grouped(docs, Ring(k), shingle, seed, id_col, text_col)
-    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle, seed).alias("id")), "fingerprints")
+    classes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id")), "fingerprint-classes")
+    found = component_of(classes, components(links(classes.select("id"), Ring(k))))
+    return rows.join(sized(found), "id").select("doc_id", F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Documents of the sample in which common shingles are counted, and the most shingles held as common.
@@ -350,11 +336,9 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, i
     """
     found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), shingles(F.col(text_col), shingle, seed).alias("set"))
     rows = stored(found.withColumn("id", F.xxhash64("set")), "shingles")
-    classes = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    roots = components(similar_links(rows))
-    placed = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    gone = rows.select("id", "doc_id", "text_hash").join(placed.join(least, "root").select("id", "component_id"), "id")
+    classes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
+    found = component_of(classes, components(similar_links(rows)))
+    gone = rows.select("id", "doc_id", "text_hash").join(sized(found), "id")
     gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id"), F.col("text_hash").alias("__sim_hash")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.xxhash64(F.col(text_col)) == F.col("__sim_hash"))
     return docs.join(gone, same, "left_anti")

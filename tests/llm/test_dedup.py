@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from colloquy.llm import exact_dedup, line_dedup, simhash
+from colloquy.llm import exact_dedup, line_dedup, shared, simhash
 from colloquy.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -97,11 +97,11 @@ def test_pigeonring_loses_nothing_and_forests_connect():
     ring = simhash.Ring(4)
     bits = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(3000)], np.uint64)
     counts = np.bitwise_count(bits)
-    assert (ring.near(bits[:, None]) == (counts <= 4)).all()
-    assert (~ring.chained(bits[:, None]) & (counts > 4)).any()  # it does prune
+    assert (ring.near(bits) == (counts <= 4)).all()
+    assert (~ring.chained(bits) & (counts > 4)).any()  # it does prune
     fps = np.unique(np.concatenate([bits[:150], rng.integers(0, 2**63, 50).astype(np.uint64)]))
     ids = np.arange(len(fps))
-    a, b = simhash.forest(ids, fps[:, None], ring)
+    a, b = simhash.forest(ids, fps, ring)
     want = union_find([(int(i), int(j)) for i in ids for j in ids[: i + 1] if bin(int(fps[i] ^ fps[j])).count("1") <= 4])
     got = union_find([(int(i), int(i)) for i in ids] + list(zip(a.tolist(), b.tolist(), strict=True)))
     assert got == want
@@ -111,11 +111,35 @@ def test_pigeonring_loses_nothing_and_forests_connect():
 def test_large_blocks_are_cut_and_still_connect(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PART", 8)
     fps = [(k ^ (k >> 1)) & 0xFFF for k in range(60)]  # neighbours differ in a bit
-    df = spark.createDataFrame([(f, [f]) for f in fps], "id long, fp array<bigint>")
+    df = spark.createDataFrame([(f,) for f in fps], "id long")
     roots = components(simhash.links(df, simhash.Ring(4))).collect()
     assert {r.root for r in roots} == {0} and len(roots) == 59
 
 
+def test_finer_keys_of_large_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 4)
+    rng = random.Random(7)
+    fps = []
+    for _ in range(40):  # all in one block: 22 bits are the same, the others random or near another's
+        fps.append(rng.getrandbits(40) << 22)
+        fps.append(fps[-1] ^ sum(1 << b for b in rng.sample(range(22, 62), rng.randint(1, 6))))
+    df = spark.createDataFrame([(f,) for f in set(fps)], "id long")
+    got = {r.node: r.root for r in components(simhash.links(df, simhash.Ring(4))).collect()}
+    fps = sorted(set(fps))
+    root = union_find([(i, j) for i in range(len(fps)) for j in range(i + 1) if bin(fps[i] ^ fps[j]).count("1") <= 4])
+    assert got == {fps[i]: fps[r] for i, r in root.items() if i != r}
+
+
+def test_near_duplicates_of_an_empty_table_long_texts_and_clashing_columns(spark):
+    schema = DOCS + ", id long, fingerprint string, component_id long, root long, set array<long>"
+    docs = spark.createDataFrame([(1, "a b c d e " * 60_000, 5, "x", 1, 2, [1]), (2, "a b c d e " * 60_000, 6, "y", 2, 3, [2]), (3, "q r s t", 7, "z", 3, 4, None)], schema)
+    for found in (simhash.near_duplicates(docs), simhash.near_duplicates(docs.limit(0))):
+        assert found.columns == ["doc_id", "fingerprint", "component_id"]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert simhash.near_duplicates(docs.limit(0)).count() == simhash.without_near_duplicates(docs.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(docs).collect()) == [1, 3]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
@@ -233,7 +257,7 @@ def test_near_lines_share_a_key_of_each_partition(spark, edits):
 @pytest.mark.parametrize("crowd,broadcast", [(64, 500_000), (2, 0)])
 def test_line_dedup_against_brute_force(spark, monkeypatch, crowd, broadcast):
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(15, 60))) for _ in range(25)]
     docs = [(k, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(rng.randint(0, 5))) if k % 17 else None, k) for k in range(40)]
