@@ -14,8 +14,8 @@ The lines are read once and stored with their keys. Keys that several different
 counted first; only lines on these go on. Where many lines share a key, it is refined by the
 keys of a second partition, with other lengths, of which near lines share one as well. The rest
 meet in a semi join, which ends at the first earlier line that is near and never gives pairs.
-Spark's own bounded edit distance rules pairs out first; those left are verified by a banded
-bit-parallel edit distance in 64-bit arithmetic.
+Short pieces of both lines rule most pairs out; those left are verified by a banded bit-parallel
+edit distance in 64-bit arithmetic.
 
 Lines of fewer than `least` characters take no part in the edit join, as two edits are too large
 a part of them; with `short` they are dropped if an earlier line is equal, else they stay. Blank
@@ -150,13 +150,16 @@ def _banded(chars_a: Column, chars_b: Column, edits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), lb), start, step, lambda s: s["d"])
 
 
-def may_be_near(a: Column, b: Column, edits: int, window: int = 64, short: int = 512) -> Column:
-    """False only for strings that are more than `edits` apart: by Spark's own distance for short
-    ones, whose time grows with the square of the length, else by that of both ends, which are
-    within twice the edits if the strings are within them."""
-    end = lambda x: F.substring(x, -window, window)
-    ends = (F.levenshtein(F.substring(a, 1, window), F.substring(b, 1, window), 2 * edits) >= 0) & (F.levenshtein(end(a), end(b), 2 * edits) >= 0)
-    return F.when(F.length(a) <= short, F.levenshtein(a, b, edits) >= 0).otherwise(ends)
+def may_be_near(a: Column, b: Column, edits: int, window: int = 32) -> Column:
+    """False only for strings that are more than `edits` apart: pieces of both from the same place,
+    or of both ends, are within twice the edits of each other if the strings are within them.
+
+    The pieces are short, as the time of Spark's own distance grows with the square of the length.
+    """
+    near = lambda x, y: F.levenshtein(x, y, 2 * edits) >= 0
+    piece = lambda x, at: F.substring(x, at, window)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)), F.lit(window))
+    return near(piece(a, 1), piece(b, 1)) & near(piece(a, -window), piece(b, -window)) & F.forall(starts, lambda k: near(F.substring(a, k, F.lit(window)), F.substring(b, k, F.lit(window))))
 
 
 def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
@@ -171,7 +174,8 @@ def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     firsts_only = lines.join(sized(met, n), ["h", "h2"]).filter(F.col("place") == F.col("first")).select("h", "h2", "first", "line", "n")
     texts = stored(stored(firsts_only, "line-copies").groupBy("h", "h2").agg(F.min("first").alias("first"), F.min("line").alias("line"), F.min("n").alias("n")), "line-texts")
     sizes = kept.groupBy("key").agg(F.count("*").alias("size"))
-    rows = kept.join(sizes, "key").join(sized(texts, n), "h")
+    chars = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    rows = kept.join(sizes, "key").join(sized(texts, n + chars // 50), "h")
     finer = F.transform(F.array_distinct(keys(F.col("line"), F.col("n"), edits, _OUTER[1])), lambda k: F.xxhash64("key", k))
     rows = stored(rows.withColumn("key", F.explode(F.when(F.col("size") > CROWD, finer).otherwise(F.array("key")))).drop("size"), "line-cells")
     one, two = rows.alias("x"), rows.alias("y")
