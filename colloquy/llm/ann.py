@@ -1,20 +1,25 @@
 """Approximate nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
-Vectors are dealt to shards of a bounded size by the hash of their content, copies of one
-vector together as one node. Each shard gets a directed graph: points are inserted in batches;
-greedy searches from the middle propose neighbours, and robust pruning keeps a neighbour only if
-none that is kept already is nearer to it by a factor, so that the edges stay diverse. Distances
-within a graph are Euclidean after one more coordinate has brought all vectors to the largest
-norm, which turns the largest inner product into the nearest. Every query searches every shard
-with a beam; the best found are scored in double precision and merged.
-
-A task holds one shard and reads its queries in blocks, so its memory is bounded whatever the
-number of queries. `recall` measures the result against brute force.
+Vectors are dealt to shards by their norm, in bands within a factor of two, and within a band by
+the hash of their content, so that a few very long vectors don't bend the graph of the others and
+copies of one vector come together as one node. Each shard gets a directed graph: points are
+inserted in batches; greedy searches from the middle propose neighbours, and robust pruning keeps
+a neighbour only if none that is kept already is nearer to it by a factor, so that the edges stay
+diverse. Distances within a graph are Euclidean, on vectors scaled to the shard's largest norm,
+after one more coordinate has brought all to that norm, which turns the largest inner product
+into the nearest. Every query searches every shard with a beam (shards of few nodes are read
+whole); the best found are scored in double precision on the original vectors and merged.
+
+There are as many shards as the session has cores, so that they are built side by side, but none
+has more than a number of nodes that fits a task's memory. A task holds one shard and reads its
+queries in blocks, so its memory is bounded whatever the number of queries. `recall` measures the
+result against brute force.
 
 Defined results: vectors that are null, empty, all zero or hold null or non-finite components
 take no part, nor do rows with a null id; only vectors with as many components are compared;
 of rows that repeat an id the smallest vector counts; of copies the smallest ids come first;
-an empty table gives an empty result; other columns are ignored.
+a score that overflows is infinite, as the products in double precision are; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import stored, table
 
-SHARD = 4096  # nodes in a shard, about
+SHARD = 200_000  # nodes in a shard at most, about
+LEAST = 2048  # nodes in a shard below which more shards gain nothing
+SCANNED = 512  # nodes in a shard that is read whole
 DEGREE, BEAM, RELAX = 32, 64, 1.2
-BLOCK = 1024  # queries that a task searches together
+BLOCK = 1024  # queries that a task searches together, fewer in large shards
+CELLS = 1 << 26  # of the table that marks which query has seen which node
 
 
 class Graph:
@@ -51,7 +59,7 @@ class Graph:
         while at < len(order):
             batch = order[at : at + size]
             at += len(batch)
-            size = min(2 * size, 512)
+            size = max(1, min(2 * size, 512, CELLS // n))
             self._insert(batch, beam)
 
     def _distances(self, a: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -145,15 +153,31 @@ class Graph:
         return out
 
 
-def searched(x: np.ndarray, graph: Graph, q: np.ndarray, k: int, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each query the nodes among the k best found, and their inner products in double precision."""
-    lifted = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
-    found, _ = graph.search(lifted, max(beam, k))
-    for row, ids in zip(q, found, strict=True):
-        ids = ids[ids >= 0]
-        score = x[ids] @ row
-        best = np.argsort(-score, kind="stable")[:k]
-        yield ids[best], score[best]
+class Shard:
+    """Different vectors and a graph over them, scaled to the largest norm."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x = x
+        most = np.abs(x).max()
+        scaled = x / most
+        self.graph = Graph(scaled / np.sqrt((scaled**2).sum(axis=1).max())) if len(x) > SCANNED else None
+        self.block = int(max(1, min(BLOCK, CELLS // max(1, len(x)))))
+
+    def search(self, q: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the nodes among the k best found, and their inner products in double precision."""
+        for part in (q[a : a + self.block] for a in range(0, len(q), self.block)):
+            if self.graph:
+                unit = part / np.abs(part).max(axis=1)[:, None]
+                unit = unit / np.sqrt((unit**2).sum(axis=1))[:, None]
+                found, _ = self.graph.search(np.concatenate([unit, np.zeros((len(unit), 1))], axis=1).astype(np.float32), max(beam, k))
+            else:
+                found = np.broadcast_to(np.arange(len(self.x)), (len(part), len(self.x)))
+            for row, ids in zip(part, found, strict=True):
+                ids = ids[ids >= 0]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = self.x[ids] @ row
+                best = np.argsort(-score, kind="stable")[:k]
+                yield ids[best], score[best]
 
 
 def usable(vector: Column) -> Column:
@@ -161,24 +185,40 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def log_norm(vector: Column) -> Column:
+    """The binary logarithm of the norm, without overflow on the way."""
+    most = F.array_max(F.transform(vector, F.abs))
+    sums = F.element_at(F.transform(F.array(most), lambda m: F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / m) * (x / m))), 1)
+    return F.log2(most) + F.log2(sums) / 2
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD, beam: int = BEAM, id_col: str = "vec_id", vector_col: str = "embedding", least: int = LEAST) -> DataFrame:
     """Per query its k nearest found but itself: query_id, rank, vec_id, score. is_query is on vec_id."""
+    spark = vectors.sparkSession
     rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = rows.count()
-    shards = max(1, -(-n // shard))
+    rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("band", F.floor(log_norm(F.col("v"))).cast("int")), "vectors")
+    sizes = {r.band: r.n for r in rows.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row for each power of two of a double at most
+    size = min(shard, max(least, -(-sum(sizes.values()) // spark.sparkContext.defaultParallelism)))
+    first, shards = [], 0
+    for band, n in sorted(sizes.items()):
+        first.append((band, shards, -(-n // size)))
+        shards += -(-n // size)
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # copies: the k + 1 smallest ids of each vector, of which one may be the query's own
     few = rows.withColumn("__c", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("__c") <= k + 1)
-    nodes = few.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "v"), F.lit(shards)).cast("int")).select("shard", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v")
+    few = few.join(F.broadcast(spark.createDataFrame(first, "band int, first int, parts int")), "band")
+    nodes = few.withColumn("shard", F.col("first") + F.pmod(F.xxhash64(F.lit("shard"), "v"), F.col("parts")).cast("int")).select("shard", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v")
     queries = rows.filter(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "v")
     together = nodes.union(queries).withColumn("d", F.size("v"))
-    dealt = together.select("d", "shard", "kind", "id", "v").repartition(F.xxhash64("d", "shard")).sortWithinPartitions("d", "shard", "kind", "id")
+    # four times as many partitions as shards, so that few share one
+    dealt = together.select("d", "shard", "kind", "id", "v").repartition(min(4 * shards, max(shards, 4000)), F.xxhash64("d", "shard")).sortWithinPartitions("d", "shard", "kind", "id")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, ids, starts, graph, query_ids, q in _blocks(batches):
+        for one, ids, starts, query_ids, q in _blocks(batches):
             out: tuple[list, list, list] = ([], [], [])
-            for query, (at, score) in zip(query_ids, searched(x, graph, q, k + 1, beam), strict=True):
+            for query, (at, score) in zip(query_ids, one.search(q, k + 1, beam), strict=True):
                 for node, s in zip(at, score, strict=True):
                     copies = ids[starts[node] : starts[node + 1]]
                     copies = copies[copies != query]
@@ -194,7 +234,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """For each shard: its vectors, the ids of each one's copies, its graph, and a block of queries."""
+    """For each shard: its vectors, the ids of each one's copies, and a block of queries."""
     now, vectors, ids, built = None, [], [], None
     query_ids, queries = [], []
 
@@ -229,12 +269,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     yield from flush()
 
 
-def _built(vectors: list[np.ndarray], ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+def _built(vectors: list[np.ndarray], ids: list[int]) -> tuple[Shard, np.ndarray, np.ndarray]:
     x, of = np.unique(np.array(vectors) + 0.0, axis=0, return_inverse=True)
     of = of.ravel()
     order = np.lexsort((np.array(ids), of))
     starts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(x)))])
-    return x, np.array(ids, np.int64)[order], starts, Graph(x)
+    return Shard(x), np.array(ids, np.int64)[order], starts
 
 
 def recall(x: np.ndarray, ids: np.ndarray, found: dict[int, list[int]], k: int) -> float:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Kept, table
+from .shared import Kept, made_once, table
 
 
 #: Where white space other than one space between two other characters touches a space.
@@ -191,10 +191,6 @@ class Codec:
         return self.bytes[at].tobytes()
 
 
-#: A worker's codecs by the number of their broadcast.
-_CODECS: dict[int, Codec] = {}
-
-
 class _Shipped:
     """A vocabulary that is broadcast once and becomes a codec once in each worker."""
 
@@ -202,11 +198,7 @@ class _Shipped:
         self.value = spark.sparkContext.broadcast(vocabulary)
 
     def __call__(self) -> Codec:
-        key = id(self.value.value)
-        if key not in _CODECS:
-            _CODECS.clear()
-            _CODECS[key] = Codec(self.value.value)
-        return _CODECS[key]
+        return made_once(self.value.value, Codec)
 
 
 def encode(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Spelled, bounded_sample, found_in, remainder, stored, table, word_lists, words
+from .shared import Spelled, bounded_sample, found_in, made_once, remainder, stored, table, word_lists, words
 
 SAMPLE = 1000
 GRAMS = (2, 3)
@@ -285,18 +285,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     return fit(got.word.tolist(), got[languages].to_numpy(float).reshape(len(got), len(languages)), languages)
 
 
-_LABELLERS: list[tuple[object, Labeller]] = []
-
-
 def language(spark: SparkSession, text: Column, model: Model, batch: int = 2048, own: bool = False) -> Column:
     """lang_pred and score of a text; with `own` only words that count as a language's own give it letters."""
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        if not (_LABELLERS and _LABELLERS[0][0] is shipped.value):  # the value is kept, so that no other can take its place
-            _LABELLERS[:] = [(shipped.value, Labeller(shipped.value))]
-        labeller = _LABELLERS[0][1]
+        labeller = made_once(shipped.value, Labeller)
         rows = [r for k in range(0, len(texts), batch) for r in labeller.predict(texts.iloc[k : k + batch].tolist(), own)]
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 

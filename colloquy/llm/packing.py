@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import Kept, stored, table
+from .shared import Kept, made_once, stored, table
 
 #: Parts in which pieces of one length are ranked, so that a common length isn't one task's.
 PARTS = 64
@@ -73,7 +73,6 @@ _PLAIN = re.compile("[\x00-\u012f]*").fullmatch
 #: The pattern of WordIds for these, with their letters, numbers and white space spelled out.
 _LETTERS, _NUMBERS, _WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _SPLIT_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_WHITE}{_LETTERS}{_NUMBERS}]+").findall
-_WORD_IDS: dict[int, WordIds] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, length: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,11 +82,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, length: int = 4096, end_id: int
 
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def cut(texts: pd.Series) -> pd.Series:
-        key = id(shipped.value)
-        if key not in _WORD_IDS:
-            _WORD_IDS.clear()
-            _WORD_IDS[key] = WordIds(shipped.value)
-        ids_of, out = _WORD_IDS[key], []
+        ids_of, out = made_once(shipped.value, WordIds), []
         for t in texts:
             ids = (ids_of(t) if t else b"") + end
             step = 4 * length

@@ -106,6 +106,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MADE: dict[str, tuple[object, object]] = {}
+
+
+def made_once(value, make):
+    """make(value), once in a worker while tasks use the same broadcast value. The value is kept
+    beside what was made of it, so that no other object can be taken for it."""
+    kept = _MADE.get(make.__qualname__)
+    if kept is None or kept[0] is not value:
+        _MADE[make.__qualname__] = kept = (value, make(value))
+    return kept[1]
+
+
 #: Rows, of about a hundred bytes each at most, up to which a table is broadcast.
 BROADCAST_ROWS = 500_000
 

@@ -304,7 +304,7 @@ def test_neighbours_recall_copies_and_cases(spark):
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
     bad = [(800, None), (820, [0.0] * 16), (840, [float("nan")] + [1.0] * 15), (860, [None] + [1.0] * 15), (880, []), (900, [float("inf")] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame([(*r, "x") for r in rows + bad], "vec_id long, embedding array<double>, score string")
-    got = ann.nearest(df, F.col("vec_id") % 20 == 0, shard=256).orderBy("query_id", "rank").collect()
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, shard=256, least=1).orderBy("query_id", "rank").collect()
     found = {}
     for r in got:
         found.setdefault(r.query_id, []).append(r)
@@ -319,6 +319,20 @@ def test_neighbours_recall_copies_and_cases(spark):
     assert ann.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 100.0, 1e4, 1e200])
+def test_recall_with_one_long_vector(spark, monkeypatch, scale):
+    monkeypatch.setattr(ann, "SCANNED", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 16))
+    x[7] *= scale
+    x[8:40] *= rng.uniform(0.01, 30, 32)[:, None]
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(5, [float(v) for v in x[5]])], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, shard=300, least=1).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert ann.recall(x, np.arange(600), found, 20) >= 0.9 and all(len(v) == 20 for v in found.values())
+
+
 def test_exact_complements_beyond_many_that_are_used():
     counts = np.zeros(4097, np.int64)
     counts[1:72] = counts[3929:4000] = 1
