@@ -14,8 +14,8 @@ The lines are read once and stored with their keys. Keys that several different
 counted first; only lines on these go on. Where many lines share a key, it is refined by the
 keys of a second partition, with other lengths, of which near lines share one as well. The rest
 meet in a semi join, which ends at the first earlier line that is near and never gives pairs.
-Short pieces of both lines rule most pairs out; those left are verified by a banded bit-parallel
-edit distance in 64-bit arithmetic.
+Short pieces of both lines rule most pairs out; what the others have between their common ends is
+verified by a banded bit-parallel edit distance in 64-bit arithmetic.
 
 Lines of fewer than `least` characters take no part in the edit join, as two edits are too large
 a part of them; with `short` they are dropped if an earlier line is equal, else they stay. Blank
@@ -103,10 +103,13 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     the next character of b, and the distance is followed along the lowest diagonal, then, when
     a's end is reached, up the last row.
     """
+    return F.element_at(banded(a, b, edits), 1)
+
+
+def banded(a: Column, b: Column, edits: int) -> Column:
+    """The distance in an array of one element, which binds the characters, so that no step splits the strings again."""
     split = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
-    # an array of one element binds the characters, so that no step splits the strings again
-    found = F.transform(F.array(F.struct(split(a).alias("a"), split(b).alias("b"))), lambda s: _banded(s["a"], s["b"], edits))
-    return F.element_at(found, 1)
+    return F.transform(F.array(F.struct(split(a).alias("a"), split(b).alias("b"))), lambda s: _banded(s["a"], s["b"], edits))
 
 
 def _banded(chars_a: Column, chars_b: Column, edits: int) -> Column:
@@ -147,19 +150,46 @@ def _banded(chars_a: Column, chars_b: Column, edits: int) -> Column:
         return F.element_at(F.transform(with_h, out), 1)
 
     start = F.struct(F.lit(full ^ ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(edits), la).cast("int").alias("d"))
-    return F.aggregate(F.sequence(F.lit(1), lb), start, step, lambda s: s["d"])
+    return F.when((la == 0) | (lb == 0), la + lb).otherwise(F.aggregate(F.sequence(F.lit(1), lb), start, step, lambda s: s["d"]))
+
+
+def trimmed(a: Column, b: Column) -> Column:
+    """array<struct<a, b>> of one element: both strings without their common beginning and end, by
+    halving steps. Their distance is the same."""
+
+    def common(x: Column, y: Column, most: Column) -> Column:
+        same = lambda p, k: F.substring(x, p + 1, k) == F.substring(y, p + 1, k)
+        power = lambda k: F.call_function("shiftleft", F.lit(1), k)
+        steps = F.sequence(F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+        return F.aggregate(steps, F.lit(0), lambda p, k: F.when((p + power(k) <= most) & same(p, power(k)), p + power(k)).otherwise(p))
+
+    both = F.least(F.length(a), F.length(b))
+    begun = F.transform(F.array(common(a, b, both)), lambda p: F.struct(F.substring(a, p + 1, F.length(a)).alias("a"), F.substring(b, p + 1, F.length(b)).alias("b")))
+    ends = lambda s: common(F.reverse(s["a"]), F.reverse(s["b"]), F.least(F.length(s["a"]), F.length(s["b"])))
+    cut = lambda x, n: F.substring(x, F.lit(1), F.length(x) - n)
+    with_ends = F.transform(begun, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), ends(s).alias("n")))
+    return F.transform(with_ends, lambda s: F.struct(cut(s["a"], s["n"]).alias("a"), cut(s["b"], s["n"]).alias("b")))
 
 
 def may_be_near(a: Column, b: Column, edits: int, window: int = 32) -> Column:
-    """False only for strings that are more than `edits` apart: pieces of both from the same place,
-    or of both ends, are within twice the edits of each other if the strings are within them.
+    """False only for strings that are more than `edits` apart: pieces of both from the same place
+    are within twice the edits of each other if the strings are within them.
 
     The pieces are short, as the time of Spark's own distance grows with the square of the length.
     """
-    near = lambda x, y: F.levenshtein(x, y, 2 * edits) >= 0
-    piece = lambda x, at: F.substring(x, at, window)
     starts = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)), F.lit(window))
-    return near(piece(a, 1), piece(b, 1)) & near(piece(a, -window), piece(b, -window)) & F.forall(starts, lambda k: near(F.substring(a, k, F.lit(window)), F.substring(b, k, F.lit(window))))
+    return F.forall(starts, lambda k: F.levenshtein(F.substring(a, k, F.lit(window)), F.substring(b, k, F.lit(window)), 2 * edits) >= 0)
+
+
+def within(a: Column, b: Column, edits: int, window: int = 32) -> Column:
+    """Whether two strings are within `edits`: the banded bit-parallel distance of what is left of
+    them between their common ends, unless their outer pieces or a look at that rule it out."""
+    near = lambda x, y: F.levenshtein(x, y, 2 * edits) >= 0
+    outer = near(F.substring(a, 1, window), F.substring(b, 1, window)) & near(F.substring(a, -window, window), F.substring(b, -window, window))
+    short = lambda s: F.length(s["a"]) <= 4 * window
+    guess = lambda s: F.when(short(s), F.levenshtein(s["a"], s["b"], edits) >= 0).otherwise(may_be_near(s["a"], s["b"], edits, window))
+    sure = F.transform(trimmed(a, b), lambda s: guess(s) & (F.element_at(banded(s["a"], s["b"], edits), 1) <= edits))
+    return outer & F.element_at(sure, 1)
 
 
 def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
@@ -183,8 +213,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
         (F.col("x.key") == F.col("y.key"))
         & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
         & (F.col("y.first") < F.col("x.first"))
-        & may_be_near(F.col("y.line"), F.col("x.line"), edits)
-        & (banded_distance(F.col("y.line"), F.col("x.line"), edits) <= edits)
+        & within(F.col("y.line"), F.col("x.line"), edits)
     )
     return one.join(two, near, "left_semi").select("h", "h2").distinct()
 

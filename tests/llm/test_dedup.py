@@ -234,6 +234,8 @@ def test_banded_distance(spark, edits):
     for r in spark.createDataFrame(pairs, "a string, b string, d int").withColumn("got", line_dedup.banded_distance(F.col("a"), F.col("b"), edits)).collect():
         assert (r.got == r.d) if r.d <= edits else (r.got > edits), r
     df = spark.createDataFrame(pairs, "a string, b string, d int")
+    for window in (2, 8, 32):
+        assert df.filter(line_dedup.within(F.col("a"), F.col("b"), edits, window) != (F.col("d") <= edits)).count() == 0
     may = line_dedup.may_be_near(F.col("a"), F.col("b"), edits, 8)
     assert df.filter(~may & (F.col("d") <= edits)).count() == 0 and df.filter(~may).count() > 0
 
