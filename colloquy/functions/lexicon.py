@@ -8,7 +8,7 @@ _NOT_A_BACK_REFERENCE = r"(?<!\bfor )(?<!\bin )(?<!\bof )(?<!\bsee )(?<!\bstep )
 
 SHARED = {
     "revision": [r"\binstead\b", r"\bactually\b", r"\btry again\b", r"\bthat'?s not\b", r"\brewrite\b", r"\bshorter\b", r"\blonger\b", r"\bmore specific\b", r"\bsame but\b", r"\bredo\b", r"\blet'?s try\b", r"\bcloser but\b", r"\bnot quite\b"],
-    "success_cond": [r"\bso (?:that )?i can\b", r"\bthe (?:output|result) i need\b", r"\bi(?:'|’)?m trying to\b", r"\bgoal is\b", r"\bin order to\b"],
+    "success_cond": [r"\bso (?:that )?i can\b", r"\bso i can\b", r"\bthe (?:output|result) i need\b", r"\bi(?:'|’)?m trying to\b", r"\bgoal is\b", r"\bin order to\b"],
     "request_head": [
         r"^\s*(?:please\s+)?(?:write|draft|list|explain|summari[sz]e|compare|give|make|create|generate|outline|analy[sz]e|translate|rewrite|fix|check|find|suggest|help|implement|parallelis|parallelize|optimi[sz]e|debug|profile|port)\b",
         r"\bcan you\b", r"\bcould you\b", r"\bwould you\b", r"\bi need you to\b",

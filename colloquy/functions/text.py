@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from . import lexicon
 
+# --- Fixed values: what counts as a word, a fence, a line end and a line of code ----------------
 WORD = "[A-Za-z][A-Za-z'-]*"
 FENCE = '(?s)```.*?```|"{3}.*?"{3}'
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 PREPROCESSOR = r"(?d)^#\s*(?:include|pragma|define|ifn?def|if|endif|else)\b"
 CODE_END = r"(?d)[;{}]\s*(?://.*)?$"
 CODE_PUNCTUATION = ";{}()[]=<>+*&|#_"
+# --- End of the fixed values ------------------------------------------------------------------
 
 
 def text_of(content: Column) -> Column:
@@ -93,20 +95,3 @@ def context_chars(content: Column) -> Column:
 
 def pii_counts(content: Column) -> dict[str, Column]:
     return {name: count(content, p) for name, p in lexicon.PII.items()}
-
-
-def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
-
-
-def ordinal(x: Column) -> Column:
-    """Rounded half to even, within 1 to 5."""
-    return clip(F.bround(x, 0), 1.0, 5.0).cast("int")
-
-
-def emission(level: Column) -> Column:
-    return clip((level - 1) / 4, 0.02, 0.98)
-
-
-def relative_shift(prior: Column, derived: Column) -> Column:
-    return F.abs(derived - prior) / F.when(F.abs(prior) <= 1e-9, F.lit(1.0)).otherwise(F.abs(prior))

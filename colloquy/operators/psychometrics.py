@@ -172,16 +172,17 @@ def polychoric_matrix(items: DataFrame, cols: list[str]) -> np.ndarray:
 
 
 def ordinal_alpha(r: np.ndarray) -> float:
-    k = len(r)
-    off = (r.sum() - np.trace(r)) / (k * (k - 1)) if k > 1 else math.nan
-    return k * off / (1 + (k - 1) * off)
+    """Of a correlation matrix: what its variances lack of the variance of the sum; NaN for one item."""
+    items = len(r)
+    return float(items / (items - 1) * (1 - np.trace(r) / r.sum())) if items > 1 else math.nan
 
 
 def ordinal_omega(r: np.ndarray) -> float:
-    values, vectors = np.linalg.eigh(r)
-    loadings = np.abs(vectors[:, -1].sum()) * np.sqrt(max(values[-1], 0.0))
-    unique = np.clip(1 - vectors[:, -1] ** 2 * max(values[-1], 0.0), 0, None).sum()
-    return float(loadings**2 / (loadings**2 + unique)) if loadings**2 + unique > 0 else math.nan
+    """The share of the sum's variance that the first principal factor has, unique parts not negative."""
+    roots, axes = np.linalg.eigh(r)
+    common = max(roots[-1], 0.0) * np.outer(axes[:, -1], axes[:, -1])
+    whole = common.sum() + np.maximum(1 - np.diag(common), 0).sum()
+    return float(common.sum() / whole) if whole > 0 else math.nan
 
 
 def reliability(items: DataFrame) -> list[dict]:

@@ -116,9 +116,14 @@ def kappa(a: str, b: str) -> Column:
 
 
 def agreement(machine: DataFrame, human: DataFrame, key: str = "student") -> DataFrame:
-    """Per item: n, weighted kappa, exact agreement, mean absolute difference, means, meets_080."""
+    """Per item: n, weighted kappa, exact agreement, mean absolute difference, means, meets_080.
+
+    A human score that is null or NaN is an error when its row is read.
+    """
     a = unpivoted(machine, [key], ITEMS, "item", "auto")
     b = unpivoted(human, [key], ITEMS, "item", "human")
+    missing = F.raise_error(F.concat(F.lit("no human score for "), F.col("item"))).cast("double")
+    b = b.withColumn("human", F.when(F.col("human").isNull() | F.isnan("human"), missing).otherwise(F.col("human")))
     both = a.join(b, [key, "item"])
     out = both.groupBy("item").agg(
         F.count("*").alias("n"),
@@ -131,6 +136,11 @@ def agreement(machine: DataFrame, human: DataFrame, key: str = "student") -> Dat
     return out.withColumn("meets_080", ~F.isnan("weighted_kappa") & (F.col("weighted_kappa") >= 0.80))
 
 
+def worst_items(found: DataFrame, n: int = 3) -> DataFrame:
+    """The items of an agreement table with the smallest kappas; those without a kappa don't count."""
+    return found.filter(~F.isnan("weighted_kappa")).orderBy("weighted_kappa", "item").limit(n)
+
+
 def distribution_report(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
     long = unpivoted(features, [], cols or FEATURES, "feature", "v")
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

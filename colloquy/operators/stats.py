@@ -55,14 +55,14 @@ def icc(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def krippendorff(ratings: DataFrame, unit: str = "student", value: str = "score", by: str = "dimension") -> DataFrame:
-    """Interval alpha of complete ratings, by `by`: 1 less observed over expected disagreement."""
+    """Interval alpha of complete ratings, by `by`: 1 less observed over expected disagreement; NaN if none is expected."""
     x = F.col(value).cast("double")
     units = ratings.groupBy(by, unit).agg(F.count("*").alias("m"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     # squared differences of all ordered pairs of values: 2 (m q - s s)
     sums = units.groupBy(by).agg(F.sum(2 * (F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("o"), F.sum("m").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     observed = F.col("o") / F.col("n")
     expected = 2 * (F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") * (F.col("n") - 1))
-    return sums.select(by, F.when(expected > 0, 1 - observed / F.when(expected > 0, expected)).otherwise(F.lit(1.0)).alias("alpha"))
+    return sums.select(by, F.when(expected > 0, 1 - observed / F.when(expected > 0, expected)).otherwise(F.lit(float("nan"))).alias("alpha"))
 
 
 def wide_ratings(ratings: DataFrame, raters: list[int]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexicon, text
+from ..functions import text
 from .features import in_order
 
 REQUIRED = ["session_id", "student", "role", "turn", "content"]
@@ -96,28 +96,31 @@ def pseudonyms(turns: DataFrame, roster: DataFrame | None = None) -> tuple[DataF
     """Turns with pseudonyms for students, and the crosswalk session_id, student, pseudonym.
 
     Without a roster each session is a student of its own. Codes are dense from 1 in the order
-    of the names; a session that the roster lacks is an error when its rows are read.
+    of the names. Sessions that the roster lacks, or gives no student, are an error that names
+    the first five.
     """
     who = turns.select("session_id").distinct()
     if roster is None:
         who = who.withColumn("student", F.col("session_id").cast("string"))
     else:
         who = who.join(roster.select("session_id", F.col("student").cast("string").alias("student")), "session_id", "left")
-        who = who.withColumn("student", F.coalesce("student", F.raise_error(F.concat(F.lit("not in the roster: "), F.col("session_id").cast("string"))).cast("string")))
+        if missing := [r.session_id for r in who.filter("student IS NULL").select("session_id").orderBy("session_id").limit(5).collect()]:
+            raise ValueError(f"the roster has no student for sessions {missing}")
     codes = dense_codes(who.select("student").distinct(), "student")
     cross = who.join(codes, "student").select("session_id", "student", F.col("code").cast("int").alias("pseudonym"))
     out = turns.drop("student").join(cross.select("session_id", F.col("pseudonym").alias("student")), "session_id")
     return out, cross
 
 
-def dense_codes(names: DataFrame, col: str) -> DataFrame:
-    """Different values with codes from 1 in their order; ranks within those that begin alike, then their offsets."""
-    ranged = names.withColumn("__part", F.substring(F.col(col).cast("string"), 1, 2))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).drop("n")  # a row per first two characters
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(col))
-    return ranged.join(before, "__part").select(col, (rank + F.col("__before")).alias("code"))
-
+def dense_codes(names: DataFrame, col: str, parts: int | None = None) -> DataFrame:
+    """Different values with codes from 1 in their order.
 
-def pii_types() -> list[str]:
-    return list(lexicon.PII)
+    The values are dealt to ranges of about equal size, whatever they begin with; a value's code is
+    its rank in its range after the sizes of the ranges before, of which there is a row each.
+    """
+    ranged = names.repartitionByRange(parts or names.sparkSession.sparkContext.defaultParallelism, col).sortWithinPartitions(col)
+    ranged = ranged.select(col, F.monotonically_increasing_id().alias("__at"))  # the range above, the place in it below
+    ranged = ranged.select(col, F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__place"))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).select("__part", "__before")
+    return ranged.join(F.broadcast(before), "__part").select(col, (F.col("__place") + F.col("__before") + 1).cast("long").alias("code"))

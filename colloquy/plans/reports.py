@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,26 +24,30 @@ class Run:
     flat: list[str]
 
 
-def score_log(log: DataFrame, human: DataFrame | None = None, level: str = "student", profile: str = "hpc", corpus: str = "", out: str | None = None) -> Run:
+def score_log(log: DataFrame, human: DataFrame | None = None, level: str = "student", profile: str = "hpc", corpus: str = "", out: str | None = None, most: int = 1000) -> Run:
     """Validation, screening, features, cutpoints and scores; reports and a manifest go to `out`.
 
-    Problems are told, not fatal. With human scores the cuts are calibrated on them, else they
+    Problems are told, not fatal, the first `most` of them. With human scores the cuts are calibrated on them, else they
     are the corpus's own quantiles.
     """
-    problems = [f"session {r.session_id}: {r.problem}" if r.session_id else r.problem for r in turns.validate(log).limit(1000).collect()]
+    problems = [f"session {r.session_id}: {r.problem}" if r.session_id else r.problem for r in turns.validate(log).limit(most).collect()]
     found = features.extract(log, level, profile).cache()
     ts = scoring.derive(found, human, corpus, key="student" if level == "student" else "session_id", profile=profile)
     scored = scoring.score_items(found, ts.cutpoints, ts.provenance)
     if out:
-        Path(out).mkdir(parents=True, exist_ok=True)
+        put = lambda value, name: writers.put(log.sparkSession, json.dumps(value, indent=2, default=str), f"{out}/{name}")
         writers.write_report(turns.screen_pii(log), f"{out}/pii")
         writers.write_report(found, f"{out}/features")
         writers.write_report(scored, f"{out}/scores")
         writers.write_report(scoring.degeneracy_report(scored), f"{out}/degeneracy")
-        writers.write_json(scoring.compare_to_prior(ts.cutpoints), f"{out}/shift.json")
+        put(scoring.compare_to_prior(ts.cutpoints), "shift.json")
+        put(ts.cutpoints, "cutpoints.json")
         if human is not None:
-            writers.write_report(scoring.agreement(scored, human), f"{out}/agreement")
-        writers.write_json({"corpus": corpus, "level": level, "lexicon_profile": profile, "provenance": ts.provenance, "n_cases": ts.n_cases, "problems": problems[:8]}, f"{out}/manifest.json")
+            agreed = scoring.agreement(scored, human).cache()
+            writers.write_report(agreed, f"{out}/agreement")
+            writers.write_report(scoring.worst_items(agreed), f"{out}/worst")
+            put(scoring.length_baseline(found, human), "length.json")
+        put({"corpus": corpus, "level": level, "lexicon_profile": profile, "provenance": ts.provenance, "n_cases": ts.n_cases, "problems": problems[:8]}, "manifest.json")
     return Run(found, scored, ts, problems, ts.flat_features)
 
 

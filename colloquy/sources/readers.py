@@ -5,6 +5,8 @@ Each is one scan with an explicit schema; nothing is inferred and nothing is rea
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +24,31 @@ def _fail(condition: Column, message: Column, value: Column) -> Column:
     return F.when(condition, F.raise_error(message).cast("string")).otherwise(value)
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (from 1), value of every line.
+
+    A file's blocks are counted first; a line's number is its place in its block after the
+    sizes of the blocks before, of which there is a row each.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "first", before.alias("before"))
+    return lines.join(blocks, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("number"), "value")
+
+
+def read_jsonl(spark: SparkSession, path: str, model: str | None = None, numbers: bool = True) -> DataFrame:
     """Turns, a JSON object a line. Blank lines are skipped; a line that isn't an object, or lacks
-    one of the required keys (null is a value), is an error that names the file and quotes the line."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.length(text.strip(F.col("value"))) > 0)
+    one of the required keys (null is a value), is an error that names the file and the line; no
+    line at all is one too. Without `numbers`, which cost a pass of their own, the line is quoted."""
+    lines = numbered_lines(spark, path) if numbers else spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = require_rows(lines.filter(F.length(text.strip(F.col("value"))) > 0), path)
     keys = F.json_object_keys("value")
     missing = F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce(keys, F.array().cast("array<string>")))
-    where = F.concat("file", F.lit(": "), F.substring("value", 1, 200))
-    checked = _fail(keys.isNull(), F.concat(F.lit("not a JSON object in "), where), _fail(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "), F.lit(" in "), where), F.col("value")))
-    return lines.select(F.from_json(checked, TURN_SCHEMA).alias("t")).select("t.*")
+    where = F.concat("file", F.lit(":"), F.col("number").cast("string") if numbers else F.substring("value", 1, 200))
+    checked = _fail(keys.isNull(), F.concat(where, F.lit(": not a JSON object")), _fail(F.size(missing) > 0, F.concat(where, F.lit(": missing "), F.array_join(missing, ", ")), F.col("value")))
+    found = lines.select(F.from_json(checked, TURN_SCHEMA).alias("t")).select("t.*")
+    return found.withColumn("model", F.coalesce("model", F.lit(model))) if model else found
 
 
 def require_rows(df: DataFrame, path: str) -> DataFrame:
@@ -142,12 +160,18 @@ def read_item_scores(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*(F.col(c).cast("int").alias(c) if c in ITEMS else F.col(c) for c in df.columns))
 
 
+def read_cutpoints(path: str) -> dict[str, dict]:
+    """Cutpoints as `writers.write_json` puts them: item, then feature, direction, cuts and band."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True).select("session_id", "student")
 
 
 #: Names of the readers.
-READERS = {"openai": read_node_export, "anthropic": read_flat_export, "text": read_transcripts, "csv": read_csv, "dir": read_directory}
+READERS = {"jsonl": read_jsonl, "openai": read_node_export, "anthropic": read_flat_export, "text": read_transcripts, "csv": read_csv, "dir": read_directory}
 
 
 def read(spark: SparkSession, kind: str, path: str, model: str | None = None, **options) -> DataFrame:

@@ -6,7 +6,7 @@ import csv
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.features import DIMENSIONS, ITEMS
 
@@ -29,6 +29,16 @@ def write_crosswalk(crosswalk: DataFrame, path: str) -> None:
     crosswalk.write.mode("overwrite").csv(path, header=True)
 
 
+def put(spark: SparkSession, text: str, path: str) -> None:
+    """A text file by Spark's file systems, so that it lies beside the tables that Spark writes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_json(value: object, path: str) -> None:
     Path(path).write_text(json.dumps(value, indent=2, default=str), encoding="utf-8")
 
@@ -42,7 +52,7 @@ def latex_table(rows: list[dict], caption: str, label: str) -> str:
 
 
 def lavaan(items: DataFrame, folder: str) -> str:
-    """The items as CSV and an R script that fits the five factors to ordered items; its path."""
+    """The items as CSV and an R script that fits five factors and one to ordered items and tests them; its path."""
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     with (out / "items.csv").open("w", newline="") as f:
@@ -59,6 +69,8 @@ model <- '
 fit <- cfa(model, data = items, ordered = names(items), estimator = "WLSMV")
 print(fitMeasures(fit, c("cfi.scaled", "tli.scaled", "rmsea.scaled", "srmr")))
 summary(fit, standardized = TRUE)
+single <- cfa(paste("G =~", paste(names(items), collapse = " + ")), data = items, ordered = names(items), estimator = "WLSMV")
+print(lavTestLRT(single, fit))
 """
     (out / "model.R").write_text(script)
     return str(out / "model.R")

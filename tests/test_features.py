@@ -57,6 +57,10 @@ def test_families_equal_python(spark):
                 assert r[f] == (len(re.findall("|".join(pats), r.content, re.I | re.M)) if r.content else 0), (name, f, r.content)
 
 
+def test_coverage_counts_every_alternative():
+    assert lexicon.coverage("general")["success_cond"] == 8 and lexicon.coverage("hpc")["revision"] == 13
+
+
 def test_near_duplicate_turns_and_levels(spark):
     rows = [("s", "a", "user", k, t) for k, t in enumerate(["alpha beta gamma delta", "unrelated words entirely", "alpha beta gamma epsilon"])]
     assert features.session_features(frame(spark, rows)).first().refinement_ratio == pytest.approx(1 / 3)
@@ -95,5 +99,10 @@ def test_scores_and_cutpoints(spark):
     assert all(r.weighted_kappa != r.weighted_kappa or r.weighted_kappa == 1 for r in same.collect())
     ts = scoring.derive(base, corpus="c")
     assert scoring.ThresholdSet.from_json(ts.to_json()) == ts and "40 cases" in ts.summary()
+    worst = scoring.worst_items(again).collect()
+    assert [(r.weighted_kappa, r["item"]) for r in worst] == sorted((k, i) for i, k in kappas.items() if k == k)[:3]
+    holes = human.withColumn("PromptEngineering_i2", F.when(F.col("student") != "3", F.col("PromptEngineering_i2")))
+    with pytest.raises(Exception, match="no human score for PromptEngineering_i2"):
+        scoring.agreement(scored, holes).collect()
     with pytest.raises(KeyError):
         scoring.calibrate(base, human.drop("PromptEngineering_i1"))

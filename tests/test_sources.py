@@ -13,14 +13,25 @@ def test_jsonl_keeps_turns_and_rejects_faults(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text(json.dumps(good) + "\n\n" + json.dumps(good | {"turn": 1}) + "\n")
     assert readers.read_jsonl(spark, str(tmp_path / "a.jsonl")).count() == 2
     (tmp_path / "b.jsonl").write_text("{oops\n")
+    (tmp_path / "b.jsonl").write_text(json.dumps(good) + "\n\n{oops\n")
+    with pytest.raises(Exception, match="b.jsonl:3: not a JSON object"):
+        readers.read(spark, "jsonl", str(tmp_path / "b.jsonl")).collect()
     with pytest.raises(Exception, match="not a JSON object"):
-        readers.read_jsonl(spark, str(tmp_path / "b.jsonl")).collect()
+        readers.read_jsonl(spark, str(tmp_path / "b.jsonl"), numbers=False).collect()
     (tmp_path / "c.jsonl").write_text('{"session_id": "s"}\n')
-    with pytest.raises(Exception, match="missing student"):
+    with pytest.raises(Exception, match="c.jsonl:1: missing student"):
         readers.read_jsonl(spark, str(tmp_path / "c.jsonl")).collect()
     (tmp_path / "d.jsonl").write_text("\n")
     with pytest.raises(ValueError, match="no records"):
-        readers.require_rows(readers.read_jsonl(spark, str(tmp_path / "d.jsonl")), "d")
+        readers.read_jsonl(spark, str(tmp_path / "d.jsonl"))
+    (tmp_path / "e.jsonl").write_text((json.dumps(good) + "\n") * 3000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path / "e.jsonl"))
+        assert lines.rdd.getNumPartitions() > 3
+        assert sorted(r.number for r in lines.collect()) == list(range(1, 3001))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_node_export_sorts_by_time_and_drops_empties(spark, tmp_path):
@@ -59,11 +70,33 @@ def test_unknown_roles_and_rosters_are_errors(spark):
     df = spark.createDataFrame([("s1", "narrator"), ("s2", "user")], "session_id string, role string")
     with pytest.raises(Exception, match="unknown role"):
         df.select(turns.role_of(df.role)).collect()
-    with pytest.raises(Exception, match="not in the roster"):
-        turns.pseudonyms(df, spark.createDataFrame([("s1", "x")], "session_id string, student string"))[1].collect()
+    with pytest.raises(ValueError, match="no student for sessions .'s2'"):
+        turns.pseudonyms(df, spark.createDataFrame([("s1", "x")], "session_id string, student string"))
     assert {(r.session_id, r.pseudonym) for r in turns.pseudonyms(df)[1].collect()} == {("s1", 1), ("s2", 2)}
 
 
+def test_codes_are_dense_in_order(spark):
+    names = [f"S{k:03d}" for k in range(300)] + ["a", "é", "Z"]
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "student string")
+    got = {r.student: r.code for r in turns.dense_codes(df, "student", 7).collect()}
+    assert got == {n: k for k, n in enumerate(sorted(names, key=str.encode), 1)}
+
+
+def test_cutpoints_crosswalk_and_r_script(spark, tmp_path):
+    from colloquy.operators import scoring, simulate
+
+    writers.write_json(scoring.A_PRIORI, str(tmp_path / "cuts.json"))
+    assert readers.read_cutpoints(str(tmp_path / "cuts.json")) == scoring.A_PRIORI
+    writers.put(spark, "text é", f"file://{tmp_path}/deep/t.txt")
+    assert (tmp_path / "deep" / "t.txt").read_text(encoding="utf-8") == "text é"
+    cross = spark.createDataFrame([("s", "x", 1)], "session_id string, student string, pseudonym int")
+    writers.write_crosswalk(cross, str(tmp_path / "cross"))
+    assert spark.read.csv(str(tmp_path / "cross"), header=True).first().asDict() == {"session_id": "s", "student": "x", "pseudonym": "1"}
+    script = open(writers.lavaan(spark.createDataFrame(simulate.one_factor(9, 1)), str(tmp_path / "r"))).read()
+    assert "Prompt" in script and "G =~" in script and "lavTestLRT(single, fit)" in script
+    assert len((tmp_path / "r" / "items.csv").read_text().splitlines()) == 10
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("s", None, [1.0, 2.0])], "a string, b string, c array<double>")
     writers.write_jsonl(df, str(tmp_path / "j"))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
 
+from colloquy.functions import lexicon
 from colloquy.operators import controls, psychometrics, simulate, stats
 from colloquy.operators.features import DIMENSIONS, ITEMS
 from colloquy.plans import reports
@@ -36,6 +38,11 @@ def test_published_values(spark, thirty):
         assert part in text
 
 
+def test_constant_ratings_have_no_alpha(spark):
+    df = spark.createDataFrame([("d", s, r, 3) for s in "ab" for r in (1, 2)], "dimension string, student string, rater int, score int")
+    assert math.isnan(stats.krippendorff(df).first().alpha)
+
+
 def test_tukey_and_distributions(thirty):
     found = {(t["dimension"], t["a"], t["b"]): t for t in stats.tukey(thirty[0])}
     assert len(found) == 15 and all(0 <= t["p"] <= 1 for t in found.values())
@@ -79,6 +86,10 @@ def test_generated_logs_and_coders(spark):
     levels = simulate.latents(spark, 4)
     log = simulate.logs(levels, 2)
     assert log.select("student").distinct().count() == 12
+    for families in simulate.MOVES.values():
+        for family, sentences in families.items():
+            for x in sentences:
+                assert re.search("|".join(lexicon.GENERAL[family]), x, re.I | re.M), (family, x)
     items = simulate.human_items(levels.toPandas())
     assert items[ITEMS].to_numpy().min() >= 1 and items[ITEMS].to_numpy().max() <= 5
     out = reports.score_log(log.withColumn("student", log.student.cast("string")), profile="general")
