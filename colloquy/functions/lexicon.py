@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from re import _parser as parser
+
 _NOT_A_BACK_REFERENCE = r"(?<!\bfor )(?<!\bin )(?<!\bof )(?<!\bsee )(?<!\bstep )"
 
 # --- Fixed values: the patterns of the marker families, by family -----------------------------
@@ -149,6 +152,40 @@ def pattern(name: str, family: str) -> str:
     return FLAGS + "|".join(profile(name)[family])
 
 
+def _needed(parsed) -> set[str] | None:
+    """Of a parsed pattern: texts of which each match has one, the longest that are found; None if there are none."""
+    found: list[set[str]] = []
+    run = ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is parser.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:
+            found.append({run})
+        run = ""
+        inner = None
+        if op is parser.SUBPATTERN:
+            inner = _needed(arg[-1])
+        elif op is parser.MAX_REPEAT and arg[0] > 0:
+            inner = _needed(arg[2])
+        elif op is parser.BRANCH:
+            each = [_needed(x) for x in arg[1]]
+            inner = set().union(*each) if all(each) else None
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda x: min(map(len, x)), default=None)
+
+
+@cache
+def needles(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    """Lower-case texts of which every match of any of the patterns has one; none if that can't be said."""
+    each = [_needed(parser.parse(p)) for p in patterns]
+    if not all(each):
+        return ()
+    every = set().union(*each)
+    return tuple(sorted(x for x in every if not any(y != x and y in x for y in every)))
+
+
 def coverage(name: str) -> dict[str, int]:
     """Pieces between bars in each family's pattern, those of inner groups included."""
     return {k: "|".join(v).count("|") + 1 for k, v in sorted(profile(name).items())}

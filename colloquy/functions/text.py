@@ -26,8 +26,22 @@ def count(content: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(content, F.lit(pattern)), F.lit(0)).cast("long")
 
 
-def family(content: Column, profile: str, name: str) -> Column:
-    return count(content, lexicon.pattern(profile, name))
+def folded(content: Column) -> Column:
+    """In lower case, with the letters that patterns take for s and k as those."""
+    return F.translate(F.lower(content), "\u017f\u212a", "sk")
+
+
+def count_where(content: Column, low: Column, pattern: str, needles: tuple[str, ...]) -> Column:
+    """Matches of a pattern, which is tried only where the folded text has one of the needles."""
+    if not needles:
+        return count(content, pattern)
+    return F.when(F.exists(F.array(*map(F.lit, needles)), lambda x: F.contains(low, x)), count(content, pattern)).otherwise(F.lit(0).cast("long"))
+
+
+def family(content: Column, profile: str, name: str, low: Column | None = None) -> Column:
+    """Markers of a family. `low` is the folded content, a column of its own where many families are counted."""
+    low = folded(content) if low is None else low
+    return count_where(content, low, lexicon.pattern(profile, name), lexicon.needles(tuple(lexicon.profile(profile)[name])))
 
 
 def raw_tokens(content: Column) -> Column:
@@ -93,5 +107,6 @@ def context_chars(content: Column) -> Column:
     return (F.length(F.array_join(blocks, "")) + F.aggregate(of_paragraphs, F.lit(0), lambda a, b: a + b)).cast("long")
 
 
-def pii_counts(content: Column) -> dict[str, Column]:
-    return {name: count(content, p) for name, p in lexicon.PII.items()}
+def pii_counts(content: Column, low: Column | None = None) -> dict[str, Column]:
+    low = folded(content) if low is None else low
+    return {name: count_where(content, low, p, lexicon.needles((p,))) for name, p in lexicon.PII.items()}

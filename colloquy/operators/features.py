@@ -43,11 +43,12 @@ def turn_features(turns: DataFrame, profile: str = "general") -> DataFrame:
     user = F.col("role") == "user"
     rows = in_order(turns).withColumn("content", text.text_of(F.col("content")))
     # families that only student turns are asked for are counted there alone; ethics of both roles
+    rows = rows.withColumn("low", text.folded(F.col("content")))
     half = len(families) // 2
     for part in (families[:half], families[half:]):  # two projections keep generated methods small
-        rows = rows.select("*", *(F.when(user | F.lit(f == "ethics"), text.family(F.col("content"), profile, f)).otherwise(0).alias(f"c_{f}") for f in part))
-    rows = rows.withColumn("pii", F.when(user, sum(text.pii_counts(F.col("content")).values(), F.lit(0))).otherwise(0))
-    rows = rows.withColumn("raw", text.raw_tokens(F.col("content"))).withColumn("toks", F.transform("raw", F.lower))
+        rows = rows.select("*", *(F.when(user | F.lit(f == "ethics"), text.family(F.col("content"), profile, f, F.col("low"))).otherwise(0).alias(f"c_{f}") for f in part))
+    rows = rows.withColumn("pii", F.when(user, sum(text.pii_counts(F.col("content"), F.col("low")).values(), F.lit(0))).otherwise(0))
+    rows = rows.withColumn("raw", text.raw_tokens(F.col("content"))).withColumn("toks", F.transform("raw", F.lower)).drop("low")
     return rows.select(
         "*",
         F.size("toks").cast("long").alias("n_tok"),
@@ -57,6 +58,23 @@ def turn_features(turns: DataFrame, profile: str = "general") -> DataFrame:
     )
 
 
+def near_earlier(rows: DataFrame) -> DataFrame:
+    """session_id, turn, near (true): user turns that are near an earlier one of the session.
+
+    Two sets of which one has n words share one of the first n - ceil(NEAR n) + 1 of it in an order
+    that holds for all, here that of the words' hashes. So turns meet by session and word, which
+    splits long sessions, and the sets' similarity is computed only for those that meet.
+    """
+    order = F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    size = F.size("words")
+    users = rows.filter((F.col("role") == "user") & (size > 0)).select("session_id", "turn", "words", F.slice(order, 1, (size - F.ceil(size * NEAR) + 1).cast("int")).alias("first"))
+    keyed = users.select("session_id", "turn", "words", F.explode("first.h").alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    meet = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.key") == F.col("b.key")) & (F.col("b.turn") < F.col("a.turn"))
+    found = a.join(b, meet & (text.jaccard(F.col("a.words"), F.col("b.words")) > NEAR), "left_semi")
+    return found.select("session_id", "turn").distinct().withColumn("near", F.lit(True))
+
+
 def windows(rows: DataFrame) -> DataFrame:
     """Adds what a turn takes from the turns around it."""
     w = Window.partitionBy("session_id").orderBy("turn")
@@ -64,7 +82,6 @@ def windows(rows: DataFrame) -> DataFrame:
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     recheck = user & ((F.col("c_recheck") > 0) | (F.col("c_hedge") > 0))
     previous = F.lag(F.struct("role", "bi"), 1).over(w)
-    near = F.exists(F.collect_list("words").over(before), lambda x: text.jaccard(x, F.col("words")) > NEAR)
     eligible = user & (previous["role"] == "assistant") & (F.col("n_tok") >= 8)
     return rows.select(
         "*",
@@ -72,8 +89,7 @@ def windows(rows: DataFrame) -> DataFrame:
         F.coalesce(F.last(F.when(assistant, F.col("c_ethics") > 0), ignorenulls=True).over(before), F.lit(False)).alias("primed"),
         F.when(eligible, text.bigram_overlap(F.col("bi"), previous["bi"])).alias("overlap"),
         (F.count(F.when(user, 1)).over(before) > 0).alias("later_user"),
-        F.when(user, near).alias("near"),
-    )
+    ).join(near_earlier(rows), ["session_id", "turn"], "left")
 
 
 def session_features(turns: DataFrame, profile: str = "general") -> DataFrame:

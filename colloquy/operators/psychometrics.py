@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +101,20 @@ _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(48)
 _CDF = np.vectorize(NormalDist().cdf)
 
 
-def bvn(h: np.ndarray, k: np.ndarray, r: float) -> np.ndarray:
-    """P(X < h, Y < k) at all pairs, by an integral over the angle of the correlation."""
+def bvn(h: np.ndarray, k: np.ndarray, r: float | np.ndarray) -> np.ndarray:
+    """P(X < h, Y < k) for all of h by all of k (their last axes), by an integral over the angle of
+    the correlation; further axes, of r too, go side by side."""
     h, k = np.clip(h, -9, 9), np.clip(k, -9, 9)
-    return np.outer(_CDF(h), _CDF(k)) + _beyond_independence(h, k, r)
+    return _CDF(h)[..., :, None] * _CDF(k)[..., None, :] + _beyond_independence(h, k, np.asarray(r, float))
 
 
-def _beyond_independence(h: np.ndarray, k: np.ndarray, r: float) -> np.ndarray:
-    top = math.asin(r)
-    angle = (top * (_NODES + 1) / 2)[:, None, None]
-    h, k = h[None, :, None], k[None, None, :]
-    each = np.exp(-(h * h + k * k - 2 * h * k * np.sin(angle)) / (2 * np.cos(angle) ** 2))
-    return np.einsum("n,nij->ij", _WEIGHTS * top / (4 * math.pi), each)
+def _beyond_independence(h: np.ndarray, k: np.ndarray, r: np.ndarray) -> np.ndarray:
+    top = np.arcsin(r)[..., None]
+    angle = top * (_NODES + 1) / 2
+    h, k = h[..., None, :, None], k[..., None, None, :]
+    sine, cosine = np.sin(angle)[..., None, None], np.cos(angle)[..., None, None]
+    each = np.exp(-(h * h + k * k - 2 * h * k * sine) / (2 * cosine**2))
+    return ((_WEIGHTS * top / (4 * math.pi))[..., None, None] * each).sum(axis=-3)
 
 
 def thresholds(counts: np.ndarray) -> np.ndarray:
@@ -120,46 +124,69 @@ def thresholds(counts: np.ndarray) -> np.ndarray:
 
 def polychoric(table: np.ndarray) -> float:
     """The latent correlation of a table of counts, thresholds held at the margins; NaN if one is constant."""
-    if (table.sum(axis=1) > 0).sum() < 2 or (table.sum(axis=0) > 0).sum() < 2:
-        return math.nan
-    a, b = (np.concatenate([[-9], thresholds(table.sum(axis=x)), [9]]) for x in (1, 0))
+    return float(polychoric_all(table[None])[0])
 
-    apart = np.outer(_CDF(a), _CDF(b))
 
-    def loss(r: float) -> float:
+def polychoric_all(tables: np.ndarray) -> np.ndarray:
+    """Of many tables; the searches for the likeliest correlations go side by side."""
+    out = np.full(len(tables), math.nan)
+    fit = np.flatnonzero([((t.sum(axis=1) > 0).sum() > 1) and ((t.sum(axis=0) > 0).sum() > 1) for t in tables])
+    if not len(fit):
+        return out
+    tables = tables[fit]
+    a, b = (np.stack([np.concatenate([[-9], thresholds(t.sum(axis=x)), [9]]) for t in tables]) for x in (1, 0))
+    apart = _CDF(a)[:, :, None] * _CDF(b)[:, None, :]
+
+    def loss(r: np.ndarray) -> np.ndarray:
         grid = apart + _beyond_independence(a, b, r)
-        cells = grid[1:, 1:] - grid[:-1, 1:] - grid[1:, :-1] + grid[:-1, :-1]
-        return -float((table * np.log(np.clip(cells, 1e-12, 1.0))).sum())
+        cells = np.diff(np.diff(grid, axis=1), axis=2)
+        return -(tables * np.log(np.clip(cells, 1e-12, 1.0))).sum(axis=(1, 2))
 
-    low, high, golden = -0.999, 0.999, (math.sqrt(5) - 1) / 2
+    golden = (math.sqrt(5) - 1) / 2
+    low, high = np.full(len(tables), -0.999), np.full(len(tables), 0.999)
     c, d = high - golden * (high - low), low + golden * (high - low)
     fc, fd = loss(c), loss(d)
-    while high - low > 1e-5:
-        if fc < fd:
-            high, d, fd = d, c, fc
-            c = high - golden * (high - low)
-            fc = loss(c)
-        else:
-            low, c, fc = c, d, fd
-            d = low + golden * (high - low)
-            fd = loss(d)
-    return (low + high) / 2
+    while (high - low).max() > 1e-5:
+        left = fc < fd
+        low, high = np.where(left, low, c), np.where(left, d, high)
+        new = np.where(left, high - golden * (high - low), low + golden * (high - low))
+        found = loss(new)
+        c, d = np.where(left, new, d), np.where(left, c, new)
+        fc, fd = np.where(left, found, fd), np.where(left, fc, found)
+    out[fit] = (low + high) / 2
+    return out
 
 
-def polychoric_pairs(items: DataFrame, cols: list[str], n_cat: int = 5) -> DataFrame:
-    """a, b, r of all pairs of columns. Tables are counted in one aggregate; a task fits a pair."""
-    import pandas as pd
+def pair_counts(items: DataFrame, cols: list[str], n_cat: int = 5) -> DataFrame:
+    """i, j, x, y, n: how often columns i > j have the values x and y. A task sends on the cells of
+    its own table, of which there are at most as many as pairs and values, whatever its rows."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(cols) * n_cat,) * 2)
+        for batch in batches:
+            marks = (batch[cols].to_numpy(float)[:, :, None] == np.arange(1, n_cat + 1)).reshape(len(batch), -1).astype(np.float32)
+            sums += marks.T @ marks
+        at = np.indices(sums.shape)
+        keep = (sums > 0) & (at[0] // n_cat > at[1] // n_cat)
+        yield pd.DataFrame({"i": at[0][keep] // n_cat, "j": at[1][keep] // n_cat, "x": at[0][keep] % n_cat, "y": at[1][keep] % n_cat, "n": sums[keep]})
 
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
-    cells = F.array(*(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(cols[i]).cast("int").alias("x"), F.col(cols[j]).cast("int").alias("y")) for i, j in pairs))
-    counts = items.select(F.explode(cells).alias("c")).select("c.*").groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    parts = items.select(*cols).mapInPandas(counted, "i int, j int, x int, y int, n long")
+    return parts.groupBy("i", "j", "x", "y").agg(F.sum("n").alias("n"))
+
+
+def polychoric_pairs(items: DataFrame, cols: list[str], n_cat: int = 5) -> DataFrame:
+    """a, b, r of all pairs of columns; r is NaN where one is constant."""
+    tables = pair_counts(items, cols, n_cat).groupBy("i", "j").agg(F.collect_list(F.struct("x", "y", "n")).alias("cells"))
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((n_cat, n_cat))
-        table[g.x.to_numpy() - 1, g.y.to_numpy() - 1] = g.n.to_numpy()
-        return pd.DataFrame({"a": [g.a.iloc[0]], "b": [g.b.iloc[0]], "r": [polychoric(table)]})
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            table = np.zeros((len(batch), n_cat, n_cat))
+            for k, cells in enumerate(batch.cells):
+                for cell in cells:
+                    table[k, cell["x"], cell["y"]] = cell["n"]
+            yield pd.DataFrame({"a": [cols[i] for i in batch.i], "b": [cols[j] for j in batch.j], "r": polychoric_all(table)})
 
-    return counts.groupBy("a", "b").applyInPandas(fit, "a string, b string, r double")
+    return tables.mapInPandas(fitted, "a string, b string, r double")
 
 
 def polychoric_matrix(items: DataFrame, cols: list[str]) -> np.ndarray:
@@ -188,8 +215,9 @@ def ordinal_omega(r: np.ndarray) -> float:
 def reliability(items: DataFrame) -> list[dict]:
     """Per dimension Cronbach's alpha, ordinal alpha and omega."""
     plain = {r.dimension: r.alpha for r in cronbach(items).collect()}
+    every = polychoric_matrix(items, ITEMS)
     out = []
-    for d in DIMENSIONS:
-        r = polychoric_matrix(items, [f"{d}_i{k}" for k in range(1, 6)])
+    for k, d in enumerate(DIMENSIONS):
+        r = every[5 * k : 5 * k + 5, 5 * k : 5 * k + 5]
         out.append({"dimension": d, "cronbach_alpha": round(plain[d], 3), "ordinal_alpha": round(float(ordinal_alpha(r)), 3), "ordinal_omega": round(float(ordinal_omega(r)), 3)})
     return out

@@ -70,8 +70,8 @@ def validate(turns: DataFrame) -> DataFrame:
 
 def screen_pii(turns: DataFrame, key: str = "session_id") -> DataFrame:
     """Per session: hits of each kind of identifier and in all, the most first."""
-    counts = text.pii_counts(F.col("content"))
-    rows = in_order(turns).select(key, "student", "turn", *(c.alias(k) for k, c in counts.items()))
+    counts = text.pii_counts(F.col("content"), F.col("low"))
+    rows = in_order(turns).withColumn("low", text.folded(F.col("content"))).select(key, "student", "turn", *(c.alias(k) for k, c in counts.items()))
     found = rows.groupBy(key).agg(F.min_by("student", "turn").alias("student"), *(F.sum(k).alias(k) for k in counts))
     return found.select(key, "student", sum(map(F.col, counts), F.lit(0)).alias("total_hits"), *counts).orderBy(F.desc("total_hits"), key)
 

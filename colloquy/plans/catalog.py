@@ -139,8 +139,8 @@ def q_unprompted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TURNS_SQL} SELECT session_id, turn, {', '.join(f'{count("content", f, "hpc")} AS {f}' for f in lexicon.HPC if f != 'enumeration')} FROM live")
 def q_marker_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = features.in_order(turns_view(spark, sf_dir))
-    return t.select("session_id", "turn", *(text.family(F.col("content"), "hpc", f).alias(f) for f in lexicon.HPC if f != "enumeration"))
+    t = features.in_order(turns_view(spark, sf_dir)).withColumn("low", text.folded(F.col("content")))
+    return t.select("session_id", "turn", *(text.family(F.col("content"), "hpc", f, F.col("low")).alias(f) for f in lexicon.HPC if f != "enumeration"))
 
 
 @query()
