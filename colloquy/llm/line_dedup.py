@@ -14,7 +14,8 @@ The lines are read once and stored with their keys. Keys that several different
 counted first; only lines on these go on. Where many lines share a key, it is refined by the
 keys of a second partition, with other lengths, of which near lines share one as well. The rest
 meet in a semi join, which ends at the first earlier line that is near and never gives pairs.
-Short pieces of both lines rule most pairs out; what the others have between their common ends is
+The parities of their counts of characters and neighbours, and short pieces of both lines, rule
+most pairs out; what the others have between their common ends is
 verified by a banded bit-parallel edit distance in 64-bit arithmetic.
 
 Lines of fewer than `least` characters take no part in the edit join, as two edits are too large
@@ -41,7 +42,7 @@ from .shared import sized, stored, table
 EDITS = 2
 LEAST = 20
 BIN = 8  # lengths that share segments
-CROWD = 64  # lines on a key from which it is refined
+CROWD = 2048  # lines on a key from which it is refined
 #: Shares of a line that the outer segments have together, in twentieths, for the two partitions of three segments.
 _OUTER = (14, 18)
 
@@ -153,6 +154,19 @@ def _banded(chars_a: Column, chars_b: Column, edits: int) -> Column:
     return F.when((la == 0) | (lb == 0), la + lb).otherwise(F.aggregate(F.sequence(F.lit(1), lb), start, step, lambda s: s["d"]))
 
 
+def parities(line: Column) -> tuple[Column, Column]:
+    """Bits for 64 classes of characters, and of pairs of neighbours: whether their count is odd.
+
+    An edit changes two characters' counts at most, and four pairs'.
+    """
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63))
+    xor = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda x, b: x.bitwiseXOR(b))
+    codes = F.array(F.transform(F.split(line, ""), F.ascii))
+    singles = F.transform(codes, lambda c: xor(F.transform(c, bit)))
+    pairs = F.transform(codes, lambda c: xor(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda a, b: bit(a * 37 + b * 11))))
+    return F.element_at(singles, 1), F.when(F.length(line) > 1, F.element_at(pairs, 1)).otherwise(F.lit(0).cast("long"))
+
+
 def trimmed(a: Column, b: Column) -> Column:
     """array<struct<a, b>> of one element: both strings without their common beginning and end, by
     halving steps. Their distance is the same."""
@@ -202,16 +216,21 @@ def near_lines(lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     met = stored(firsts.join(sized(ids, n := ids.count()), "h", "left_semi").select("h", "h2", F.col("place").alias("first")), "line-firsts")
     # the text of each different line on a shared key: at its first place alone
     firsts_only = lines.join(sized(met, n), ["h", "h2"]).filter(F.col("place") == F.col("first")).select("h", "h2", "first", "line", "n")
-    texts = stored(stored(firsts_only, "line-copies").groupBy("h", "h2").agg(F.min("first").alias("first"), F.min("line").alias("line"), F.min("n").alias("n")), "line-texts")
+    once = stored(firsts_only, "line-copies").groupBy("h", "h2").agg(F.min("first").alias("first"), F.min("line").alias("line"), F.min("n").alias("n"))
+    odd, odd_pairs = parities(F.col("line"))
+    texts = stored(once.select("*", odd.alias("odd"), odd_pairs.alias("odd_pairs")), "line-texts")
     sizes = kept.groupBy("key").agg(F.count("*").alias("size"))
     chars = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     rows = kept.join(sizes, "key").join(sized(texts, n + chars // 50), "h")
     finer = F.transform(F.array_distinct(keys(F.col("line"), F.col("n"), edits, _OUTER[1])), lambda k: F.xxhash64("key", k))
     rows = stored(rows.withColumn("key", F.explode(F.when(F.col("size") > CROWD, finer).otherwise(F.array("key")))).drop("size"), "line-cells")
     one, two = rows.alias("x"), rows.alias("y")
+    differ = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     near = (
         (F.col("x.key") == F.col("y.key"))
         & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
+        & (differ("odd") <= 2 * edits)
+        & (differ("odd_pairs") <= 4 * edits)
         & (F.col("y.first") < F.col("x.first"))
         & within(F.col("y.line"), F.col("x.line"), edits)
     )

@@ -236,6 +236,11 @@ def test_banded_distance(spark, edits):
     df = spark.createDataFrame(pairs, "a string, b string, d int")
     for window in (2, 8, 32):
         assert df.filter(line_dedup.within(F.col("a"), F.col("b"), edits, window) != (F.col("d") <= edits)).count() == 0
+    differ = lambda k: F.bit_count(line_dedup.parities(F.col("a"))[k].bitwiseXOR(line_dedup.parities(F.col("b"))[k]))
+    odd = (differ(0) <= 2 * edits) & (differ(1) <= 4 * edits)
+    assert df.filter(~odd & (F.col("d") <= edits)).count() == 0
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst🙂") for _ in range(60))
+    assert spark.createDataFrame([(word(), word()) for _ in range(50)], "a string, b string").filter(odd).count() < 10
     may = line_dedup.may_be_near(F.col("a"), F.col("b"), edits, 8)
     assert df.filter(~may & (F.col("d") <= edits)).count() == 0 and df.filter(~may).count() > 0
 
