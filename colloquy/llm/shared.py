@@ -92,20 +92,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _STORED: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
 
-    The table must stay until the results that read it are written; `forget` then removes it.
+    The exchanges of the write go with it, as nothing reads them again. The table must stay until
+    the results that read it are written; `forget` then removes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_since(mark: int = 0) -> list[str]:
+    """The paths of tables that this process stored and hasn't removed, from a number of them on."""
+    return _STORED[mark:]
+
+
+def forget(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Removes stored tables, all of this process without `paths`; their number. For after the results are written."""
+    paths = list(_STORED) if paths is None else paths
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _STORED:
+            _STORED.remove(path)
+    return len(paths)
+
+
 _MADE: dict[str, tuple[object, object]] = {}
 
 
@@ -127,15 +150,6 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def forget(spark: SparkSession) -> int:
-    """Removes all tables that this process stored; their number. For after the results are written."""
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _STORED]
-    for path in paths:
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _STORED.clear()
-    return len(paths)
-
-
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))

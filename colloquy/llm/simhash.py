@@ -262,10 +262,10 @@ def prefix_keys(rows: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs a, b those whose sets have a Jaccard similarity of 0.8 at least."""
+    """Of stored pairs a, b those whose sets have a Jaccard similarity of 0.8 at least."""
     one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    return one.join(sized(pairs), "a").join(two, "b").filter(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def _fit(x: str | Column, y: str | Column) -> Column:
@@ -275,7 +275,7 @@ def _fit(x: str | Column, y: str | Column) -> Column:
 
 
 def similar_links(rows: DataFrame) -> DataFrame:
-    """Edges a, b that connect all ids whose sets are similar. rows: id, set; rows of one id have one set.
+    """Edges a, b that connect all ids whose sets are similar. rows: row (unique), id, set; rows of one id have one set.
 
     Each member of a block first meets the block's least one. Pairs that these links leave in
     different components are then met all, so that no link is lost and a dense group doesn't
@@ -283,10 +283,12 @@ def similar_links(rows: DataFrame) -> DataFrame:
     """
     keyed = prefix_keys(rows, common_shingles(rows))
     crowds = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.max("id").alias("b")).filter("m.id <> b").select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an"))
-    shared = stored(keyed.join(crowds, "key").select("key", "id", "n", "a", "an").distinct(), "shingle-keys")
-    met = shared.select("id").distinct()
-    sets = stored(rows.join(met, "id", "left_semi").select("id", "set").dropDuplicates(["id"]), "shingle-sets")
-    stars = stored(similar(shared.filter((F.col("a") != F.col("id")) & _fit("n", "an")).select("a", F.col("id").alias("b")).distinct(), sets), "star-links")
+    crowds = stored(crowds, "shingle-crowds")
+    shared = stored(keyed.join(sized(crowds), "key").select("key", "id", "n", "a", "an").distinct(), "shingle-keys")
+    met = stored(shared.select("id").distinct().join(rows.groupBy("id").agg(F.min("row").alias("row")), "id").select("row"), "shingle-met")
+    sets = stored(rows.join(sized(met), "row", "left_semi").select("id", "set"), "shingle-sets")
+    pairs = stored(shared.filter((F.col("a") != F.col("id")) & _fit("n", "an")).select("a", F.col("id").alias("b")).distinct(), "star-pairs")
+    stars = stored(similar(pairs, sets), "star-links")
     roots = components(stars)
     placed = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "a", F.coalesce("root", "id").alias("root"))
     split = placed.filter("id <> a").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y")
@@ -335,7 +337,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, i
     every link is verified.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), shingles(F.col(text_col), shingle, seed).alias("set"))
-    rows = stored(found.withColumn("id", F.xxhash64("set")), "shingles")
+    rows = stored(found.withColumn("id", F.xxhash64("set")).withColumn("row", F.monotonically_increasing_id()), "shingles")
     classes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
     found = component_of(classes, components(similar_links(rows)))
     gone = rows.select("id", "doc_id", "text_hash").join(sized(found), "id")
