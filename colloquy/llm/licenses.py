@@ -26,6 +26,7 @@ EQUIVALENT = [
     ("labelled", "labeled"), ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("optimisation", "optimization"), ("organisation", "organization"),
     ("organisations", "organizations"), ("practise", "practice"), ("programme", "program"), ("recognised", "recognized"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"),
 ]
+MOST = 20_000  # known texts: each is an entry of a table that every task has
 _COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|all rights reserved)[^\n]*"
 _COPYRIGHT_SIGN = r"(^|\n)[^\p{L}\p{N}\n]*(\(c\)|©)[^\n]*"
 _GAPS = r"[^\p{L}\p{N}]+"
@@ -94,6 +95,26 @@ KNOWN = [
 ]
 
 
+#: Digests of the canonical forms of long texts as their stewards publish them, by license.
+LONG = [
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Artistic-1.0-Perl", "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86"),
+    ("GFDL-1.3", "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
+    ("LGPL-2.0", "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c"),
+    ("LGPL-2.1", "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+#: Words of which each of the long texts has one.
+LONG_WORDS = ["apache", "artistic", "cc0", "gnu", "lesser", "mozilla"]
+
+
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
     for pattern in (_COPYRIGHT, _COPYRIGHT_SIGN):
@@ -121,13 +142,21 @@ def digests(known: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return list({d: name for d, name in sorted(found, reverse=True)}.items())
 
 
+def known_digests(known: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    """Of a caller's texts, or of those known here and the long ones; more than MOST are an error."""
+    found = digests(KNOWN) + [(d, name) for name, d in LONG] if known is None else digests(known)
+    if len(found) > MOST:
+        raise ValueError(f"{len(found)} texts; at most {MOST} go into a lookup table")
+    return found
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, canonical_sha256, license_id (else null), notices.
 
     notices: the licenses that single lines stand for, sorted, with commas between.
     """
     spark = docs.sparkSession
-    found = digests(KNOWN if known is None else known)
+    found = known_digests(known)
     listed = spark.createDataFrame(found, "digest string, license string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     lines = F.filter(F.split(F.coalesce("__text", F.lit("")), "\n", -1), lambda x: F.length(x) > 0)
@@ -148,6 +177,8 @@ def _marked(known: list[tuple[str, str]] | None) -> str:
     for found in words:
         if firsts.isdisjoint(found):
             firsts.add(max(found, key=len))
+    if known is None:
+        firsts.update(LONG_WORDS)
     other = {a for a, b in EQUIVALENT if b in firsts}
     spelt = sorted(w.replace("i", "[iİ]").replace("k", "[k\u212a]") for w in firsts | other)  # letters with these lower cases
     return "(?i)" + "|".join(spelt) if firsts else "$^"
@@ -168,7 +199,7 @@ def _sql_canonical(x: str) -> str:
 
 
 OP4_SQL = f"""
-WITH k(digest, license) AS (VALUES {", ".join(f"('{d}', '{n}')" for d, n in digests(KNOWN))}
+WITH k(digest, license) AS (VALUES {", ".join(f"('{d}', '{n}')" for d, n in known_digests())}
 ), d AS (SELECT doc_id, sha256({_sql_canonical("text")}) AS digest FROM documents
 ), l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
 ), m AS (SELECT DISTINCT doc_id, license FROM l JOIN k ON sha256({_sql_canonical("line")}) = k.digest

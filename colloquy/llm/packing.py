@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 
 from .shared import Kept, made_once, stored, table
 
-#: Parts in which pieces of one length are ranked, so that a common length isn't one task's.
-PARTS = 64
+#: Pieces of one length that are ranked together, about; a common length has as many parts as it takes.
+TOGETHER = 100_000
 
 
 class WordIds:
@@ -196,11 +196,12 @@ def _ranges(entries: list[tuple[int, dict[int, int]]]) -> list[np.ndarray]:
 def pack(found: DataFrame, length: int = 4096) -> DataFrame:
     """The pieces with sequence_id and offset. `found` must give the same rows each time it is read."""
     spark = found.sparkSession
-    found = found.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)))
-    by_part = found.groupBy("length", "__part").agg(F.count("*").alias("n"))
     counts = np.zeros(length + 1, np.int64)
-    for row in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for row in found.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[row.length] = row.n  # at most `length` rows
+    parts = F.get(F.lit((-(-counts // TOGETHER)).tolist()).cast("array<long>"), F.col("length").cast("int"))
+    found = found.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts))
+    by_part = found.groupBy("length", "__part").agg(F.count("*").alias("n"))
     shipped = spark.sparkContext.broadcast(_ranges(plan(counts)))
     before = by_part.withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n")).drop("n")
     within = Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "ids_crc32")

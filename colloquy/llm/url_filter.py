@@ -8,7 +8,8 @@ default verdict.
 
 The filter is one row of eight 64-bit words for each block, built by a distributed bit_or. It
 is broadcast if its size, known from the count of the list, stays under a bound; beyond it the
-candidates are joined to the blocks by an ordinary exchange.
+candidates are joined to the blocks by an ordinary exchange. The verdicts of the few urls that
+match are stored and, if few, broadcast to the pages.
 
 Defined results: a null url or one without `://` has an empty host and path and matches nothing;
 repeated rows are judged each; an empty list lets everything default; a listed entry with a null
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import sized, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8  # of 64 bits, in a block
@@ -76,16 +77,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     filter_ = bloom_blocks(listed.select("key"), blocks)
 
     host, path = split_url(F.col("__url"))
-    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url")).select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("__row"))
+    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url")).select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.lit(sizes.lengths).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat_ws("\x00", s, p)))))
-    # whole rows are exchanged by no join below: the list is joined by key, the best by row
-    urls = urls.withColumn("keys", F.when(F.col("host") != "", keys))
-    hits = may_be_listed(urls.select("host", "path", F.explode("keys").alias("key")).distinct(), filter_, blocks)
-    best = hits.join(listed, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), -F.col("n"), "rule", "verdict")).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # the filter is tried where the candidates are made; what passes is exchanged once for each url
+    made = urls.filter(F.col("host") != "").select("host", "path", F.explode(keys).alias("key"))
+    hits = may_be_listed(made, filter_, blocks).distinct()
+    best = hits.join(sized(listed, sizes.n), "key").groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), -F.col("n"), "rule", "verdict")).alias("best"))
+    best = stored(best.select(_url_key().alias("key"), F.col("host").alias("h"), F.col("path").alias("p"), "best"), "url-verdicts")
+    # urls without a host, which nothing matches, are spread by their rows
+    rows = urls.withColumn("k", F.when(F.col("host") != "", _url_key()).otherwise(F.col("row")))
+    found = rows.join(sized(best), (F.col("k") == F.col("key")) & (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _url_key() -> Column:
+    return F.xxhash64("host", "path")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -102,6 +103,16 @@ def test_url_rules(spark):
     assert all((r.host, r.path, r.rule, r.verdict) == want[r.page_id] for r in got)
     assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    long = "http://" + "a." * 3000 + "net/" + "p/" * 50_000
+    r = url_filter.filter_urls(spark.createDataFrame([(1, long)], "page_id long, url string"), rules).first()
+    assert (r.rule, r.verdict, len(r.path)) == ("net/", "block", 100_001)
+
+
+def test_url_candidates_are_filtered_before_any_exchange(spark, capsys):
+    keys = spark.range(100).select(F.concat(F.lit("k"), "id").alias("key"))
+    url_filter.may_be_listed(keys, url_filter.bloom_blocks(keys, 4), 4).distinct().explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Exchange hashpartitioning(key") < plan.index("BroadcastHashJoin")  # printed from the top down
 
 
 def test_bloom_filter_has_no_false_negative_and_few_false_positives(spark, monkeypatch):
@@ -144,6 +155,24 @@ def test_licences_of_any_length_on_one_line_equal_the_sql(spark, tmp_path):
     assert {r.doc_id: r.notices for r in licenses.scan(rows, own).collect()} == {1: "Own", 2: "Digits", 3: ""}
 
 
+def test_long_texts_padded_lines_repeats_and_two_licences_of_one_text(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    there = {n: (folder / f).read_text(encoding="utf-8") for n, f in files.items() if (folder / f).exists()}
+    texts = [*there.values(), *there.values(), "Licensed under the MIT License" + " ." * 300]
+    texts += [" ".join(x for x in t.split("\n") if "opyright (" not in x) for t in there.values() if "GNU LESSER" not in t]
+    got = licenses.scan(spark.createDataFrame([(7, t) for t in texts], DOCS)).collect()
+    assert sorted(r.license_id for r in got if r.license_id and not r.notices) == sorted([*there] * 2)
+    assert len(got) == len(texts) and [r.notices for r in got if r.license_id == "MIT"] == ["MIT"]
+    if "MPL-2.0" in there:
+        flat = spark.createDataFrame([(1, "Some text\n" + there["MPL-2.0"].replace("\n", " "))], DOCS)
+        assert licenses.scan(flat).first().notices == "MPL-2.0"
+    own = [("B", "One text."), ("A", "one  TEXT")]
+    assert licenses.scan(spark.createDataFrame([(1, "one text")], DOCS), own).first().license_id == "A"
+    with pytest.raises(ValueError, match="at most"):
+        licenses.known_digests([("X", f"text {k}") for k in range(licenses.MOST + 1)])
+
+
 # --- toxicity and language ----------------------------------------------------------------------
 
 
