@@ -199,7 +199,7 @@ def _in_step(scores: list[np.ndarray], group: list[int], penalty: float, out: li
 class Labeller:
     """Labels the words of texts; keeps the scores of words in a table, up to a number of words."""
 
-    def __init__(self, model: Model, most: int = 400_000) -> None:
+    def __init__(self, model: Model, most: int = 150_000) -> None:
         self.model, self.most = model, most
         self._clear()
 
@@ -285,7 +285,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     return fit(got.word.tolist(), got[languages].to_numpy(float).reshape(len(got), len(languages)), languages)
 
 
-def language(spark: SparkSession, text: Column, model: Model, batch: int = 2048, own: bool = False) -> Column:
+def language(spark: SparkSession, text: Column, model: Model, batch: int = 256, own: bool = False) -> Column:
     """lang_pred and score of a text; with `own` only words that count as a language's own give it letters."""
     shipped = spark.sparkContext.broadcast(model)
 

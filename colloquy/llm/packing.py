@@ -41,7 +41,7 @@ class WordIds:
     #: Fixed value: the pattern of the tokenizer file's pre-tokeniser.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, tokenizer_json: str, most: int = 700_000) -> None:
+    def __init__(self, tokenizer_json: str, most: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True

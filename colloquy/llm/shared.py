@@ -129,16 +129,17 @@ def forget(spark: SparkSession, paths: list[str] | None = None) -> int:
     return len(paths)
 
 
-_MADE: dict[str, tuple[object, object]] = {}
+_MADE: list[tuple] = []
 
 
 def made_once(value, make):
     """make(value), once in a worker while tasks use the same broadcast value. The value is kept
-    beside what was made of it, so that no other object can be taken for it."""
-    kept = _MADE.get(make.__qualname__)
-    if kept is None or kept[0] is not value:
-        _MADE[make.__qualname__] = kept = (value, make(value))
-    return kept[1]
+    beside what was made of it, so that no other object can be taken for it; only the last is kept,
+    as workers outlive the stages that they serve."""
+    if not (_MADE and _MADE[0][0] is value and _MADE[0][1] is make):
+        _MADE.clear()
+        _MADE.append((value, make, make(value)))
+    return _MADE[0][2]
 
 
 #: Rows, of about a hundred bytes each at most, up to which a table is broadcast.

@@ -126,7 +126,7 @@ class Model:
     slope: float = 0.0
     kept: dict[str, float] = field(default_factory=dict)
 
-    def normalised(self, texts: list[str | None], most: int = 400_000) -> list[float]:
+    def normalised(self, texts: list[str | None], most: int = 150_000) -> list[float]:
         """The evidence of each text over its length. Keeps that of words, up to a number of them."""
         every = [words(t) for t in texts]
         new = list({w for ws in every for w in ws if w not in self.kept})
@@ -195,7 +195,7 @@ def normalised(spark: SparkSession, text: Column, model: Model) -> Column:
     return of(text)
 
 
-def toxicity(spark: SparkSession, text: Column, model: Model, batch: int = 2048) -> Column:
+def toxicity(spark: SparkSession, text: Column, model: Model, batch: int = 256) -> Column:
     """The score of a text, 0 to 1."""
     shipped = spark.sparkContext.broadcast(model)
 
