@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
 import json
+import math
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import DIMENSION_FEATURES, DIMENSIONS, FEATURES, ITEMS
@@ -71,11 +72,54 @@ def _fitted(cutpoints: Cutpoints, cuts: dict[str, list[float]]) -> Cutpoints:
     return out
 
 
+def value_counts(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """name, v, n: how often each column has each value; nulls don't count."""
+    cells = F.array(*(F.struct(F.lit(name).alias("name"), c.cast("double").alias("v")) for name, c in cols.items()))
+    return df.select(F.explode(cells).alias("u")).select("u.*").filter("v IS NOT NULL").groupBy("name", "v").agg(F.count("*").alias("n"))
+
+
+def quantiles(counts: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float]]:
+    """Exact quantiles by linear interpolation between ranks; None for a name without values.
+
+    The values are dealt to sorted ranges, whose totals give each range's first rank; only the
+    values at the wanted ranks, two for each quantile, come back. So no task holds a column.
+    """
+    parts = counts.sparkSession.sparkContext.defaultParallelism
+    ranged = counts.repartitionByRange(parts, "name", "v").select("name", "v", "n", F.spark_partition_id().alias("part"))
+    ranged = ranged.cache()
+    try:
+        sizes = ranged.groupBy("name", "part").agg(F.sum("n").alias("n")).collect()  # a row for each name and range
+        total: dict[str, int] = {}
+        first = []
+        for r in sorted(sizes, key=lambda r: (r.name, r.part)):
+            first.append((r.name, r.part, total.get(r.name, 0)))
+            total[r.name] = total.get(r.name, 0) + r.n
+        at = lambda name, p: p * (total[name] - 1)
+        ranks = sorted({(name, k) for name, ps in wanted.items() if name in total for p in ps for k in (math.floor(at(name, p)), math.ceil(at(name, p)))})
+        spark = counts.sparkSession
+        found = {}
+        if ranks:
+            within = F.sum("n").over(Window.partitionBy("name", "part").orderBy("v"))
+            placed = ranged.withColumn("end", within).join(F.broadcast(spark.createDataFrame(first, "name string, part int, first long")), ["name", "part"])
+            asked = F.broadcast(spark.createDataFrame(ranks, "name string, rank long"))
+            hit = (placed["name"] == asked["name"]) & (F.col("rank") < F.col("first") + F.col("end")) & (F.col("rank") >= F.col("first") + F.col("end") - F.col("n"))
+            found = {(r.name, r["rank"]): r.v for r in placed.join(asked, hit).select(placed["name"], "rank", "v").collect()}
+    finally:
+        ranged.unpersist()
+
+    def one(name: str, p: float) -> float:
+        x = at(name, p)
+        low, high = found[name, math.floor(x)], found[name, math.ceil(x)]
+        return low if low == high else low + (x - math.floor(x)) * (high - low)
+
+    return {name: [one(name, p) for p in ps] if name in total else None for name, ps in wanted.items()}
+
+
 def quantile_cutpoints(features: DataFrame, proportions=PROPORTIONS, cutpoints: Cutpoints | None = None) -> Cutpoints:
-    """Norm-referenced: exact quantiles of each transformed feature, from one aggregate."""
+    """Norm-referenced: exact quantiles of each transformed feature."""
     cutpoints = cutpoints or A_PRIORI
-    row = features.agg(*(F.percentile(transformed(cutpoints[i]), F.array(*map(F.lit, proportions))).alias(i) for i in ITEMS)).first()
-    return _fitted(cutpoints, {i: row[i] for i in ITEMS})
+    counts = value_counts(features, {i: transformed(cutpoints[i]) for i in ITEMS})
+    return _fitted(cutpoints, quantiles(counts, {i: list(proportions) for i in ITEMS}))
 
 
 def calibrate(features: DataFrame, human: DataFrame, key: str = "student", cutpoints: Cutpoints | None = None) -> tuple[Cutpoints, list[dict], int]:
@@ -88,16 +132,15 @@ def calibrate(features: DataFrame, human: DataFrame, key: str = "student", cutpo
         shares = both.agg(F.count("*").alias("n"), *(F.avg((F.col(f"__{i}") <= k).cast("double")).alias(f"{i}_{k}") for i in ITEMS for k in range(1, 5))).first()
         if not shares.n:
             raise ValueError("no case has both features and human scores")
-        wanted = {i: [shares[f"{i}_{k}"] for k in range(1, 5)] for i in ITEMS}
-        row = both.agg(
-            *(F.percentile(transformed(cutpoints[i]), F.array(*map(F.lit, wanted[i]))).alias(i) for i in ITEMS),
-            *(F.count_distinct(transformed(cutpoints[i])).alias(f"d_{i}") for i in ITEMS),
-        ).first()
+        counts = value_counts(both, {i: transformed(cutpoints[i]) for i in ITEMS}).cache()
+        distinct = {r.name: r.n for r in counts.groupBy("name").agg(F.count("*").alias("n")).collect()}
+        cuts = quantiles(counts, {i: [shares[f"{i}_{k}"] for k in range(1, 5)] for i in ITEMS})
+        counts.unpersist()
     finally:
         both.unpersist()
-    fitted = _fitted(cutpoints, {i: row[i] for i in ITEMS})
+    fitted = _fitted(cutpoints, cuts)
     report = [
-        {"item": i, "feature": fitted[i]["feature"], "distinct_values": row[f"d_{i}"], "low_resolution": row[f"d_{i}"] < 5, "prior_cuts": [round(c, 4) for c in cutpoints[i]["cuts"]], "fitted_cuts": [round(c, 4) for c in fitted[i]["cuts"]]}
+        {"item": i, "feature": fitted[i]["feature"], "distinct_values": distinct[i], "low_resolution": distinct[i] < 5, "prior_cuts": [round(c, 4) for c in cutpoints[i]["cuts"]], "fitted_cuts": [round(c, 4) for c in fitted[i]["cuts"]]}
         for i in ITEMS
     ]
     return fitted, report, shares.n
@@ -142,11 +185,15 @@ def worst_items(found: DataFrame, n: int = 3) -> DataFrame:
 
 
 def distribution_report(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    long = unpivoted(features, [], cols or FEATURES, "feature", "v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = long.groupBy("feature").agg(F.count("*").alias("n"), F.count_distinct("v").alias("distinct"), F.bround(F.avg((F.col("v") == 0).cast("double")), 3).alias("zero_share"), F.min("v").alias("lo"), q.alias("q"), F.max("v").alias("hi"))
+    """Per feature: n, distinct values, the share of zeros, extremes, quartiles, their distance."""
+    cols = cols or FEATURES
+    counts = value_counts(features, {c: F.col(c) for c in cols}).cache()
+    q = quantiles(counts, {c: [0.25, 0.5, 0.75] for c in cols})
+    found = counts.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), (F.sum(F.when(F.col("v") == 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("zero"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    quarters = counts.sparkSession.createDataFrame([(c, *map(float, v)) for c, v in q.items() if v], "feature string, q1 double, q2 double, q3 double")
     r = lambda c: F.bround(c, 4)
-    return found.select("feature", "n", "distinct", "zero_share", r(F.col("lo")).alias("min"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q75"), r(F.col("hi")).alias("max"), r(F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    out = found.join(F.broadcast(quarters), F.col("name") == F.col("feature"))
+    return out.select("feature", "n", "distinct", F.bround("zero", 3).alias("zero_share"), r("lo").alias("min"), r("q1").alias("q25"), r("q2").alias("median"), r("q3").alias("q75"), r("hi").alias("max"), r(F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def flat_features(report: DataFrame) -> DataFrame:

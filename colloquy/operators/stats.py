@@ -91,6 +91,12 @@ def correlations(scores: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
 
 
+def criterion(scores: DataFrame, col: str) -> DataFrame:
+    """n, r: the mean of the dimensions with a column; p is `pearson_p` of these."""
+    total = sum(map(F.col, DIMENSIONS), F.lit(0)) / 5
+    return scores.agg(F.count("*").alias("n"), F.corr(total, F.col(col)).alias("r"))
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
@@ -213,7 +219,7 @@ def studentized_range_sf(q: float, k: int, df: float) -> float:
 
 
 def tukey(scores: DataFrame, group: str = "discipline", cols: list[str] | None = None) -> list[dict]:
-    """All pairs of groups in each dimension: mean difference and adjusted p."""
+    """All pairs of groups in each dimension: mean difference, studentised range and adjusted p."""
     long = unpivoted(scores, [group], cols or DIMENSIONS, "dimension", "x")
     rows = long.groupBy("dimension", group).agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).collect()  # a row a dimension and group
     out = []
@@ -224,7 +230,7 @@ def tukey(scores: DataFrame, group: str = "discipline", cols: list[str] | None =
         for i, a in enumerate(own):
             for b in own[i + 1 :]:
                 q = abs(a.m - b.m) / math.sqrt(ms / 2 * (1 / a.n + 1 / b.n)) if ms else math.inf
-                out.append({"dimension": d, "a": a[group], "b": b[group], "difference": b.m - a.m, "p": studentized_range_sf(q, len(own), df)})
+                out.append({"dimension": d, "a": a[group], "b": b[group], "difference": b.m - a.m, "q": q, "p": studentized_range_sf(q, len(own), df)})
     return out
 
 

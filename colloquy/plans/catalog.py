@@ -7,6 +7,8 @@ the last digits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,21 +66,27 @@ def q_session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FAULTY = """faulty AS (
-  SELECT session_id, CASE WHEN CAST(session_id AS BIGINT) % 7 = 1 AND turn = 1 THEN 'x' ELSE student END AS student, CASE WHEN CAST(session_id AS BIGINT) % 11 = 2 THEN 'assistant' ELSE role END AS role,
-         CASE WHEN CAST(session_id AS BIGINT) % 5 = 3 AND turn = 1 THEN 0 ELSE turn END AS turn, content FROM turns)"""
+  SELECT session_id, CASE WHEN CAST(session_id AS BIGINT) % 7 = 1 AND turn = 1 THEN 'x' ELSE student END AS student,
+         CASE WHEN CAST(session_id AS BIGINT) % 11 = 2 THEN 'assistant' WHEN CAST(session_id AS BIGINT) % 13 = 4 AND turn = 1 THEN 'narrator' ELSE role END AS role,
+         CASE WHEN CAST(session_id AS BIGINT) % 5 = 3 AND turn = 3 THEN 2 ELSE turn END AS turn,
+         CASE WHEN CAST(session_id AS BIGINT) % 9 = 5 AND turn = 1 THEN NULL ELSE content END AS content FROM turns)"""
 
 
 @query(f"""WITH {TURNS_SQL}, {_FAULTY}, g AS (
- SELECT session_id, count(*) <> count(DISTINCT turn) AS a, count(DISTINCT student) > 1 AS b, count(*) FILTER (WHERE role = 'user') = 0 AS d FROM faulty GROUP BY 1)
-SELECT session_id, 'duplicate turn indices' AS problem FROM g WHERE a UNION ALL SELECT session_id, 'more than one student' FROM g WHERE b UNION ALL SELECT session_id, 'no student turns' FROM g WHERE d""")
+ SELECT session_id, count(*) <> count(DISTINCT turn) AS a, count(DISTINCT student) > 1 AS b, arg_min(role, turn) NOT IN ('user', 'system') AS c, count(*) FILTER (WHERE role = 'user') = 0 AS d FROM faulty GROUP BY 1)
+SELECT session_id, 'duplicate turn indices' AS problem FROM g WHERE a UNION ALL SELECT session_id, 'more than one student' FROM g WHERE b
+UNION ALL SELECT session_id, 'does not open with a student turn' FROM g WHERE c UNION ALL SELECT session_id, 'no student turns' FROM g WHERE d
+UNION ALL SELECT NULL, 'unexpected role values: narrator' FROM faulty HAVING count(*) FILTER (WHERE role = 'narrator') > 0
+UNION ALL SELECT NULL, count(*) || ' turns with null content' FROM faulty WHERE content IS NULL HAVING count(*) > 0""")
 def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns_view(spark, sf_dir)
     k = F.col("session_id").cast("long")
     faulty = t.select(
-        "session_id", F.when((k % 7 == 1) & (F.col("turn") == 1), "x").otherwise(F.col("student")).alias("student"), F.when(k % 11 == 2, "assistant").otherwise(F.col("role")).alias("role"),
-        F.when((k % 5 == 3) & (F.col("turn") == 1), 0).otherwise(F.col("turn")).alias("turn"), "content", F.lit("m").alias("model"),
+        "session_id", F.when((k % 7 == 1) & (F.col("turn") == 1), "x").otherwise(F.col("student")).alias("student"),
+        F.when(k % 11 == 2, "assistant").when((k % 13 == 4) & (F.col("turn") == 1), "narrator").otherwise(F.col("role")).alias("role"),
+        F.when((k % 5 == 3) & (F.col("turn") == 3), 2).otherwise(F.col("turn")).alias("turn"), F.when((k % 9 != 5) | (F.col("turn") != 1), F.col("content")).alias("content"), F.lit("m").alias("model"),
     )
-    return turns.validate(faulty).filter("problem <> 'does not open with a student turn'")
+    return turns.validate(faulty)
 
 
 @query(f"""SELECT CAST(doc_id AS VARCHAR) AS session_id, len(regexp_extract_all(text, '{lexicon.PII["email"]}')) AS email, len(regexp_extract_all(text, '{lexicon.PII["url"]}')) AS url FROM documents""")
@@ -137,10 +145,17 @@ def q_unprompted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.windows(features.turn_features(turns_view(spark, sf_dir))).filter("role = 'user' AND c_ethics > 0").select("session_id", "turn", "primed")
 
 
-@query(f"WITH {TURNS_SQL} SELECT session_id, turn, {', '.join(f'{count("content", f, "hpc")} AS {f}' for f in lexicon.HPC if f != 'enumeration')} FROM live")
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {TURNS_SQL} SELECT '{p}' AS profile, session_id, turn, {', '.join(f'{count("content", f, p)} AS {f}' for f in lexicon.HPC if f != 'enumeration')} FROM live)" for p in lexicon.PROFILES))
 def q_marker_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families of both profiles but one, whose look-arounds SQL lacks: `q_enumeration` has it."""
     t = features.in_order(turns_view(spark, sf_dir)).withColumn("low", text.folded(F.col("content")))
-    return t.select("session_id", "turn", *(text.family(F.col("content"), "hpc", f, F.col("low")).alias(f) for f in lexicon.HPC if f != "enumeration"))
+    of = lambda p: t.select(F.lit(p).alias("profile"), "session_id", "turn", *(text.family(F.col("content"), p, f, F.col("low")).alias(f) for f in lexicon.HPC if f != "enumeration"))
+    return of("general").union(of("hpc"))
+
+
+@query()
+def q_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.in_order(turns_view(spark, sf_dir)).select("session_id", "turn", text.family(F.col("content"), "general", "enumeration").alias("enumeration"))
 
 
 @query()
@@ -233,9 +248,17 @@ def q_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.distribution_report(feature_view(spark, sf_dir))
 
 
-@query(f"WITH {_DIST_SQL} SELECT feature, \"distinct\", zero_share, list_contains({listed(scoring.SUSPECT)}, feature) AS lexicon_suspect FROM dist WHERE zero_share >= 0.90 OR \"distinct\" < 3")
+_SPARSE = {f: k for k, f in enumerate(FEATURES) if k % 5 == 1}  # zero but for a student in twenty
+_CONSTANT = FEATURES[7]
+_FLAT_SQL = _DIST_SQL.replace("feats AS (", "whole AS (", 1).replace(", dist AS (", f""", feats AS (SELECT student, discipline, {", ".join(f"CASE WHEN CAST(student AS BIGINT) % 20 = 0 THEN {f} ELSE 0.0 END AS {f}" if f in _SPARSE else f"CAST(1.5 AS DOUBLE) AS {f}" if f == _CONSTANT else f for f in FEATURES)} FROM whole), dist AS (""", 1)
+
+
+@query(f"WITH {_FLAT_SQL} SELECT feature, \"distinct\", zero_share, list_contains({listed(scoring.SUSPECT)}, feature) AS lexicon_suspect FROM dist WHERE zero_share >= 0.90 OR \"distinct\" < 3")
 def q_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.flat_features(scoring.distribution_report(feature_view(spark, sf_dir)))
+    whole = feature_view(spark, sf_dir)
+    now_and_then = F.col("student").cast("long") % 20 == 0
+    frame = whole.select("student", "discipline", *(F.when(now_and_then, F.col(f)).otherwise(0.0).alias(f) if f in _SPARSE else F.lit(1.5).alias(f) if f == _CONSTANT else F.col(f) for f in FEATURES))
+    return scoring.flat_features(scoring.distribution_report(frame))
 
 
 @query(f"""WITH {_SCORED_SQL}, long AS ({" UNION ALL ".join(f"SELECT '{i}' AS item, {i} AS score FROM scored" for i in ITEMS)}), c AS (SELECT item, score, count(*) AS n FROM long GROUP BY 1, 2),
@@ -249,13 +272,20 @@ def _kappa_sql(a: str, b: str) -> str:
     return f"1 - avg(({a} - {b}) * ({a} - {b})) / (var_pop({a}) + var_pop({b}) + (avg({a}) - avg({b})) * (avg({a}) - avg({b})))"
 
 
-@query(f"""WITH {_SCORED_SQL}, long AS ({" UNION ALL ".join(f"SELECT '{i}' AS item, CAST(s.{i} AS DOUBLE) AS a, CAST(h.{i} AS DOUBLE) AS b FROM scored s JOIN items h USING (student)" for i in ITEMS)})
-SELECT item, count(*) AS n, round({_kappa_sql("a", "b")}, 6) AS kappa, round(avg(CAST(a = b AS DOUBLE)), 6) AS exact, round(avg(abs(a - b)), 6) AS mad FROM long GROUP BY item""")
+_AGREED_SQL = f"""{_SCORED_SQL}, pairs AS ({" UNION ALL ".join(f"SELECT '{i}' AS item, CAST(s.{i} AS DOUBLE) AS a, CAST(h.{i} AS DOUBLE) AS b FROM scored s JOIN items h USING (student)" for i in ITEMS)}),
+agreed AS (SELECT item, count(*) AS n, round_even({_kappa_sql("a", "b")}, 3) AS weighted_kappa, round_even(avg(CAST(a = b AS DOUBLE)), 3) AS exact_agreement, round_even(avg(abs(a - b)), 3) AS mean_abs_diff,
+ round_even(avg(a), 3) AS auto_mean, round_even(avg(b), 3) AS human_mean FROM pairs GROUP BY item)"""
+
+
+@query(f"WITH {_AGREED_SQL} SELECT *, weighted_kappa >= 0.80 AS meets_080 FROM agreed")
 def q_agreement_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    auto = scoring.unpivoted(scoring.score_items(feature_view(spark, sf_dir)), ["student"], ITEMS, "item", "a")
-    human = scoring.unpivoted(items_view(spark, sf_dir), ["student"], ITEMS, "item", "b")
-    a, b = F.col("a"), F.col("b")
-    return _round(auto.join(human, ["student", "item"]).groupBy("item").agg(F.count("*").alias("n"), scoring.kappa("a", "b").alias("kappa"), F.avg((a == b).cast("double")).alias("exact"), F.avg(F.abs(a - b)).alias("mad")))
+    return scoring.agreement(scoring.score_items(feature_view(spark, sf_dir)), items_view(spark, sf_dir))
+
+
+@query(f"WITH {_AGREED_SQL} SELECT item, weighted_kappa FROM agreed ORDER BY weighted_kappa, item LIMIT 3")
+def q_worst_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.agreement(scoring.score_items(feature_view(spark, sf_dir)), items_view(spark, sf_dir))
+    return scoring.worst_items(found).select("item", "weighted_kappa")
 
 
 @query(f"SELECT count(*) AS n, round({_kappa_sql('(quality + 1)', '(toxic + 1)')}, 6) AS kappa FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL")
@@ -287,34 +317,43 @@ def q_eta_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(stats.anova(stats.dimension_means(items_view(spark, sf_dir))))
 
 
-@query(f"""WITH {_DIM_SQL}, p AS (SELECT student, PromptEngineering AS v, 1 AS o FROM dims UNION ALL SELECT student, OutputValidation, 2 FROM dims),
+def _icc_sql(a: str, b: str) -> str:
+    return f"""SELECT * FROM (WITH p AS (SELECT student, {a} AS v, 1 AS o FROM dims UNION ALL SELECT student, {b}, 2 FROM dims),
 m AS (SELECT *, avg(v) OVER () AS g, avg(v) OVER (PARTITION BY student) AS r, avg(v) OVER (PARTITION BY o) AS c FROM p),
 s AS (SELECT count(*) / 2 AS n, sum((r - g) * (r - g)) AS sr, sum((c - g) * (c - g)) AS sc, sum((v - g) * (v - g)) AS st FROM m),
-q AS (SELECT n, sr / (n - 1) AS mr, sc AS mc, (st - sr - sc) / (n - 1) AS me FROM s) SELECT round((mr - me) / (mr + me + 2 * (mc - me) / n), 6) AS icc FROM q""")
+q AS (SELECT n, sr / (n - 1) AS mr, sc AS mc, (st - sr - sc) / (n - 1) AS me FROM s) SELECT '{a}' AS a, '{b}' AS b, round((mr - me) / (mr + me + 2 * (mc - me) / n), 6) AS icc FROM q)"""
+
+
+_PAIRS = [(a, b) for k, a in enumerate(DIMENSIONS) for b in DIMENSIONS[k + 1 :]]
+
+
+@query(f"WITH {_DIM_SQL} " + " UNION ALL ".join(_icc_sql(a, b) for a, b in _PAIRS))
 def q_icc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(stats.icc(stats.dimension_means(items_view(spark, sf_dir)), "PromptEngineering", "OutputValidation"))
+    means = stats.dimension_means(items_view(spark, sf_dir)).cache()
+    parts = [stats.icc(means, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "icc") for a, b in _PAIRS]
+    return _round(reduce(DataFrame.union, parts))
 
 
-_RATINGS_SQL = f"{ITEMS_SQL}, ratings AS ({' UNION ALL '.join(f"SELECT student, '{d}' AS dimension, {k} AS rater, {d}_i{k} AS score FROM items" for d in DIMENSIONS for k in (1, 2, 3))})"
+_RATINGS_SQL = f"{ITEMS_SQL}, ratings AS ({' UNION ALL '.join(f"SELECT student, '{d}' AS dimension, {k} AS rater, {d}_i{k} AS score FROM items" for d in DIMENSIONS for k in range(1, 6))})"
 
 
 def ratings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three items of a dimension as scores of three raters."""
+    """The five items of a dimension as scores of five raters."""
     it = items_view(spark, sf_dir)
-    cells = [F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("rater"), F.col(f"{d}_i{k}").alias("score")) for d in DIMENSIONS for k in (1, 2, 3)]
+    cells = [F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("rater"), F.col(f"{d}_i{k}").alias("score")) for d in DIMENSIONS for k in range(1, 6)]
     return it.select("student", F.explode(F.array(*cells)).alias("c")).select("student", "c.*")
 
 
-@query(f"""WITH {_RATINGS_SQL}, o AS (SELECT a.dimension, sum((a.score - b.score) * (a.score - b.score) / 2.0) AS d FROM ratings a JOIN ratings b ON a.student = b.student AND a.dimension = b.dimension AND a.rater <> b.rater GROUP BY 1),
+@query(f"""WITH {_RATINGS_SQL}, o AS (SELECT a.dimension, sum((a.score - b.score) * (a.score - b.score) / 4.0) AS d FROM ratings a JOIN ratings b ON a.student = b.student AND a.dimension = b.dimension AND a.rater <> b.rater GROUP BY 1),
 e AS (SELECT dimension, count(*) AS n, 2 * (count(*) * sum(score * score) - sum(score) * sum(score)) / (count(*) * (count(*) - 1.0)) AS x FROM ratings GROUP BY 1)
 SELECT dimension, round(1 - d / n / x, 6) AS alpha FROM o JOIN e USING (dimension)""")
 def q_krippendorff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(stats.krippendorff(ratings_view(spark, sf_dir)))
 
 
-@query(f"WITH {_RATINGS_SQL} SELECT dimension, student, max(score) FILTER (WHERE rater = 1) AS \"1\", max(score) FILTER (WHERE rater = 2) AS \"2\", max(score) FILTER (WHERE rater = 3) AS \"3\" FROM ratings GROUP BY 1, 2")
+@query(f"WITH {_RATINGS_SQL} SELECT dimension, student, {', '.join(f'max(score) FILTER (WHERE rater = {k}) AS "{k}"' for k in range(1, 6))} FROM ratings GROUP BY 1, 2")
 def q_wide_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.wide_ratings(ratings_view(spark, sf_dir), [1, 2, 3])
+    return stats.wide_ratings(ratings_view(spark, sf_dir), [1, 2, 3, 4, 5])
 
 
 @query("""WITH c AS (SELECT CAST(user_id % 3 AS VARCHAR) AS discipline, event_type AS code, count(*) AS n FROM events GROUP BY 1, 2)
@@ -334,14 +373,53 @@ def q_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(stats.correlations(stats.dimension_means(items_view(spark, sf_dir))))
 
 
-@query()
+@query(f"""WITH {_DIM_SQL}, g AS (SELECT user_id, avg(value) AS gpa FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT count(*) AS n, round(corr(({' + '.join(DIMENSIONS)}) / 5, gpa), 6) AS r FROM dims JOIN g ON student = CAST(user_id AS VARCHAR)""")
+def q_criterion_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the dimensions with a criterion outside of them, here a user's mean value."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("value").isNotNull())
+    outside = e.groupBy(F.col("user_id").cast("string").alias("student")).agg(F.avg("value").alias("gpa"))
+    return _round(stats.criterion(stats.dimension_means(items_view(spark, sf_dir)).join(outside, "student"), "gpa"))
+
+
+def _determinant_sql(name: str) -> str:
+    """By permutations; the entries are name.x_i_j with i <= j."""
+    terms = []
+    for p in permutations(range(5)):
+        sign = (-1) ** sum(p[i] > p[j] for i in range(5) for j in range(i + 1, 5))
+        terms.append(f"{'+' if sign > 0 else '-'} " + " * ".join(f"{name}.x_{min(i, j)}_{max(i, j)}" for i, j in enumerate(p)))
+    return " ".join(terms)
+
+
+def _cross_sql(group: str) -> str:
+    centre = f"(PARTITION BY {group})" if group else "()"
+    centred = ", ".join(f"{d} - avg({d}) OVER {centre} AS z{k}" for k, d in enumerate(DIMENSIONS))
+    return f"SELECT count(*) AS n, {', '.join(f'sum(z{i} * z{j}) AS x_{i}_{j}' for i in range(5) for j in range(i, 5))} FROM (SELECT {centred} FROM dims)"
+
+
+@query(f"""WITH {_DIM_SQL}, w AS ({_cross_sql("discipline")}), t AS ({_cross_sql("")}), l AS (SELECT t.n, ({_determinant_sql("w")}) / ({_determinant_sql("t")}) AS lam, (SELECT count(DISTINCT discipline) FROM dims) - 1 AS q FROM w, t),
+d AS (SELECT *, 5 * q AS df1, sqrt((25 * q * q - 4) / (25 + q * q - 5)) AS s FROM l), e AS (SELECT *, s * (n - 1 - (6 + q) / 2) - (5 * q - 2) / 2 AS df2, pow(lam, 1 / s) AS root FROM d)
+SELECT round(lam, 6) AS wilks, CAST(df1 AS BIGINT) AS df1, round(df2, 6) AS df2, round((1 - root) / root * df2 / df1, 5) AS f FROM e""")
 def q_manova(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([stats.manova(stats.dimension_means(items_view(spark, sf_dir)))])
+    """Lambda and Rao's F; its p, which SQL can't give, is tested against published values."""
+    m = stats.manova(stats.dimension_means(items_view(spark, sf_dir)))
+    return spark.createDataFrame([(round(m["wilks"], 6), m["df1"], round(m["df2"], 6), round(m["f"], 5))], "wilks double, df1 long, df2 double, f double")
 
 
-@query()
+@query(f"""WITH {_LONG_SQL}, c AS (SELECT dimension, discipline, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM long GROUP BY 1, 2),
+e AS (SELECT dimension, sum(n * v) / (sum(n) - count(*)) AS ms FROM c GROUP BY 1)
+SELECT a.dimension, a.discipline AS a, b.discipline AS b, round(b.m - a.m, 6) AS difference, round(abs(a.m - b.m) / sqrt(ms / 2 * (1 / a.n + 1 / b.n)), 6) AS q
+FROM c a JOIN c b ON a.dimension = b.dimension AND a.discipline < b.discipline JOIN e ON e.dimension = a.dimension""")
 def q_tukey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(stats.tukey(stats.dimension_means(items_view(spark, sf_dir))))
+    """Differences and studentised ranges; the p of these, which SQL can't give, is tested against tables."""
+    found = spark.createDataFrame(stats.tukey(stats.dimension_means(items_view(spark, sf_dir))), "dimension string, a string, b string, difference double, q double, p double")
+    return _round(found.drop("p"))
+
+
+@query(f"""WITH {ITEMS_SQL}, longs AS (SELECT student, item, score FROM items UNPIVOT (score FOR item IN ({", ".join(ITEMS)}))), k AS (SELECT *, list_position({listed(ITEMS)}, item) - 1 AS i FROM longs)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, CAST(a.score - 1 AS INTEGER) AS x, CAST(b.score - 1 AS INTEGER) AS y, count(*) AS n FROM k a JOIN k b ON a.student = b.student AND a.i > b.i GROUP BY ALL""")
+def q_pair_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return psychometrics.pair_counts(items_view(spark, sf_dir), ITEMS)
 
 
 @query()
@@ -360,32 +438,62 @@ def q_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(psychometrics.reliability(items_view(spark, sf_dir)))
 
 
-@query()
+def _cuts_sql(i: str, expr: str, source: str) -> str:
+    """One row: cuts c1 to c4 of an item at its human marginals, and the values and scores they come from."""
+    at = lambda k: f"p{k} * (n - 1)"
+    value = lambda k, up: f"list_extract(v, CAST(least(floor({at(k)}) + {up}, n - 1) AS INTEGER) + 1)"
+    cuts = ", ".join(f"{value(k, 0)} + ({at(k)} - floor({at(k)})) * ({value(k, 1)} - {value(k, 0)}) AS c{k}" for k in range(1, 5))
+    return f"SELECT xs, hs, {cuts} FROM (SELECT list_sort(list({expr})) AS v, list({expr} ORDER BY student) AS xs, list(items.{i} ORDER BY student) AS hs, count(*) AS n, {', '.join(f'avg(CAST(items.{i} <= {k} AS DOUBLE)) AS p{k}' for k in range(1, 5))} FROM {source} JOIN items USING (student))"
+
+
+def _shift_sql(i: str) -> str:
+    prior = scoring.A_PRIORI[i]["cuts"]
+    moves = ", ".join(f"abs(c{k} - ({c})) / {abs(c) if abs(c) > 1e-9 else 1.0}" for k, c in enumerate(prior, 1))
+    return f"SELECT '{i}' AS item, '{scoring.A_PRIORI[i]['feature']}' AS feature, {', '.join(f'round_even(c{k}, 4) AS d{k}' for k in range(1, 5))}, round_even(greatest({moves}), 3) AS max_relative_shift FROM ({_cuts_sql(i, _transformed_sql(i), 'feats')})"
+
+
+@query(f"WITH {_VIEW_SQL} " + " UNION ALL ".join(map(_shift_sql, ITEMS)))
 def q_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.derive(feature_view(spark, sf_dir), items_view(spark, sf_dir), corpus="events")
-    return spark.createDataFrame(scoring.compare_to_prior(found.cutpoints))
+    rows = [(r["item"], r["feature"], *r["derived"], r["max_relative_shift"]) for r in scoring.compare_to_prior(found.cutpoints)]
+    return spark.createDataFrame(rows, "item string, feature string, d1 double, d2 double, d3 double, d4 double, max_relative_shift double")
 
 
-@query()
+def _kappas_sql(source: str) -> str:
+    each = [
+        f"SELECT {_kappa_sql('a', 'b')} AS kappa FROM (SELECT CAST(1 + {' + '.join(f'CAST(x > c{k} AS INTEGER)' for k in range(1, 5))} AS DOUBLE) AS a, CAST(h AS DOUBLE) AS b FROM (SELECT unnest(xs) AS x, unnest(hs) AS h, c1, c2, c3, c4 FROM ({_cuts_sql(i, _transformed_sql(i), source)})))"
+        for i in ITEMS
+    ]
+    return f"SELECT round_even(kappa, 3) AS kappa FROM ({' UNION ALL '.join(each)}) WHERE kappa IS NOT NULL AND NOT isnan(kappa)"
+
+
+_BASELINE_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS model, round(median(kappa), 6) AS median_kappa, count(*) FILTER (WHERE kappa >= 0.80) AS at_least_080, count(*) FILTER (WHERE kappa < 0.40) AS below_040 FROM ({_kappas_sql(source)})"
+    for name, source in (("features", "feats"), ("length", "lengths"))
+)
+
+
+@query(f"WITH {_VIEW_SQL}, lengths AS (SELECT student, {', '.join(f'CAST(CAST(student AS BIGINT) % 9 AS DOUBLE) AS {f}' for f in FEATURES)} FROM feats) {_BASELINE_SQL}")
 def q_length_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = feature_view(spark, sf_dir).withColumn("n_student_turns", F.col("student").cast("long") % 9)
-    return spark.createDataFrame(scoring.length_baseline(frame, items_view(spark, sf_dir)))
+    found = scoring.length_baseline(frame, items_view(spark, sf_dir))
+    return _round(spark.createDataFrame(found, "model string, median_kappa double, at_least_080 long, below_040 long"))
 
 
 @query()
 def q_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The controls at smoke size; their sizes are parameters."""
-    null = controls.null_control(spark, 25)
-    coder = controls.contaminated_coder_control(spark, 20)
-    rows = [(null["condition"], null["observed"]), (coder["condition"], f"{coder['kappa_clean']:.3f} {coder['kappa_contaminated']:.3f}")]
-    return spark.createDataFrame(rows, "condition string, observed string")
+    """All four controls at their default sizes, and the power curve."""
+    table, curve = controls.run_all(spark)
+    rows = [(r["condition"], r["n"], "; ".join(f"{k} {v:.3f}" if isinstance(v, float) else f"{k} {v}" for k, v in r.items() if k not in ("condition", "n"))) for r in table]
+    rows += [("Power", r["N"], f"spread {r['spread']}; power {r['power']:.3f} {r['ci']}") for r in curve]
+    return spark.createDataFrame(rows, "condition string, n int, observed string")
 
 
 @query()
 def q_fit_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return controls.fit_sweep_summary(controls.fit_sweep(spark, (30, 60, 120), 3))
+    return controls.fit_sweep_summary(controls.fit_sweep(spark))
 
 
 @query()
 def q_simulated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.extract(simulate.logs(simulate.latents(spark, 5), 2), "student")
+    return features.extract(simulate.logs(simulate.latents(spark, 10)), "student")

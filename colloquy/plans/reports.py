@@ -73,9 +73,9 @@ def report(students: DataFrame, ratings: DataFrame, think_aloud: DataFrame | Non
     fit = psychometrics.cfa_of(students)
     lines.append(f"   N = {students.count()}   CFI = {fit['cfi']:.3f}   RMSEA = {fit['rmsea']:.3f}")
     section(6, "Criterion validity")
-    total = sum((F.col(d) for d in DIMENSIONS), F.lit(0)) / 5
-    row = students.agg(F.count("*").alias("n"), F.corr(total, F.col("gpa")).alias("gpa"), F.corr(total, F.col("ai_task_grade")).alias("ai_task_grade")).first()
-    lines += [f"   total with {c:<14} r = {row[c]:+.3f}   p = {stats.pearson_p(row[c], row.n):.4g}" for c in ("gpa", "ai_task_grade")]
+    for c in ("gpa", "ai_task_grade"):
+        found = stats.criterion(students, c).first()
+        lines.append(f"   total with {c:<14} r = {found.r:+.3f}   p = {stats.pearson_p(found.r, found.n):.4g}")
     section(7, "Test-retest (ICC(2,1))")
     lines += [f"   {d:<26} ICC(2,1) = {stats.icc(students, d, f'{d}_retest').first().icc:.3f}" for d in DIMENSIONS]
     if think_aloud is not None:
