@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import cache
 from re import _parser as parser
 
-_NOT_A_BACK_REFERENCE = r"(?<!\bfor )(?<!\bin )(?<!\bof )(?<!\bsee )(?<!\bstep )"
+NOT_A_BACK_REFERENCE = r"(?<!\bfor )(?<!\bin )(?<!\bof )(?<!\bsee )(?<!\bstep )"
 
 # --- Fixed values: the patterns of the marker families, by family -----------------------------
 
@@ -17,8 +17,8 @@ SHARED = {
         r"\bcan you\b", r"\bcould you\b", r"\bwould you\b", r"\bi need you to\b",
     ],
     "enumeration": [
-        r"^\s*\d+[.)]\s", r"^\s*[-*•]\s", r"\bfirst(?:ly)?\b.*\bsecond(?:ly)?\b", _NOT_A_BACK_REFERENCE + r"(?<![\w\])])\(\s*\d{1,2}\s*\)(?=\s)",
-        _NOT_A_BACK_REFERENCE + r"(?<![\w\])])\([a-h]\)(?=\s)", r"(?<=[:;,]\s)\d{1,2}\)\s", r"\btwo things\b", r"\bthree things\b", r"\bpart (?:one|two|1|2)\b",
+        r"^\s*\d+[.)]\s", r"^\s*[-*•]\s", r"\bfirst(?:ly)?\b.*\bsecond(?:ly)?\b", NOT_A_BACK_REFERENCE + r"(?<![\w\])])\(\s*\d{1,2}\s*\)(?=\s)",
+        NOT_A_BACK_REFERENCE + r"(?<![\w\])])\([a-h]\)(?=\s)", r"(?<=[:;,]\s)\d{1,2}\)\s", r"\btwo things\b", r"\bthree things\b", r"\bpart (?:one|two|1|2)\b",
     ],
     "sequence": [r"\bfirst\b", r"\bthen\b", r"\bnext\b", r"\bafter that\b", r"\bbefore (?:we|i|that)\b", r"\bonce (?:we|i|that|you)\b", r"\bstep \d\b", r"\bfinally\b", r"\blater\b", r"\bsubsequently\b"],
     "scope": [r"\bjust\b", r"\bonly the\b", r"\bfor now\b", r"\bto start\b", r"\blimit(?:ed)? to\b", r"\bnarrow(?:ed)? (?:down|to)\b", r"\bone (?:section|part|piece|function|kernel|loop)\b", r"\bset(?:ting)? aside\b", r"\bwe'?ll (?:get to|come back)\b"],

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, text
 from ..operators import controls, features, psychometrics, scoring, simulate, stats, turns
 from ..operators.features import DIMENSIONS, FEATURES, ITEMS
-from .feature_sql import IN_SQL, ROWS_SQL, SESSIONS_SQL, count, listed, words
+from .feature_sql import ROWS_SQL, SESSIONS_SQL, context_sql, count, identifiers, listed, sessions_sql, words
 from .views import ITEMS_SQL, TURNS_SQL
 from .views import items as items_view
 from .views import turns as turns_view
@@ -94,7 +94,11 @@ def q_pii_email_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.screen_pii(_docs_as_turns(spark, sf_dir)).select("session_id", "email", "url")
 
 
-@query()
+_KINDS = identifiers("text")
+
+
+@query(f"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS session_id, source AS student, {", ".join(f"{sql} AS {k}" for k, sql in _KINDS.items())} FROM documents)
+SELECT session_id, student, {" + ".join(_KINDS)} AS total_hits, {", ".join(_KINDS)} FROM n""")
 def q_pii_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.screen_pii(_docs_as_turns(spark, sf_dir))
 
@@ -153,12 +157,12 @@ def q_marker_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("general").union(of("hpc"))
 
 
-@query()
+@query(f"WITH {TURNS_SQL} SELECT session_id, turn, {count('content', 'enumeration')} AS enumeration FROM live")
 def q_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.in_order(turns_view(spark, sf_dir)).select("session_id", "turn", text.family(F.col("content"), "general", "enumeration").alias("enumeration"))
 
 
-@query()
+@query(f"WITH {TURNS_SQL}, users_ AS (SELECT * FROM live WHERE role = 'user'), {context_sql('users_')} SELECT u.session_id, u.turn, context_chars, CAST(length(content) AS INTEGER) AS chars FROM users_ u JOIN ctx_rows x ON u.session_id = x.session_id AND u.turn = x.turn")
 def q_context_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = features.in_order(turns_view(spark, sf_dir)).filter("role = 'user'")
     return t.select("session_id", "turn", text.context_chars(F.col("content")).alias("context_chars"), F.length("content").alias("chars"))
@@ -167,22 +171,22 @@ def q_context_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- features and scores ------------------------------------------------------------------------
 
 
-@query(f"WITH {SESSIONS_SQL} SELECT session_id, student, discipline, n_student_turns, {', '.join(f'round({f}, 9) AS {f}' for f in IN_SQL)} FROM sessions")
+@query(f"WITH {SESSIONS_SQL} SELECT session_id, student, discipline, n_student_turns, {', '.join(f'round({f}, 9) AS {f}' for f in FEATURES)} FROM sessions")
 def q_features_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features.session_features(turns_view(spark, sf_dir))
-    return _round(found.select("session_id", "student", "discipline", "n_student_turns", *IN_SQL), 9)
+    return _round(found.select("session_id", "student", "discipline", "n_student_turns", *FEATURES), 9)
 
 
-@query(f"""WITH {SESSIONS_SQL} SELECT student, count(*) AS n_sessions, sum(n_student_turns)::BIGINT AS n_student_turns, arg_min(discipline, session_id) AS discipline, {', '.join(f'round(avg({f}), 6) AS {f}' for f in IN_SQL)}
+@query(f"""WITH {SESSIONS_SQL} SELECT student, count(*) AS n_sessions, sum(n_student_turns)::BIGINT AS n_student_turns, arg_min(discipline, session_id) AS discipline, {', '.join(f'round(avg({f}), 6) AS {f}' for f in FEATURES)}
 FROM sessions GROUP BY student""")
 def q_features_student(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features.extract(turns_view(spark, sf_dir), "student")
-    return _round(found.select("student", "n_sessions", "n_student_turns", "discipline", *IN_SQL))
+    return _round(found.select("student", "n_sessions", "n_student_turns", "discipline", *FEATURES))
 
 
-@query()
+@query(f"WITH {sessions_sql('hpc')} SELECT session_id, student, discipline, n_student_turns, 'regex' AS nlp_backend, 'hpc' AS lexicon_profile, {', '.join(f'round({f}, 9) AS {f}' for f in FEATURES)} FROM sessions")
 def q_features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.extract(turns_view(spark, sf_dir), "session", "hpc")
+    return _round(features.extract(turns_view(spark, sf_dir), "session", "hpc"), 9)
 
 
 _SCALE = {f: 0.07 + 0.03 * k for k, f in enumerate(FEATURES)}

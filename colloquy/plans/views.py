@@ -13,6 +13,8 @@ PHRASES = [
     "I care about privacy and consent here.", "Why does that follow? Walk me through it.", "Just the first section for now.", "I disagree, and i still think my reading is better.",
     "According to the textbook, who is affected?", "I'll write that myself so that i can learn.", "Try again, but shorter instead.", "Our draft needs a citation; i'll rewrite it in my own words.",
     "Now check it and confirm the fix.", "Is this representative, or is it biased?", "On the other hand, my professor disagrees with that.", "good stuff and nice things in general",
+    "Two things:\n1. outline\n- draft\nfor (2) see (a) there, and: 1) go (b) now f(1) x (3) y", "for (i=0;i<n;i++) {\n  a[i] = b[i];\n}\nCall 1 (555) 123-4567 or 555-123-4567 555-123-4567, 123-45-6789.",
+    "Take this:\n```int x = 0;\ny();``` MRN: 99, born 03/14/1991, a.b@c.example", "x = foo(bar[1], baz[2]) * {qux} + (1 << 3); // so\n\nplain words",
 ]
 #: Event types, a dimension each.
 TYPES = ["click", "error", "purchase", "signup", "view"]

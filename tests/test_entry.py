@@ -15,7 +15,7 @@ def test_entry_points_name_the_same_queries(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["q_session_stats", "q_features_session", "q_score_apriori", "q_krippendorff", "q_roster_pseudonym"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
