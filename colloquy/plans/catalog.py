@@ -412,7 +412,7 @@ def q_manova(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_LONG_SQL}, c AS (SELECT dimension, discipline, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM long GROUP BY 1, 2),
 e AS (SELECT dimension, sum(n * v) / (sum(n) - count(*)) AS ms FROM c GROUP BY 1)
-SELECT a.dimension, a.discipline AS a, b.discipline AS b, round(b.m - a.m, 6) AS difference, round(abs(a.m - b.m) / sqrt(ms / 2 * (1 / a.n + 1 / b.n)), 6) AS q
+SELECT a.dimension, a.discipline AS a, b.discipline AS b, round(b.m - a.m, 6) + 0.0 AS difference, round(abs(a.m - b.m) / sqrt(ms / 2 * (1 / a.n + 1 / b.n)), 6) AS q
 FROM c a JOIN c b ON a.dimension = b.dimension AND a.discipline < b.discipline JOIN e ON e.dimension = a.dimension""")
 def q_tukey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences and studentised ranges; the p of these, which SQL can't give, is tested against tables."""
