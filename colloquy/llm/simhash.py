@@ -215,12 +215,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, shingle: int = 4, seed: int = 4
 SAMPLED, COMMON = 20_000, 200_000
 
 
+#: Parts by hash of which a sketch counts a set's members.
+CELLS = 128
+
+
+def sketched(h: np.ndarray) -> dict:
+    """A set of hashes and how many fall into each of the cells."""
+    h = np.unique(h)
+    return {"set": h.view(np.int64), "sketch": np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype(np.int32)}
+
+
 def shingles(text: Column, shingle: int, seed: int) -> Column:
-    """array<bigint>: the different shingles' hashes, in unsigned order."""
+    """struct<set, sketch>: the different shingles' hashes, in unsigned order, and their sketch."""
 
-    @F.pandas_udf("array<bigint>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(hashes(t, shingle, seed)).view(np.int64) for t in texts], dtype=object)
+    @F.pandas_udf("set array<bigint>, sketch array<int>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketched(hashes(t, shingle, seed)) for t in texts], columns=["set", "sketch"])
 
     return found(text)
 
@@ -261,11 +271,22 @@ def prefix_keys(rows: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.select("id", "set").mapInArrow(keys, "id long, n long, key long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of stored pairs a, b those whose sets have a Jaccard similarity of 0.8 at least."""
-    one, two = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return one.join(sized(pairs), "a").join(two, "b").filter(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+def similar(pairs: DataFrame, rows: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of stored pairs a, b those whose sets have a Jaccard similarity of 0.8 at least.
+
+    Two sets share no more members than the lesser counts of their sketches add up to; only the
+    sets of pairs that this doesn't rule out are fetched.
+    """
+    side = lambda table, c, *cols: table.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
+    enough = lambda both: 9 * both >= 4 * (F.col("n_a") + F.col("n_b"))
+    lesser = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    left = side(sketches, "a", "n", "sketch").join(sized(pairs), "a").join(side(sketches, "b", "n", "sketch"), "b").filter(enough(lesser))
+    left = stored(left.select("a", "b", "n_a", "n_b"), "pairs-near")
+    ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = stored(ids.join(classes, "id").select("row"), "rows-near")
+    sets = rows.join(sized(wanted), "row", "left_semi").select("id", "set")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return side(sets, "a", "set").join(sized(left), "a").join(side(sets, "b", "set"), "b").filter(enough(both)).select("a", "b")
 
 
 def _fit(x: str | Column, y: str | Column) -> Column:
@@ -274,21 +295,23 @@ def _fit(x: str | Column, y: str | Column) -> Column:
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
-def similar_links(rows: DataFrame) -> DataFrame:
-    """Edges a, b that connect all ids whose sets are similar. rows: row (unique), id, set; rows of one id have one set.
+def similar_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges a, b that connect all ids whose sets are similar. rows: row (unique), id, n, set,
+    sketch; classes: id, row, n, one row of each id, whose set all its rows have.
 
     Each member of a block first meets the block's least one. Pairs that these links leave in
     different components are then met all, so that no link is lost and a dense group doesn't
     give all its pairs.
     """
     keyed = prefix_keys(rows, common_shingles(rows))
-    crowds = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("m"), F.max("id").alias("b")).filter("m.id <> b").select("key", F.col("m.id").alias("a"), F.col("m.n").alias("an"))
+    crowds = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key", "a")
     crowds = stored(crowds, "shingle-crowds")
-    shared = stored(keyed.join(sized(crowds), "key").select("key", "id", "n", "a", "an").distinct(), "shingle-keys")
-    met = stored(shared.select("id").distinct().join(rows.groupBy("id").agg(F.min("row").alias("row")), "id").select("row"), "shingle-met")
-    sets = stored(rows.join(sized(met), "row", "left_semi").select("id", "set"), "shingle-sets")
-    pairs = stored(shared.filter((F.col("a") != F.col("id")) & _fit("n", "an")).select("a", F.col("id").alias("b")).distinct(), "star-pairs")
-    stars = stored(similar(pairs, sets), "star-links")
+    shared = stored(keyed.join(sized(crowds, crowds.count() // 3), "key").select("key", "id", "n", "a").distinct(), "shingle-keys")  # 24 bytes a row
+    met = stored(shared.select("id").distinct().join(classes, "id").select("row"), "shingle-met")
+    sketches = stored(rows.join(sized(met), "row", "left_semi").select("id", "n", "sketch"), "sketches")
+    pairs = shared.filter("a <> id").select("a", "id", "n").distinct().join(sized(classes.select(F.col("id").alias("a"), F.col("n").alias("an"))), "a")
+    pairs = stored(pairs.filter(_fit("n", "an")).select("a", F.col("id").alias("b")), "star-pairs")
+    stars = stored(similar(pairs, rows, classes, sketches), "star-links")
     roots = components(stars)
     placed = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "a", F.coalesce("root", "id").alias("root"))
     split = placed.filter("id <> a").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y")
@@ -298,7 +321,7 @@ def similar_links(rows: DataFrame) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("x"), F.greatest(o, part).alias("y")))
     cells = left.select("id", "n", "root", "key", F.explode(others).alias("c")).select(F.xxhash64("key", "c.x", "c.y").alias("cell"), "id", "n", "root")
     rest = stored(cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_parted, "a long, b long").distinct(), "pairs-left")
-    return stars.union(similar(rest, sets))
+    return stars.union(similar(rest, rows, classes, sketches))
 
 
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,10 +359,11 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, i
     shingles is 0.8 at least; candidates come from prefixes of the shingles, which lose none, and
     every link is verified.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), shingles(F.col(text_col), shingle, seed).alias("set"))
-    rows = stored(found.withColumn("id", F.xxhash64("set")).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    classes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id")), "shingle-classes")
-    found = component_of(classes, components(similar_links(rows)))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), shingles(F.col(text_col), shingle, seed).alias("s"))
+    found = found.select("doc_id", "text_hash", "s.set", "s.sketch").withColumn("id", F.xxhash64("set")).withColumn("n", F.size("set"))
+    rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    classes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n")), "shingle-classes")
+    found = component_of(classes.select("id", "doc_id"), components(similar_links(rows, classes.select("id", "row", "n"))))
     gone = rows.select("id", "doc_id", "text_hash").join(sized(found), "id")
     gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id"), F.col("text_hash").alias("__sim_hash")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.xxhash64(F.col(text_col)) == F.col("__sim_hash"))

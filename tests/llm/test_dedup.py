@@ -194,6 +194,15 @@ def test_near_copies_equal_brute_force_around_the_threshold(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted(docs[i][0] for i in set(root.values()))
 
 
+def test_sketches_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        pool = rng.integers(0, 2**64, 400, dtype=np.uint64)
+        a, b = rng.choice(pool, rng.integers(1, 300)), rng.choice(pool, rng.integers(1, 300))
+        x, y = simhash.sketched(a), simhash.sketched(b)
+        assert x["sketch"].sum() == len(set(a.tolist())) and np.minimum(x["sketch"], y["sketch"]).sum() >= len(set(a.tolist()) & set(b.tolist()))
+
+
 # --- line dedup ---------------------------------------------------------------------------------
 
 
