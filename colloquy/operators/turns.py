@@ -76,6 +76,15 @@ def screen_pii(turns: DataFrame, key: str = "session_id") -> DataFrame:
     return found.select(key, "student", sum(map(F.col, counts), F.lit(0)).alias("total_hits"), *counts).orderBy(F.desc("total_hits"), key)
 
 
+def differences(parsed: DataFrame, shipped: DataFrame) -> DataFrame:
+    """session_id, turn, problem: turns that one of two logs lacks, or whose role or content isn't the same."""
+    keys = ["session_id", "turn"]
+    a, b = (x.select(*keys, F.struct("role", "content").alias(name)) for x, name in ((parsed, "a"), (shipped, "b")))
+    both = a.join(b, keys, "full")
+    what = F.when(F.col("a").isNull(), "only in the second").when(F.col("b").isNull(), "only in the first").when(~F.col("a.role").eqNullSafe(F.col("b.role")), "another role").when(~F.col("a.content").eqNullSafe(F.col("b.content")), "another content")
+    return both.select(*keys, what.alias("problem")).filter("problem IS NOT NULL")
+
+
 def ingest_report(turns: DataFrame) -> DataFrame:
     """One row: counts of sessions, students, turns a session, roles, known models, empty content."""
     each = turns.groupBy("session_id").agg(F.count("*").alias("n"))

@@ -79,14 +79,27 @@ UNION ALL SELECT session_id, 'does not open with a student turn' FROM g WHERE c
 UNION ALL SELECT NULL, 'unexpected role values: narrator' FROM faulty HAVING count(*) FILTER (WHERE role = 'narrator') > 0
 UNION ALL SELECT NULL, count(*) || ' turns with null content' FROM faulty WHERE content IS NULL HAVING count(*) > 0""")
 def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns_view(spark, sf_dir)
+    return turns.validate(_faulty(turns_view(spark, sf_dir)))
+
+
+def _faulty(t: DataFrame) -> DataFrame:
     k = F.col("session_id").cast("long")
-    faulty = t.select(
+    return t.select(
         "session_id", F.when((k % 7 == 1) & (F.col("turn") == 1), "x").otherwise(F.col("student")).alias("student"),
         F.when(k % 11 == 2, "assistant").when((k % 13 == 4) & (F.col("turn") == 1), "narrator").otherwise(F.col("role")).alias("role"),
         F.when((k % 5 == 3) & (F.col("turn") == 3), 2).otherwise(F.col("turn")).alias("turn"), F.when((k % 9 != 5) | (F.col("turn") != 1), F.col("content")).alias("content"), F.lit("m").alias("model"),
     )
-    return turns.validate(faulty)
+
+
+@query(f"""WITH {TURNS_SQL}, {_FAULTY}, other AS (SELECT session_id, turn, role, content FROM faulty WHERE NOT (CAST(session_id AS BIGINT) % 5 = 3 AND turn = 2))
+SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.turn, b.turn) AS turn,
+ CASE WHEN a.session_id IS NULL THEN 'only in the second' WHEN b.session_id IS NULL THEN 'only in the first' WHEN a.role IS DISTINCT FROM b.role THEN 'another role' ELSE 'another content' END AS problem
+FROM turns a FULL JOIN other b ON a.session_id = b.session_id AND a.turn = b.turn
+WHERE a.session_id IS NULL OR b.session_id IS NULL OR a.role IS DISTINCT FROM b.role OR a.content IS DISTINCT FROM b.content""")
+def q_log_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns_view(spark, sf_dir)
+    faulty = _faulty(t)
+    return turns.differences(t, faulty.filter((F.col("session_id").cast("long") % 5 != 3) | (F.col("turn") != 2)))
 
 
 @query(f"""SELECT CAST(doc_id AS VARCHAR) AS session_id, len(regexp_extract_all(text, '{lexicon.PII["email"]}')) AS email, len(regexp_extract_all(text, '{lexicon.PII["url"]}')) AS url FROM documents""")

@@ -43,6 +43,17 @@ def test_constant_ratings_have_no_alpha(spark):
     assert math.isnan(stats.krippendorff(df).first().alpha)
 
 
+def test_figures_are_well_formed(spark, thirty):
+    from xml.etree import ElementTree
+
+    from colloquy.sources import figures
+
+    students = thirty[0]
+    for text in (figures.group_bars(stats.group_means(students)), figures.correlation_map(stats.correlations(students)), figures.sweep_curves(controls.fit_sweep_summary(controls.fit_sweep(spark, (30, 60), 2)))):
+        root = ElementTree.fromstring(text)
+        assert root.tag.endswith("svg") and len(root) > 10 and "nan" not in text
+
+
 def test_tukey_and_distributions(thirty):
     found = {(t["dimension"], t["a"], t["b"]): t for t in stats.tukey(thirty[0])}
     assert len(found) == 15 and all(0 <= t["p"] <= 1 for t in found.values())
