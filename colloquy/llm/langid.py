@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Spelled, bounded_sample, found_in, made_once, remainder, stored, table, word_lists, words
+from .shared import Spelled, bounded_sample, found_in, let_go, remainder, stored, table, text_batches, word_lists, words
 
 SAMPLE = 1000
 GRAMS = (2, 3)
@@ -282,18 +283,23 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     languages = sorted(r.lang for r in ids.select("lang").distinct().collect())
     wide = counts.groupBy("word").pivot("lang", languages).agg(F.sum("n")) if languages else counts.select("word").limit(0)
     got = wide.na.fill(0).toPandas()
+    let_go()
     return fit(got.word.tolist(), got[languages].to_numpy(float).reshape(len(got), len(languages)), languages)
 
 
 def language(spark: SparkSession, text: Column, model: Model, batch: int = 256, own: bool = False) -> Column:
     """lang_pred and score of a text; with `own` only words that count as a language's own give it letters."""
+    text_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        labeller = made_once(shipped.value, Labeller)
-        rows = [r for k in range(0, len(texts), batch) for r in labeller.predict(texts.iloc[k : k + batch].tolist(), own)]
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(shipped.value)
+        for texts in batches:
+            rows = [r for k in range(0, len(texts), batch) for r in labeller.predict(texts.iloc[k : k + batch].tolist(), own)]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+        del labeller
+        let_go()
 
     return predicted(text)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import Kept, made_once, stored, table
+from .shared import Kept, drop_made, made_once, stored, table, text_batches
 
 #: Pieces of one length that are ranked together, about; a common length has as many parts as it takes.
 TOGETHER = 100_000
@@ -77,17 +77,20 @@ _SPLIT_PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[
 
 def pieces(docs: DataFrame, tokenizer_json: str, length: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    text_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     end = array("I", [end_id]).tobytes()
 
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        ids_of, out = made_once(shipped.value, WordIds), []
-        for t in texts:
-            ids = (ids_of(t) if t else b"") + end
-            step = 4 * length
-            out.append([{"piece": k, "start": k * length, "length": min(step, len(ids) - k * step) // 4, "ids_crc32": zlib.crc32(ids[k * step : (k + 1) * step])} for k in range(-(-len(ids) // step))])
-        return pd.Series(out, dtype=object)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids_of = made_once(shipped.value, WordIds)
+        for texts in batches:
+            yield pd.Series([pieces_of((ids_of(t) if t else b"") + end) for t in texts], dtype=object)
+        drop_made()
+
+    def pieces_of(ids: bytes) -> list[dict]:
+        step = 4 * length
+        return [{"piece": k, "start": k * length, "length": min(step, len(ids) - k * step) // 4, "ids_crc32": zlib.crc32(ids[k * step : (k + 1) * step])} for k in range(-(-len(ids) // step))]
 
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(cut(F.col(text_col))).alias("p")).select("doc_id", "p.*")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import unicodedata
@@ -11,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +132,26 @@ def forget(spark: SparkSession, paths: list[str] | None = None) -> int:
     return len(paths)
 
 
+#: Rows of texts that a worker gets at once; the session's own setting counts where it is another than Spark's.
+TEXTS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Has workers get fewer rows at once than Spark's 10,000, as rows with whole texts are wide."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS))
+
+
+def let_go() -> None:
+    """Gives memory that a task has freed back to the system, as a worker waits for the next task for long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 _MADE: list[tuple] = []
 
 
@@ -151,6 +174,12 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def drop_made() -> None:
+    """Forgets what `made_once` keeps, at the end of a task whose cache no other needs."""
+    _MADE.clear()
+    let_go()
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import sized, stored, table
+from .shared import let_go, sized, stored, table, text_batches
 
 #: Records of a block that one task compares with each other or with as many others.
 PART = 2048
@@ -229,8 +229,10 @@ def shingles(text: Column, shingle: int, seed: int) -> Column:
     """struct<set, sketch>: the different shingles' hashes, in unsigned order, and their sketch."""
 
     @F.pandas_udf("set array<bigint>, sketch array<int>")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketched(hashes(t, shingle, seed)) for t in texts], columns=["set", "sketch"])
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([sketched(hashes(t, shingle, seed)) for t in texts], columns=["set", "sketch"])
+        let_go()
 
     return found(text)
 
@@ -359,6 +361,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, i
     shingles is 0.8 at least; candidates come from prefixes of the shingles, which lose none, and
     every link is verified.
     """
+    text_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), shingles(F.col(text_col), shingle, seed).alias("s"))
     found = found.select("doc_id", "text_hash", "s.set", "s.sketch").withColumn("id", F.xxhash64("set")).withColumn("n", F.size("set"))
     rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "shingles")

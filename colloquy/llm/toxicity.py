@@ -26,6 +26,7 @@ score is 0; an empty table gives an empty result; columns other than id and text
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Spelled, bounded_sample, found_in, remainder, stored, table, word_lists, words
+from .shared import Spelled, bounded_sample, found_in, let_go, remainder, stored, table, text_batches, word_lists, words
 
 ORDER = 7
 DISCOUNT = 0.75
@@ -44,8 +45,8 @@ SHORT = 10  # words' worth of no evidence that every text has besides its own
 
 def top(spelled: Spelled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every character but the starts: its place, its longest gram and that one's context."""
-    at = np.flatnonzero(spelled.place > 0)
-    n = np.minimum(spelled.place[at] + 1, ORDER)
+    at = np.flatnonzero(spelled.place > 0).astype(np.int32)
+    n = np.minimum(spelled.place[at] + 1, ORDER).astype(np.int8)
     gram, context = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for k, (shorter, grams) in enumerate(spelled.grams(ORDER), 1):
         here = n == k
@@ -61,7 +62,7 @@ def backed_off(spelled: Spelled, wanted: np.ndarray) -> np.ndarray:
     before = None
     for k, (shorter, grams) in enumerate(spelled.grams(ORDER)):  # grams of k + 1 characters, of which k are the shorter gram
         if k:
-            at = np.flatnonzero(spelled.place >= k)
+            at = np.flatnonzero(spelled.place >= k).astype(np.int32)
             _, longer = np.unique(grams[at], return_index=True)
             gram, one = np.unique(shorter[at][longer], return_inverse=True)
             follows = np.bincount(one, minlength=len(gram))
@@ -114,6 +115,7 @@ def evidence(found: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Evide
     at, gram, context = top(spelled)
     grams, first, one = np.unique(gram, return_index=True, return_inverse=True)
     contexts, of = np.unique(context[first], return_inverse=True)
+    del gram, context
     behind = backed_off(spelled, at[first])
     (a, wa), (b, wb) = (class_chances(np.bincount(one, n[there][spelled.word[at]], len(grams)), of, behind) for n in (toxic, ordinary))
     return Evidence(grams, np.log(a / b).astype(np.float32), contexts, np.log(wa / wb).astype(np.float32))
@@ -176,13 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     counts = rows.select("half", "toxic", F.explode(word_lists(F.col("text"))).alias("word")).groupBy("word").agg(*(n(h, c) for h in (0, 1) for c in (0, 1))).toPandas()
     vocabulary = counts.word.tolist()
     toxic, ordinary = (np.stack([counts[f"n{h}{c}"].to_numpy(float) for h in (0, 1)]) for c in (1, 0))
+    del counts
     if not (toxic.sum() and ordinary.sum()):
         return Model(None)
     held = [Model(evidence(vocabulary, toxic[1 - h], ordinary[1 - h])) for h in (0, 1)]  # for the texts of half h
     at = F.when(F.col("half") == 0, normalised(spark, F.col("text"), held[0])).otherwise(normalised(spark, F.col("text"), held[1]))
     got = rows.select("toxic", at.alias("x")).toPandas()  # two numbers for each row of the sample
     shift, slope = calibrated(got.x.to_numpy(float), got.toxic.to_numpy(float))
-    return Model(evidence(vocabulary, toxic.sum(axis=0), ordinary.sum(axis=0)), shift, slope)
+    model = Model(evidence(vocabulary, toxic.sum(axis=0), ordinary.sum(axis=0)), shift, slope)
+    let_go()
+    return model
 
 
 def normalised(spark: SparkSession, text: Column, model: Model) -> Column:
@@ -197,12 +202,17 @@ def normalised(spark: SparkSession, text: Column, model: Model) -> Column:
 
 def toxicity(spark: SparkSession, text: Column, model: Model, batch: int = 256) -> Column:
     """The score of a text, 0 to 1."""
+    text_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        parts = [shipped.value.scores(texts.iloc[k : k + batch].tolist()) for k in range(0, len(texts), batch)]
-        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = shipped.value
+        for texts in batches:
+            parts = [own.scores(texts.iloc[k : k + batch].tolist()) for k in range(0, len(texts), batch)]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype=float)
+        own.kept.clear()
+        let_go()
 
     return score(text)
 
