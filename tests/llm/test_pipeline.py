@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from colloquy.llm import queries
+from colloquy.llm import queries, shared
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +74,37 @@ def test_language_stage_rejects_what_no_learned_language_has(spark, tmp_path):
     every = spark.read.parquet(f"{folder}/documents.parquet").union(more)
     kept = {r.doc_id for r in corpus_pipeline._language(spark, every, folder).select("doc_id").collect()}
     assert kept == {d for d, *_ in docs} - {1002, 1003} | {2004}
+
+
+EXTRA = SCHEMA + ", id long, set string, page_id int, rank int, score double, line string, key long, h long"
+
+
+def test_stages_take_empty_tables_repeats_and_clashing_columns(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    docs, toxic = made(folder, spark)
+    rows = [(*d, k, "s", k, k, 0.1, "l", k, k) for k, d in enumerate(docs)]
+    rows += [rows[0], rows[2], (None, rows[4][1], "bb", "s", 0, 9, None, 9, 9, None, None, 9, 9)]  # two repeated rows; a copy without an id
+    full, empty = spark.createDataFrame(rows, EXTRA), spark.createDataFrame([], EXTRA)
+    for start, count in ((full, None), (empty, 0)):
+        now = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, folder)
+            if k < 4:
+                assert out.columns == start.columns, name
+            out.write.parquet(f"{folder}/more-{count}-{k}")
+            now = spark.read.parquet(f"{folder}/more-{count}-{k}")
+            if k == 3 and count is None:
+                kept = [r.doc_id for r in now.select("doc_id").collect()]
+                assert kept.count(0) == kept.count(2) == 2 and None not in kept and toxic.isdisjoint(kept)
+        assert count is None or now.count() == count
+
+
+def test_a_stage_removes_what_the_one_before_had_stored(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    made(folder, spark)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    corpus_pipeline._toxicity(spark, docs, folder).write.parquet(f"{folder}/one")
+    left = list(corpus_pipeline._LEFT)
+    assert left and set(left) <= set(shared.stored_since())
+    corpus_pipeline._language(spark, spark.read.parquet(f"{folder}/one"), folder).write.parquet(f"{folder}/two")
+    assert set(left).isdisjoint(shared.stored_since())

@@ -44,6 +44,8 @@ def test_bpe_equals_the_library(spark):
     both = rows.select(bpe.encode(spark, F.col("text"), vocabulary).alias("ids"), "text").select(bpe.decode(spark, F.col("ids"), vocabulary).cast("string").alias("back"), "text")
     assert all(r.back == r.text for r in both.collect())
     assert bpe.round_trip(spark.createDataFrame([], DOCS), vocabulary).count() == 0
+    twice = bpe.round_trip(spark.createDataFrame([(7, "same text"), (7, "same text"), (None, "same text")], DOCS), vocabulary)
+    assert twice.count() == 3 and twice.select("ids_sha256").distinct().count() == 1
 
 
 # --- packing ------------------------------------------------------------------------------------
@@ -73,6 +75,17 @@ def test_packing_ids_places_and_count(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packing_of_repeated_rows_and_common_lengths(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 16)
+    docs = spark.createDataFrame([(7, "a b c")] * 40 + [(k, "x y z") for k in range(60)] + [(None, None)], DOCS)
+    found = packing.pack_documents(docs, length=16).collect()
+    assert len(found) == 101
+    places = sorted((r.sequence_id, r.offset, r.length) for r in found)
+    for (s, o, n), (s2, o2, _) in zip(places, places[1:]):
+        assert (s2 > s and o2 == 0) or (s2 == s and o2 == o + n)
+    assert len({s for s, *_ in places}) == -(-sum(n for *_, n in places) // 16)
+
+
 def test_plans_use_every_piece_once():
     rng = np.random.default_rng(3)
     for _ in range(60):
