@@ -220,15 +220,37 @@ CELLS = 128
 
 
 def sketched(h: np.ndarray) -> dict:
-    """A set of hashes and how many fall into each of the cells."""
+    """A set of hashes and how many fall into each of the cells, a byte each; no sketch if one has more."""
     h = np.unique(h)
-    return {"set": h.view(np.int64), "sketch": np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype(np.int32)}
+    counts = np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=CELLS)
+    return {"set": h.view(np.int64), "sketch": counts.astype(np.uint8).tobytes() if counts.max() < 256 else None}
+
+
+def table_of(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A row of counts for each sketch, and which there are."""
+    found = sketches.to_pylist()
+    rows = np.frombuffer(b"".join(x if x is not None else bytes(CELLS) for x in found), np.uint8).reshape(-1, CELLS)
+    return rows, np.array([x is not None for x in found], bool)
+
+
+def may_be_similar(x: np.ndarray, there_x: np.ndarray, n: np.ndarray, y: np.ndarray, there_y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """False only for pairs of sets of sizes n and m whose similarity is below 0.8: two sets share
+    no more members than the lesser counts of their sketches add up to."""
+    return ~(there_x & there_y) | (9 * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= 4 * (n + m))
+
+
+def _ruled_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs a, b, n_a, n_b, sketch_a, sketch_b those that their sketches don't rule out."""
+    for batch in batches:
+        a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
+        keep = may_be_similar(*table_of(batch.column(4)), n.astype(np.int64), *table_of(batch.column(5)), m.astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, n, m)], names=["a", "b", "n_a", "n_b"])
 
 
 def shingles(text: Column, shingle: int, seed: int) -> Column:
     """struct<set, sketch>: the different shingles' hashes, in unsigned order, and their sketch."""
 
-    @F.pandas_udf("set array<bigint>, sketch array<int>")
+    @F.pandas_udf("set array<bigint>, sketch binary")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([sketched(hashes(t, shingle, seed)) for t in texts], columns=["set", "sketch"])
@@ -276,14 +298,13 @@ def prefix_keys(rows: DataFrame, common: np.ndarray) -> DataFrame:
 def similar(pairs: DataFrame, rows: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
     """Of stored pairs a, b those whose sets have a Jaccard similarity of 0.8 at least.
 
-    Two sets share no more members than the lesser counts of their sketches add up to; only the
-    sets of pairs that this doesn't rule out are fetched.
+    Only the sets of pairs that their sketches don't rule out are fetched.
     """
     side = lambda table, c, *cols: table.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
     enough = lambda both: 9 * both >= 4 * (F.col("n_a") + F.col("n_b"))
-    lesser = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    left = side(sketches, "a", "n", "sketch").join(sized(pairs), "a").join(side(sketches, "b", "n", "sketch"), "b").filter(enough(lesser))
-    left = stored(left.select("a", "b", "n_a", "n_b"), "pairs-near")
+    met = side(sketches, "a", "n", "sketch").join(sized(pairs), "a").join(side(sketches, "b", "n", "sketch"), "b")
+    left = met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_ruled_in, "a long, b long, n_a int, n_b int")
+    left = stored(left, "pairs-near")
     ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = stored(ids.join(classes, "id").select("row"), "rows-near")
     sets = rows.join(sized(wanted), "row", "left_semi").select("id", "set")
@@ -321,27 +342,29 @@ def similar_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     left = placed.filter("id <> a").join(split, "key")
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, part).alias("x"), F.greatest(o, part).alias("y")))
-    cells = left.select("id", "n", "root", "key", F.explode(others).alias("c")).select(F.xxhash64("key", "c.x", "c.y").alias("cell"), "id", "n", "root")
+    left = left.join(sized(sketches.select("id", "sketch")), "id")
+    cells = left.select("id", "n", "root", "sketch", "key", F.explode(others).alias("c")).select(F.xxhash64("key", "c.x", "c.y").alias("cell"), "id", "n", "root", "sketch")
     rest = stored(cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_parted, "a long, b long").distinct(), "pairs-left")
     return stars.union(similar(rest, rows, classes, sketches))
 
 
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within runs of equal cells that have different roots and sizes that fit."""
+    """Pairs within runs of equal cells that have different roots and sizes that fit, and that their
+    sketches don't rule out."""
     held: list[np.ndarray] | None = None
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cell, ids, n, root = cols
+        cell, ids, n, root, counts, there = cols
         ends = np.searchsorted(cell, cell, side="right")
         for i in np.flatnonzero(ends - np.arange(len(cell)) > 1):
-            at = slice(i + 1, ends[i])
-            fit = (root[at] != root[i]) & (ids[at] != ids[i]) & (5 * np.minimum(n[at], n[i]) >= 4 * np.maximum(n[at], n[i]))
-            if fit.any():
-                other = ids[at][fit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), ids[i])), pa.array(other)], names=["a", "b"])
+            at = np.arange(i + 1, ends[i])
+            at = at[(root[at] != root[i]) & (ids[at] != ids[i]) & (5 * np.minimum(n[at], n[i]) >= 4 * np.maximum(n[at], n[i]))]
+            at = at[may_be_similar(counts[at], there[at], n[at], counts[i], there[i], n[i])]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(ids[at])], names=["a", "b"])
 
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
+        cols = [batch.column(k).to_numpy().astype(np.int64) for k in range(4)] + list(table_of(batch.column(4)))
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         if not len(cols[0]):

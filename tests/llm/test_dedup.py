@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -200,7 +201,12 @@ def test_sketches_bound_what_sets_share():
         pool = rng.integers(0, 2**64, 400, dtype=np.uint64)
         a, b = rng.choice(pool, rng.integers(1, 300)), rng.choice(pool, rng.integers(1, 300))
         x, y = simhash.sketched(a), simhash.sketched(b)
-        assert x["sketch"].sum() == len(set(a.tolist())) and np.minimum(x["sketch"], y["sketch"]).sum() >= len(set(a.tolist()) & set(b.tolist()))
+        (i, j), there = simhash.table_of(pa.array([x["sketch"], y["sketch"]]))
+        assert there.all() and i.sum() == len(set(a.tolist())) and np.minimum(i, j).sum() >= len(set(a.tolist()) & set(b.tolist()))
+    crowded = np.arange(300, dtype=np.uint64)  # all in the first cell
+    assert simhash.sketched(crowded)["sketch"] is None
+    (i, j), (p, q) = simhash.table_of(pa.array([None, x["sketch"]]))
+    assert simhash.may_be_similar(i[None], np.array([p]), np.array([300]), j[None], np.array([q]), np.array([4])).all()
 
 
 # --- line dedup ---------------------------------------------------------------------------------
