@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from .shared import Kept, drop_made, made_once, stored, table, text_batches
 
 #: Pieces of one length that are ranked together, about; a common length has as many parts as it takes.
-TOGETHER = 100_000
+TOGETHER = 1_000
 
 
 class WordIds:
