@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
-Vectors are dealt to shards by their norm, in bands within a factor of two, and within a band by
+Vectors are dealt to shards by their norm, in bands within a factor of two (about 1, as of unit vectors, lies in the middle of one), and within a band by
 the hash of their content, so that a few very long vectors don't bend the graph of the others and
 copies of one vector come together as one node. Each shard gets a directed graph: points are
 inserted in batches; greedy searches from the middle propose neighbours, and robust pruning keeps
@@ -161,15 +161,19 @@ class Shard:
         most = np.abs(x).max()
         scaled = x / most
         self.graph = Graph(scaled / np.sqrt((scaled**2).sum(axis=1).max())) if len(x) > SCANNED else None
-        self.block = int(max(1, min(BLOCK, CELLS // max(1, len(x)))))
+        self.block = int(max(1, min(BLOCK, CELLS // 8 // max(1, len(x)))))
 
     def search(self, q: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of each query the nodes among the k best found, and their inner products in double precision."""
+        """Of each query the nodes among the k best found, and their inner products in double precision.
+
+        The beam is wider in larger shards: by twice the root of the number of nodes.
+        """
+        beam = max(beam, k, int(2 * len(self.x) ** 0.5))
         for part in (q[a : a + self.block] for a in range(0, len(q), self.block)):
             if self.graph:
                 unit = part / np.abs(part).max(axis=1)[:, None]
                 unit = unit / np.sqrt((unit**2).sum(axis=1))[:, None]
-                found, _ = self.graph.search(np.concatenate([unit, np.zeros((len(unit), 1))], axis=1).astype(np.float32), max(beam, k))
+                found, _ = self.graph.search(np.concatenate([unit, np.zeros((len(unit), 1))], axis=1).astype(np.float32), beam)
             else:
                 found = np.broadcast_to(np.arange(len(self.x)), (len(part), len(self.x)))
             for row, ids in zip(part, found, strict=True):
@@ -197,7 +201,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHAR
     spark = vectors.sparkSession
     rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
-    rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("band", F.floor(log_norm(F.col("v"))).cast("int")), "vectors")
+    rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("band", F.floor(log_norm(F.col("v")) + 0.5).cast("int")), "vectors")
     sizes = {r.band: r.n for r in rows.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row for each power of two of a double at most
     size = min(shard, max(least, -(-sum(sizes.values()) // spark.sparkContext.defaultParallelism)))
     first, shards = [], 0
