@@ -40,41 +40,55 @@ ORDER = 7
 DISCOUNT = 0.75
 SAMPLE = 1200
 MIXED = 0.01  # the share of a toxic text's words that are its class's own
+CHUNK = 1 << 14  # words that are spelled at once
 SHORT = 10  # words' worth of no evidence that every text has besides its own
 
 
-def top(spelled: Spelled) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every character but the starts: its place, its longest gram and that one's context."""
+def top(spelled: Spelled) -> tuple[np.ndarray, ...]:
+    """Of every character but the starts: its place, its longest gram, that one's context, its gram
+    without the first character, and how long that is."""
     at = np.flatnonzero(spelled.place > 0).astype(np.int32)
     n = np.minimum(spelled.place[at] + 1, ORDER).astype(np.int8)
-    gram, context = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    gram, context, rest = (np.zeros(len(at), np.uint64) for _ in range(3))
     for k, (shorter, grams) in enumerate(spelled.grams(ORDER), 1):
         here = n == k
-        gram[here], context[here] = grams[at[here]], shorter[at[here] - 1]
-    return at, gram, context
-
-
-def backed_off(spelled: Spelled, wanted: np.ndarray) -> np.ndarray:
-    """At the wanted places: the chance of the character after the ones that its longest gram has
-    but the first, by continuation counts (how many different characters a gram follows) of all words."""
-    chance = np.full(len(spelled.codes), 1.0 / max(1, len(np.unique(spelled.codes))))
-    out, order = np.zeros(len(wanted)), np.minimum(spelled.place[wanted], ORDER - 1)
-    before = None
-    for k, (shorter, grams) in enumerate(spelled.grams(ORDER)):  # grams of k + 1 characters, of which k are the shorter gram
-        if k:
-            at = np.flatnonzero(spelled.place >= k).astype(np.int32)
-            _, longer = np.unique(grams[at], return_index=True)
-            gram, one = np.unique(shorter[at][longer], return_inverse=True)
-            follows = np.bincount(one, minlength=len(gram))
-            place = np.zeros(len(gram), np.int64)
-            place[one] = at[longer]
-            _, context = np.unique(before[place - 1], return_inverse=True)
-            total, kinds = np.bincount(context, follows)[context], np.bincount(context)[context]
-            found = np.maximum(follows - DISCOUNT, 0) / total + DISCOUNT * kinds / total * chance[place]
-            chance[at] = found[np.searchsorted(gram, shorter[at])]
-            here = order == k
-            out[here] = chance[wanted[here]]
-        before = shorter
+        gram[here], context[here], rest[here] = grams[at[here]], shorter[at[here] - 1], shorter[at[here]]
+    return at, gram, context, rest, n - 1
+
+
+class Merged:
+    """Different keys, each with the columns of its first row and the sums of its weights."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.columns: list[np.ndarray] = []
+        self.sums: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, columns: list[np.ndarray], weights: list[np.ndarray]) -> None:
+        every, first, one = np.unique(np.concatenate([self.keys, keys]), return_index=True, return_inverse=True)
+        old = self.columns or [c[:0] for c in columns]
+        self.columns = [np.concatenate([x, y])[first] for x, y in zip(old, columns, strict=True)]
+        sums = self.sums or [np.zeros(0) for _ in weights]
+        self.sums = [np.bincount(one, np.concatenate([x, y]), len(every)) for x, y in zip(sums, weights, strict=True)]
+        self.keys = every
+
+
+def shared_chances(longer: list[Merged], base: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length from 0: grams and the chance of their last character after the others, by continuation
+    counts (how many different characters a gram follows) of all words.
+
+    longer[k]: the different grams of k + 1 characters, with the last k, those but the last of
+    these, and the last k - 1.
+    """
+    out = [(np.zeros(1, np.uint64), np.full(1, base))]
+    for k in range(1, ORDER):
+        rest, context, shorter = longer[k].columns
+        gram, first, one = np.unique(rest, return_index=True, return_inverse=True)
+        follows = np.bincount(one, minlength=len(gram))
+        _, of = np.unique(context[first], return_inverse=True)
+        total, kinds = np.bincount(of, follows)[of], np.bincount(of)[of]
+        before = found_in(*out[k - 1], shorter[first])[0]
+        out.append((gram, np.maximum(follows - DISCOUNT, 0) / total + DISCOUNT * kinds / total * before))
     return out
 
 
@@ -92,7 +106,7 @@ class Evidence:
         if not found:
             return np.zeros(0)
         spelled = Spelled(found)
-        at, gram, context = top(spelled)
+        at, gram, context, _, _ = top(spelled)
         value, there = found_in(self.grams, self.of_gram, gram)
         back, known = found_in(self.contexts, self.of_context, context)
         ratio = np.bincount(spelled.word[at], np.where(there, value, np.where(known, back, 0.0)), len(found))
@@ -107,18 +121,34 @@ def class_chances(n: np.ndarray, context: np.ndarray, shared: np.ndarray) -> tup
 
 
 def evidence(found: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Evidence:
-    """From different words and how often each class has them."""
+    """From different words and how often each class has them; so many are spelled at once."""
     there = np.flatnonzero((toxic + ordinary) > 0)
     if not len(there):
         return Evidence(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint64, np.float32)))
-    spelled = Spelled([found[k] for k in there])
-    at, gram, context = top(spelled)
-    grams, first, one = np.unique(gram, return_index=True, return_inverse=True)
-    contexts, of = np.unique(context[first], return_inverse=True)
-    del gram, context
-    behind = backed_off(spelled, at[first])
-    (a, wa), (b, wb) = (class_chances(np.bincount(one, n[there][spelled.word[at]], len(grams)), of, behind) for n in (toxic, ordinary))
-    return Evidence(grams, np.log(a / b).astype(np.float32), contexts, np.log(wa / wb).astype(np.float32))
+    tops, longer, characters = Merged(), [Merged() for _ in range(ORDER)], np.zeros(0, np.uint64)
+    for start in range(0, len(there), CHUNK):
+        part = there[start : start + CHUNK]
+        spelled = Spelled([found[k] for k in part])
+        characters = np.union1d(characters, spelled.codes)
+        at, gram, context, rest, n = top(spelled)
+        word = part[spelled.word[at]]
+        tops.add(gram, [context, rest, n], [toxic[word], ordinary[word]])
+        before = None
+        for k, (shorter, grams) in enumerate(spelled.grams(ORDER)):  # grams of k + 1 characters
+            if k:
+                at = np.flatnonzero(spelled.place >= k)
+                _, first = np.unique(grams[at], return_index=True)
+                at = at[first]
+                longer[k].add(grams[at], [shorter[at], before[at - 1], before[at]], [])
+            before = shorter
+    chances = shared_chances(longer, 1.0 / len(characters))
+    contexts, of = np.unique(tops.columns[0], return_inverse=True)
+    behind = np.zeros(len(tops.keys))
+    for k in range(1, ORDER):
+        here = tops.columns[2] == k
+        behind[here] = found_in(*chances[k], tops.columns[1][here])[0]
+    (a, wa), (b, wb) = (class_chances(n, of, behind) for n in tops.sums)
+    return Evidence(tops.keys, np.log(a / b).astype(np.float32), contexts, np.log(wa / wb).astype(np.float32))
 
 
 @dataclass
@@ -135,8 +165,8 @@ class Model:
         if len(self.kept) + len(new) > most:
             self.kept.clear()
             new = list({w for ws in every for w in ws})
-        for k in range(0, len(new), 1 << 14):
-            part = new[k : k + (1 << 14)]
+        for k in range(0, len(new), CHUNK):
+            part = new[k : k + CHUNK]
             self.kept.update(zip(part, self.evidence.of(part).tolist(), strict=True))
         get = self.kept.__getitem__
         return [sum(map(get, ws)) / (len(ws) + SHORT) for ws in every]
