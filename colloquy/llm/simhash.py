@@ -22,6 +22,7 @@ result; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import let_go, sized, stored, table, text_batches
+from .shared import forget, let_go, sized, stored, stored_since, table, text_batches
 
 #: Records of a block that one task compares with each other or with as many others.
 PART = 2048
@@ -211,8 +212,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, shingle: int = 4, seed: int = 4
     return rows.join(sized(found), "id").select("doc_id", F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Documents of the sample in which common shingles are counted, and the most shingles held as common.
-SAMPLED, COMMON = 20_000, 200_000
+#: Documents of the sample in which words and common shingles are counted, and the most of each that are held.
+SAMPLED, COMMON, KNOWN = 20_000, 200_000, 50_000
 
 
 #: Parts by hash of which a sketch counts a set's members.
@@ -244,72 +245,173 @@ def _ruled_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
         keep = may_be_similar(*table_of(batch.column(4)), n.astype(np.int64), *table_of(batch.column(5)), m.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, n, m)], names=["a", "b", "n_a", "n_b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b)], names=["a", "b"])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+class Order:
+    """An order of all shingles, the same for each text: first those whose words are rare in a sample,
+    common shingles of the sample last. It only says which shingles are tried first."""
+
+    #: Halvings of a word's share that count at most; a word that the sample hasn't has one more.
+    MOST = 24
+
+    def __init__(self, words: dict[bytes, int], common: np.ndarray) -> None:
+        total = sum(words.values())
+        self.rare = {w: min(self.MOST, int(np.log2(total / n))) for w, n in words.items()}
+        self.common = common
+
+    def prefix(self, text: str | None, h: np.ndarray, shingle: int) -> np.ndarray:
+        """Of the shingles' hashes those of which two sets of Jaccard similarity 0.8 share one: of
+        n different ones in order the first n - ceil(0.8 n) + 1 can't all be missing from a set
+        that has 0.8 n of them."""
+        if not len(h):
+            return h
+        rare = np.array([self.rare.get(w, self.MOST + 1) for w in (text or "").encode().lower().split()], np.int64)
+        total = np.concatenate([[0], np.cumsum(rare)])
+        weight = total[shingle:] - total[:-shingle] if len(rare) > shingle else total[-1:]
+        keys, first = np.unique(h, return_index=True)
+        late = np.zeros(len(keys), bool)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, keys), len(self.common) - 1)
+            late = self.common[at] == keys
+        return keys[np.lexsort((keys, -weight[first], late))[: len(keys) - -(-4 * len(keys) // 5) + 1]]
+
+
+def order_of(docs: DataFrame, shingle: int, seed: int, text_col: str) -> Order:
+    """The order by a bounded sample of the texts."""
+    share = min(1.0, SAMPLED / max(1, docs.count()))
+    text = docs.select(F.col(text_col).alias("text"))
+    text = text.filter(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) < share * (1 << 30))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                seen.update((t or "").encode().lower().split())
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t, shingle, seed)).view(np.int64))], names=["key"])
+
+    words = text.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = {bytes(r.word): r.n for r in words.orderBy(F.desc("n"), "word").limit(KNOWN).collect()}
+    counts = text.mapInArrow(hashed, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    common = counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()
+    return Order(words, np.sort(common.key.to_numpy(np.int64).view(np.uint64)))
+
+
+def set_id(h: np.ndarray, seed: int) -> int:
+    """A hash of a set of hashes in unsigned order."""
+    return _signed(xxhash.xxh64_intdigest(h.tobytes(), seed))
 
 
-def shingles(text: Column, shingle: int, seed: int) -> Column:
-    """struct<set, sketch>: the different shingles' hashes, in unsigned order, and their sketch."""
+def judged(text: Column, order: Order, shingle: int, seed: int) -> Column:
+    """struct<id, n, sketch, prefix>: a hash of the set of shingles, its size and sketch, and the
+    shingles of which similar sets share one."""
+    shipped = SparkSession.getActiveSession().sparkContext.broadcast(order)
 
-    @F.pandas_udf("set array<bigint>, sketch binary")
+    @F.pandas_udf("id bigint, n int, sketch binary, prefix array<bigint>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def row(t: str | None) -> dict:
+            h = hashes(t, shingle, seed)
+            one = sketched(h)
+            kept = {"id": set_id(one["set"], seed), "n": len(one["set"]), "sketch": one["sketch"]}
+            return kept | {"prefix": shipped.value.prefix(t, h, shingle).view(np.int64)}
+
         for texts in batches:
-            yield pd.DataFrame([sketched(hashes(t, shingle, seed)) for t in texts], columns=["set", "sketch"])
+            yield pd.DataFrame([row(t) for t in texts], columns=["id", "n", "sketch", "prefix"])
         let_go()
 
     return found(text)
 
 
-def common_shingles(rows: DataFrame) -> np.ndarray:
-    """Shingles that several documents of a bounded sample have, sorted. They only set an order."""
-    share = min(1.0, SAMPLED / max(1, rows.count()))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < share * (1 << 30))
-    counts = sample.select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "key").limit(COMMON).select("key").toPandas()
-    return np.sort(found.key.to_numpy(np.int64))
+def odd_cells(h: np.ndarray) -> bytes:
+    """A bit for each of two to four times as many cells as hashes, eight at least: whether it has an odd number of them."""
+    cells = 1 << max(7, 2 * len(h) - 1).bit_length()
+    counts = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits(counts & 1 == 1, bitorder="little").tobytes()
 
 
-def prefix_keys(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """id, n (size of the set), key: the shingles of which two sets of Jaccard similarity 0.8 share one.
+def differ_at_least(x: bytes, y: bytes) -> int:
+    """A number of members that are in one of two sets only, of whose odd cells each changes one at most."""
+    one, two = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(two) > len(one):
+        two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
 
-    One order holds for all sets, the common shingles last: of n shingles the first
-    n - ceil(0.8 n) + 1 can't all be missing from a set that has 0.8 n of them.
-    """
-    shipped = rows.sparkSession.sparkContext.broadcast(common)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sets_of(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """id, n, set, odd of each text: the different shingles' hashes, in unsigned order, and their odd cells."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = batch.column(0).to_numpy(), batch.column(1)
-            cuts, values = sets.offsets.to_numpy(), sets.values.to_numpy()
-            last = np.zeros(len(values), bool)
-            if len(shipped.value):
-                at = np.searchsorted(shipped.value, values)
-                last = shipped.value[np.minimum(at, len(shipped.value) - 1)] == values
-            n = np.diff(cuts).astype(np.int64)
-            take = np.where(n > 0, n - -(-4 * n // 5) + 1, 0)
-            out = [values[:0]]
-            for a, b, t in zip(cuts, cuts[1:], take, strict=False):
-                one, late = values[a:b], last[a:b]
-                out.append(np.concatenate([one[~late], one[late]])[:t] if late.any() else one[:t])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take)), pa.array(np.repeat(n, take)), pa.array(np.concatenate(out))], names=["id", "n", "key"])
-
-    return rows.select("id", "set").mapInArrow(keys, "id long, n long, key long")
-
-
-def similar(pairs: DataFrame, rows: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of stored pairs a, b those whose sets have a Jaccard similarity of 0.8 at least.
-
-    Only the sets of pairs that their sketches don't rule out are fetched.
+            for k in range(0, len(batch), 100):
+                sets = [np.unique(hashes(t, shingle, seed)) for t in batch.column(0)[k : k + 100].to_pylist()]
+                sizes = [len(x) for x in sets]
+                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                ids = [set_id(x, seed) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), flat, pa.array([odd_cells(x) for x in sets], pa.binary())], names=["id", "n", "set", "odd"])
+        let_go()
+
+    return texts.mapInArrow(found, "id long, n int, set array<long>, odd binary")
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs a, b, n_a, n_b, odd_a, odd_b those that may be similar: of sets that are, at most a ninth of both sizes differs."""
+    for batch in batches:
+        cols = batch.to_pydict()
+        keep = [9 * differ_at_least(x, y) <= n + m for n, m, x, y in zip(cols["n_a"], cols["n_b"], cols["odd_a"], cols["odd_b"], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+class Similar:
+    """Which pairs have sets with a Jaccard similarity of 0.8 at least.
+
+    Only sketches are stored of all. Sets are made anew from the texts of pairs that their sketches
+    don't rule out, and travel only with pairs that their odd cells don't rule out either.
     """
-    side = lambda table, c, *cols: table.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
-    enough = lambda both: 9 * both >= 4 * (F.col("n_a") + F.col("n_b"))
-    met = side(sketches, "a", "n", "sketch").join(sized(pairs), "a").join(side(sketches, "b", "n", "sketch"), "b")
-    left = met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_ruled_in, "a long, b long, n_a int, n_b int")
-    left = stored(left, "pairs-near")
-    ids = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = stored(ids.join(classes, "id").select("row"), "rows-near")
-    sets = rows.join(sized(wanted), "row", "left_semi").select("id", "set")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return side(sets, "a", "set").join(sized(left), "a").join(side(sets, "b", "set"), "b").filter(enough(both)).select("a", "b")
+
+    def __init__(self, docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, seed: int, text_col: str) -> None:
+        self.texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        self.rows, self.classes, self.shingle, self.seed = rows, classes, shingle, seed
+
+    def sketches(self, ids: DataFrame) -> DataFrame:
+        """id, n, sketch of each of these ids."""
+        ids = stored(ids.distinct(), "sketched")
+        return stored(self.rows.join(sized(ids), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]), "sketches")
+
+    def near(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Of stored pairs a, b those that sketches, which has all their ids, doesn't rule out."""
+        met = _side(sketches, "a", "n", "sketch").join(sized(pairs), "a").join(_side(sketches, "b", "n", "sketch"), "b")
+        return stored(met.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_ruled_in, "a long, b long"), "pairs-near")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of stored pairs a, b those that are similar."""
+        mark = len(stored_since())
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = stored(ids.join(self.classes, "id").select("text_hash").distinct(), "texts-near")
+        texts = self.texts.join(sized(wanted), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+        sets = stored(sets_of(texts.select("text"), self.shingle, self.seed), "sets-near")
+        met = _side(sets, "a", "n", "odd").join(sized(pairs), "a").join(_side(sets, "b", "n", "odd"), "b")
+        close = stored(met.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(_close, "a long, b long"), "pairs-close")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        met = _side(sets, "a", "n", "set").join(sized(close), "a").join(_side(sets, "b", "n", "set"), "b")
+        found = met.filter(9 * both >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        past = stored_since(mark)
+        found = stored(found, "links-near")
+        forget(pairs.sparkSession, past)
+        return found
+
+
+def _side(table: DataFrame, c: str, *cols: str) -> DataFrame:
+    """Columns of one side of pairs: its id as c, others with _c."""
+    return table.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols))
 
 
 def _fit(x: str | Column, y: str | Column) -> Column:
@@ -318,24 +420,23 @@ def _fit(x: str | Column, y: str | Column) -> Column:
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
-def similar_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges a, b that connect all ids whose sets are similar. rows: row (unique), id, n, set,
-    sketch; classes: id, row, n, one row of each id, whose set all its rows have.
+def similar_links(rows: DataFrame, classes: DataFrame, similar: Similar) -> DataFrame:
+    """Edges a, b that connect all ids whose sets are similar. rows: id, n, prefix, sketch;
+    classes: id, n, text_hash, one row of each id.
 
-    Each member of a block first meets the block's least one. Pairs that these links leave in
-    different components are then met all, so that no link is lost and a dense group doesn't
-    give all its pairs.
+    Each member of a block of one shingle of the prefixes first meets the block's least one. Pairs
+    that these links leave in different components are then met all, so that no link is lost and a
+    dense group doesn't give all its pairs.
     """
-    keyed = prefix_keys(rows, common_shingles(rows))
+    keyed = rows.select("id", "n", F.explode("prefix").alias("key"))
     crowds = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key", "a")
     crowds = stored(crowds, "shingle-crowds")
     shared = stored(keyed.join(sized(crowds, crowds.count() // 3), "key").select("key", "id", "n", "a").distinct(), "shingle-keys")  # 24 bytes a row
-    met = stored(shared.select("id").distinct().join(classes, "id").select("row"), "shingle-met")
-    sketches = stored(rows.join(sized(met), "row", "left_semi").select("id", "n", "sketch"), "sketches")
-    pairs = shared.filter("a <> id").select("a", "id", "n").distinct().join(sized(classes.select(F.col("id").alias("a"), F.col("n").alias("an"))), "a")
+    sketches = similar.sketches(shared.select("id"))
+    pairs = shared.filter("a <> id").select("a", "id", "n").distinct().join(sized(sketches.select(F.col("id").alias("a"), F.col("n").alias("an"))), "a")
     pairs = stored(pairs.filter(_fit("n", "an")).select("a", F.col("id").alias("b")), "star-pairs")
-    stars = stored(similar(pairs, rows, classes, sketches), "star-links")
-    roots = components(stars)
+    near = similar.links(similar.near(pairs, sketches))
+    roots = components(near)
     placed = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "a", F.coalesce("root", "id").alias("root"))
     split = placed.filter("id <> a").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y")
     split = split.select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
@@ -345,7 +446,7 @@ def similar_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     left = left.join(sized(sketches.select("id", "sketch")), "id")
     cells = left.select("id", "n", "root", "sketch", "key", F.explode(others).alias("c")).select(F.xxhash64("key", "c.x", "c.y").alias("cell"), "id", "n", "root", "sketch")
     rest = stored(cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_parted, "a long, b long").distinct(), "pairs-left")
-    return stars.union(similar(rest, rows, classes, sketches))
+    return near.union(similar.links(rest))
 
 
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,11 +486,13 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, i
     every link is verified.
     """
     text_batches(docs.sparkSession)
-    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), shingles(F.col(text_col), shingle, seed).alias("s"))
-    found = found.select("doc_id", "text_hash", "s.set", "s.sketch").withColumn("id", F.xxhash64("set")).withColumn("n", F.size("set"))
-    rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "shingles")
-    classes = stored(rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.min("n").alias("n")), "shingle-classes")
-    found = component_of(classes.select("id", "doc_id"), components(similar_links(rows, classes.select("id", "row", "n"))))
+    order = order_of(docs, shingle, seed, text_col)
+    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), judged(F.col(text_col), order, shingle, seed).alias("j"))
+    rows = stored(found.select("doc_id", "text_hash", "j.*"), "shingles")
+    classes = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.min("n").alias("n"))
+    classes = stored(classes, "shingle-classes")
+    similar = Similar(docs, rows, classes, shingle, seed, text_col)
+    found = component_of(classes.select("id", "doc_id"), components(similar_links(rows, classes, similar)))
     gone = rows.select("id", "doc_id", "text_hash").join(sized(found), "id")
     gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id"), F.col("text_hash").alias("__sim_hash")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.xxhash64(F.col(text_col)) == F.col("__sim_hash"))

@@ -209,6 +209,50 @@ def test_sketches_bound_what_sets_share():
     assert simhash.may_be_similar(i[None], np.array([p]), np.array([300]), j[None], np.array([q]), np.array([4])).all()
 
 
+def test_odd_cells_bound_what_sets_differ_by():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        pool = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 3000))) for _ in range(2))
+        assert simhash.differ_at_least(simhash.odd_cells(a), simhash.odd_cells(b)) <= len(np.setxor1d(a, b))
+    for n, m in ((4000, 4000), (3900, 4700), (0, 1), (1, 2), (2, 3), (3, 5), (8, 9)):  # none shared but two
+        a, b = (np.sort(rng.integers(0, 2**64, k, dtype=np.uint64)) for k in (n, m))
+        a[:2] = b[: len(a[:2])] if n > 2 else a[:2]
+        far = len(np.setxor1d(a, b))
+        assert far // 3 <= simhash.differ_at_least(simhash.odd_cells(a), simhash.odd_cells(b)) <= far
+    assert simhash.differ_at_least(simhash.odd_cells(a), simhash.odd_cells(a)) == 0
+
+
+def spied(monkeypatch):
+    """Labels and row counts of the tables that near copies store."""
+    seen, real = [], simhash.stored
+
+    def counted(df, label):
+        out = real(df, label)
+        seen.append((label, out.count(), out.columns))
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    return seen
+
+
+def test_sets_are_not_stored_and_travel_with_no_pair_of_unlike_long_texts(spark, monkeypatch):
+    seen = spied(monkeypatch)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    monkeypatch.setattr(simhash, "KNOWN", 0)  # no word counts as rarer than another
+    parts = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    docs = [(k, " ".join([word() for _ in range(6000)] + [parts[k // 2]])) for k in range(6)]  # too long for sketches to tell apart
+    docs.append((6, docs[0][1] + " " + word()))
+    kept = simhash.without_near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(6))
+    rows = {}
+    for label, n, columns in seen:
+        rows[label] = rows.get(label, 0) + n
+        assert "set" not in columns or label == "sets-near", label
+    assert rows["pairs-near"] + rows["pairs-left"] > 2 and rows["pairs-close"] == 1
+
+
 # --- line dedup ---------------------------------------------------------------------------------
 
 
