@@ -312,20 +312,20 @@ def set_id(h: np.ndarray, seed: int) -> int:
 
 
 def judged(text: Column, order: Order, shingle: int, seed: int) -> Column:
-    """struct<id, n, sketch, prefix>: a hash of the set of shingles, its size and sketch, and the
-    shingles of which similar sets share one."""
+    """struct<id, n, sketch, print, prefix>: a hash of the set of shingles, its size and sketch, the
+    fingerprint, and the shingles of which similar sets share one."""
     shipped = SparkSession.getActiveSession().sparkContext.broadcast(order)
 
-    @F.pandas_udf("id bigint, n int, sketch binary, prefix array<bigint>")
+    @F.pandas_udf("id bigint, n int, sketch binary, print bigint, prefix array<bigint>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def row(t: str | None) -> dict:
             h = hashes(t, shingle, seed)
             one = sketched(h)
             kept = {"id": set_id(one["set"], seed), "n": len(one["set"]), "sketch": one["sketch"]}
-            return kept | {"prefix": shipped.value.prefix(t, h, shingle).view(np.int64)}
+            return kept | {"print": fingerprint(h), "prefix": shipped.value.prefix(t, h, shingle).view(np.int64)}
 
         for texts in batches:
-            yield pd.DataFrame([row(t) for t in texts], columns=["id", "n", "sketch", "prefix"])
+            yield pd.DataFrame([row(t) for t in texts], columns=["id", "n", "sketch", "print", "prefix"])
         let_go()
 
     return found(text)
@@ -420,24 +420,39 @@ def _fit(x: str | Column, y: str | Column) -> Column:
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
-def similar_links(rows: DataFrame, classes: DataFrame, similar: Similar) -> DataFrame:
+def printed_links(classes: DataFrame, similar: Similar, ring: Ring) -> DataFrame:
+    """Edges a, b between similar ids that the search by fingerprints finds: those of one
+    fingerprint with its least id, and the least ids of fingerprints that link."""
+    least = stored(classes.groupBy("print").agg(F.min("id").alias("a")), "prints")
+    edges = stored(links(least.select(F.col("print").alias("id")), ring), "print-links")
+    same = classes.join(sized(least), "print").filter("id <> a").select("a", F.col("id").alias("b"))
+    end = lambda c, of: least.select(F.col("print").alias(c), F.col("a").alias(of))
+    near = end("a", "x").join(sized(edges), "a").join(end("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = stored(same.union(near).distinct(), "print-pairs")
+    return similar.links(similar.near(pairs, similar.sketches(pairs.select(F.explode(F.array("a", "b")).alias("id")))))
+
+
+def similar_links(rows: DataFrame, classes: DataFrame, similar: Similar, ring: Ring) -> DataFrame:
     """Edges a, b that connect all ids whose sets are similar. rows: id, n, prefix, sketch;
-    classes: id, n, text_hash, one row of each id.
+    classes: id, n, print, text_hash, one row of each id.
 
-    Each member of a block of one shingle of the prefixes first meets the block's least one. Pairs
-    that these links leave in different components are then met all, so that no link is lost and a
-    dense group doesn't give all its pairs.
+    Fingerprints find the closest first. Blocks of one shingle of the prefixes in which these
+    links leave different components then give the rest: each member first meets the least
+    component's least id, and pairs that are still in different components are met all, so that
+    no link is lost and a dense group doesn't give all its pairs.
     """
-    keyed = rows.select("id", "n", F.explode("prefix").alias("key"))
-    crowds = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key", "a")
+    near = printed_links(classes, similar, ring)
+    roots = stored(components(near), "print-roots")
+    keyed = rows.join(sized(roots), F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.explode("prefix").alias("key"))
+    crowds = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key", "a")
     crowds = stored(crowds, "shingle-crowds")
-    shared = stored(keyed.join(sized(crowds, crowds.count() // 3), "key").select("key", "id", "n", "a").distinct(), "shingle-keys")  # 24 bytes a row
-    sketches = similar.sketches(shared.select("id"))
-    pairs = shared.filter("a <> id").select("a", "id", "n").distinct().join(sized(sketches.select(F.col("id").alias("a"), F.col("n").alias("an"))), "a")
+    shared = stored(keyed.join(sized(crowds, crowds.count() // 3), "key").select("key", "id", "n", "root", "a").distinct(), "shingle-keys")  # 24 bytes a row
+    sketches = similar.sketches(shared.select("id").union(shared.select("a")))
+    pairs = shared.filter("a <> root").select("a", "id", "n").distinct().join(sized(sketches.select(F.col("id").alias("a"), F.col("n").alias("an"))), "a")
     pairs = stored(pairs.filter(_fit("n", "an")).select("a", F.col("id").alias("b")), "star-pairs")
-    near = similar.links(similar.near(pairs, sketches))
+    near = near.union(similar.links(similar.near(pairs, sketches)))
     roots = components(near)
-    placed = shared.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "a", F.coalesce("root", "id").alias("root"))
+    placed = shared.drop("root").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "a", F.coalesce("root", "id").alias("root"))
     split = placed.filter("id <> a").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y")
     split = split.select("key", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     left = placed.filter("id <> a").join(split, "key")
@@ -478,21 +493,22 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(held)
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
     """docs with one document of each group of near copies, that with the smallest id.
 
     Rows of one id and text are one document. Documents link if the Jaccard similarity of their
-    shingles is 0.8 at least; candidates come from prefixes of the shingles, which lose none, and
-    every link is verified.
+    shingles is 0.8 at least. The search by fingerprints within k bits, with its pigeonring filter,
+    connects the closest; what it can't find comes from prefixes of the shingles, which lose no
+    link. Every link is verified.
     """
     text_batches(docs.sparkSession)
     order = order_of(docs, shingle, seed, text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), judged(F.col(text_col), order, shingle, seed).alias("j"))
     rows = stored(found.select("doc_id", "text_hash", "j.*"), "shingles")
-    classes = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.min("n").alias("n"))
+    classes = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("print").alias("print"))
     classes = stored(classes, "shingle-classes")
     similar = Similar(docs, rows, classes, shingle, seed, text_col)
-    found = component_of(classes.select("id", "doc_id"), components(similar_links(rows, classes, similar)))
+    found = component_of(classes.select("id", "doc_id"), components(similar_links(rows, classes, similar, Ring(k))))
     gone = rows.select("id", "doc_id", "text_hash").join(sized(found), "id")
     gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__sim_id"), F.col("text_hash").alias("__sim_hash")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.xxhash64(F.col(text_col)) == F.col("__sim_hash"))

@@ -71,7 +71,7 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group."""
+    """Keeps one document of each group, by fingerprints and the pigeonring first, then by prefixes for what these can't find."""
     return simhash.without_near_duplicates(docs)
 
 

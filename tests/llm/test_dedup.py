@@ -253,6 +253,28 @@ def test_sets_are_not_stored_and_travel_with_no_pair_of_unlike_long_texts(spark,
     assert rows["pairs-near"] + rows["pairs-left"] > 2 and rows["pairs-close"] == 1
 
 
+def test_fingerprints_find_the_closest_copies_before_any_block_of_shingles(spark, monkeypatch):
+    seen = spied(monkeypatch)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    docs = []
+    for g in range(8):
+        words = [word() for _ in range(1500)]
+        docs += [(g * 10 + c, " ".join([*words, *[word()] * c])) for c in range(3)]
+    fps = {d: simhash.fingerprint(simhash.hashes(t, 5, 42)) for d, t in docs}
+    near = [(x, y) for x in fps for y in fps if x // 10 == y // 10 and x < y and bin(fps[x] ^ fps[y]).count("1") <= 4]
+    assert len(near) == 24
+    kept = simhash.without_near_duplicates(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted(r.doc_id for r in kept) == [g * 10 for g in range(8)]
+    labels = [label for label, _, _ in seen]
+    assert labels.index("print-links") < labels.index("links-near") < labels.index("shingle-crowds")
+    assert dict((label, n) for label, n, _ in seen)["shingle-crowds"] == 0  # nothing is left for prefixes
+    # fingerprints that link without similar sets are no copies
+    short = [(1, "a b c d e f"), (2, "a b c d e g")]
+    monkeypatch.setattr(simhash, "fingerprint", lambda h: 7)
+    assert simhash.without_near_duplicates(spark.createDataFrame(short, DOCS)).count() == 2
+
+
 # --- line dedup ---------------------------------------------------------------------------------
 
 
