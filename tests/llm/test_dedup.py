@@ -253,6 +253,26 @@ def test_sets_are_not_stored_and_travel_with_no_pair_of_unlike_long_texts(spark,
     assert rows["pairs-near"] + rows["pairs-left"] > 2 and rows["pairs-close"] == 1
 
 
+def test_workers_hand_over_a_fifth_of_the_shingles_in_one_order():
+    rng = random.Random(14)
+    often, seldom = [f"o{k}" for k in range(40)], [f"s{k}" for k in range(4000)]
+    order = simhash.Order({w.encode(): 5000 for w in often}, np.zeros(0, np.uint64))
+    words = [rng.choice(often) for _ in range(400)] + seldom[:100]
+    text, other = " ".join(words), " ".join(words[200:] + words[:200])
+    h, g = simhash.hashes(text, 5, 42), simhash.hashes(other, 5, 42)
+    n = len(set(h.tolist()))
+    first = order.prefix(text, h, 5)
+    assert len(first) == n - -(-4 * n // 5) + 1
+    rare = simhash.hashes(" ".join(seldom[:100]), 5, 42)
+    assert len(set(first.tolist()) & set(rare.tolist())) == min(len(first), len(rare))
+    late = simhash.Order({w.encode(): 5000 for w in often}, np.sort(rare))
+    assert set(late.prefix(text, h, 5).tolist()).isdisjoint(rare.tolist())
+    shared = [x for x in first.tolist() if x in set(g.tolist())]  # of those in both, the same come first
+    found = [x for x in order.prefix(other, g, 5).tolist() if x in set(shared)]
+    assert len(found) > 90 and found == shared[: len(found)]
+    assert len(order.prefix(None, simhash.hashes(None, 5, 42), 5)) == 0 and len(order.prefix("a b", simhash.hashes("a b", 5, 42), 5)) == 1
+
+
 def test_fingerprints_find_the_closest_copies_before_any_block_of_shingles(spark, monkeypatch):
     seen = spied(monkeypatch)
     rng = random.Random(13)
