@@ -14,6 +14,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,9 +114,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     _STORED.append(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Gives native memory that the driver's JVM has freed back to the system; whether this JVM can.
+
+    Each plan's code is compiled on the driver. What the compilers free stays with the C library,
+    outside the heap, and adds up over plans.
+    """
+    jvm = spark._jvm
+    try:
+        # by reflection, as the server's own class isn't open to py4j
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:  # another JVM or C library
+        return False
+    return True
+
+
 def stored_since(mark: int = 0) -> list[str]:
     """The paths of tables that this process stored and hasn't removed, from a number of them on."""
     return _STORED[mark:]

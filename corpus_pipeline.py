@@ -10,7 +10,7 @@ judged alike, and a near copy with its own id goes while both rows of the one th
 empty table gives an empty result; names that begin with `__` are the stages' own.
 
 Each stage reads what the one before has written, so it begins by removing the tables that the
-one before had stored on its way.
+one before had stored on its way, and by giving back memory that the driver no longer needs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import langid, line_dedup, packing, simhash, toxicity
-from colloquy.llm.shared import forget, shared_dir, stored_since, table
+from colloquy.llm.shared import forget, shared_dir, stored_since, table, trim_driver
 
 #: A text is kept if words of its main language, likely ones in its scripts, have this share of its letters at least.
 LANGUAGE_SHARE = 0.3
@@ -38,6 +38,7 @@ def stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         forget(spark, list(_LEFT))
+        trim_driver(spark)
         mark = len(stored_since())
         out = f(spark, docs, sf_dir)
         _LEFT[:] = stored_since(mark)
