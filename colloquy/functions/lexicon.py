@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 from re import _parser as parser
 
@@ -139,6 +140,15 @@ PII = {
 PROFILES = {"general": GENERAL, "hpc": HPC}
 #: Case-insensitive in Unicode, `^` after \n alone, and Unicode classes.
 FLAGS = "(?imdU)"
+#: The same with RE2's classes, which the queries' SQL has: words, digits and spaces are of ASCII, but case is Unicode's.
+RE2_FLAGS = "(?imdu)"
+_RE2 = {
+    r"[\w\])]": r"[\p{L}\p{N}_\])]",  # before a parenthesis SQL looks for letters and digits of any script
+    r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))",  # the one of Java differs between its versions
+    r"\s": r"[\t\n\f\r ]",
+    r"\S": r"[^\t\n\f\r ]",
+    "(?i)": "(?iu)",
+}
 
 
 def profile(name: str) -> dict[str, list[str]]:
@@ -147,9 +157,20 @@ def profile(name: str) -> dict[str, list[str]]:
     return PROFILES[name]
 
 
-def pattern(name: str, family: str) -> str:
+def in_re2(p: str) -> str:
+    """A pattern in Java's dialect that takes what RE2 takes for the given one."""
+    # one look is enough beside a letter, but for s and k, whose other forms outside of ASCII match too
+    p = re.sub(r"(?i)\\b(?=[a-jl-rt-z0-9](?![?*{]))", r"(?<!\\w)", p)
+    p = re.sub(r"(?i)(?<=[a-jl-rt-z0-9])\\b", r"(?!\\w)", p)
+    for of_python, of_java in _RE2.items():
+        p = p.replace(of_python, of_java)
+    return p
+
+
+def pattern(name: str, family: str, re2: bool = False) -> str:
     """The family's pattern in Java's dialect."""
-    return FLAGS + "|".join(profile(name)[family])
+    p = "|".join(profile(name)[family])
+    return RE2_FLAGS + in_re2(p) if re2 else FLAGS + p
 
 
 def _needed(parsed) -> set[str] | None:

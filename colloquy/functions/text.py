@@ -1,4 +1,7 @@
-"""Text functions as column expressions; none runs Python on the executors."""
+"""Text functions as column expressions; none runs Python on the executors.
+
+Words, digits and spaces are of Unicode; with `re2`, those of RE2, in which the queries' SQL is written.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +18,7 @@ PREPROCESSOR = r"(?d)^#\s*(?:include|pragma|define|ifn?def|if|endif|else)\b"
 CODE_END = r"(?d)[;{}]\s*(?://.*)?$"
 CODE_PUNCTUATION = ";{}()[]=<>+*&|#_"
 # --- End of the fixed values ------------------------------------------------------------------
+RE2_LINE_ENDS = LINE_ENDS.replace("\u2028\u2029", "")  # as the SQL has them
 
 
 def text_of(content: Column) -> Column:
@@ -38,10 +42,19 @@ def count_where(content: Column, low: Column, pattern: str, needles: tuple[str,
     return F.when(F.exists(F.array(*map(F.lit, needles)), lambda x: F.contains(low, x)), count(content, pattern)).otherwise(F.lit(0).cast("long"))
 
 
-def family(content: Column, profile: str, name: str, low: Column | None = None) -> Column:
+def _dotless(content: Column) -> Column:
+    """Without the two letters that Java takes for an i and RE2 doesn't; no pattern tells the new one from those."""
+    return F.translate(content, "\u0130\u0131", "\u00ef\u00ef")
+
+
+def family(content: Column, profile: str, name: str, low: Column | None = None, re2: bool = False) -> Column:
     """Markers of a family. `low` is the folded content, a column of its own where many families are counted."""
     low = folded(content) if low is None else low
-    return count_where(content, low, lexicon.pattern(profile, name), lexicon.needles(tuple(lexicon.profile(profile)[name])))
+    return count_where(_dotless(content) if re2 else content, low, lexicon.pattern(profile, name, re2), lexicon.needles(tuple(lexicon.profile(profile)[name])))
+
+
+def digits(content: Column, re2: bool = False) -> Column:
+    return count(content, "[0-9]" if re2 else r"(?U)\d")
 
 
 def raw_tokens(content: Column) -> Column:
@@ -72,41 +85,43 @@ def bigram_overlap(student: Column, assistant: Column) -> Column:
     return F.when((F.size(student) == 0) | (F.size(assistant) == 0), F.lit(0.0)).otherwise(F.size(F.filter(student, lambda b: F.array_contains(assistant, b))) / F.size(student))
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+def strip(text: Column, re2: bool = False) -> Column:
+    return F.regexp_replace(text, lexicon.in_re2(r"^\s+|\s+\z") if re2 else r"(?U)^\s+|\s+$", "")
 
 
-def is_code_line(line: Column) -> Column:
-    s = strip(line)
+def is_code_line(line: Column, re2: bool = False) -> Column:
+    s = strip(line, re2)
+    preprocessor, end = (lexicon.in_re2(p) if re2 else p for p in (PREPROCESSOR, CODE_END))
     n = F.length(s)
     marks = n - F.length(F.translate(s, CODE_PUNCTUATION, ""))
     dense = (n >= 8) & (marks / n >= 0.12)
-    return F.when(n < 3, s.isin("{", "}", "};")).otherwise(s.rlike(PREPROCESSOR) | s.rlike(CODE_END) | F.coalesce(dense, F.lit(False)))
+    return F.when(n < 3, s.isin("{", "}", "};")).otherwise(s.rlike(preprocessor) | s.rlike(end) | F.coalesce(dense, F.lit(False)))
 
 
-def bare_code_chars(text: Column) -> Column:
+def bare_code_chars(text: Column, re2: bool = False) -> Column:
     """Characters in runs of two code lines or more, or in one of at least 40."""
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("first"))
     counted = lambda s: s["total"] + F.when((s["n"] >= 2) | ((s["n"] == 1) & (s["first"] >= 40)), s["chars"]).otherwise(0)
 
     def step(s: Column, line: Column) -> Column:
         size = F.length(line)
-        run = F.struct(s["total"].alias("total"), (s["n"] + 1).alias("n"), (s["chars"] + size).alias("chars"), F.when(s["n"] == 0, F.length(strip(line))).otherwise(s["first"]).alias("first"))
+        run = F.struct(s["total"].alias("total"), (s["n"] + 1).alias("n"), (s["chars"] + size).alias("chars"), F.when(s["n"] == 0, F.length(strip(line, re2))).otherwise(s["first"]).alias("first"))
         over = F.struct(counted(s).alias("total"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("first"))
-        return F.when(is_code_line(line), run).otherwise(over)
+        return F.when(is_code_line(line, re2), run).otherwise(over)
 
-    return F.aggregate(F.split(text, LINE_ENDS, -1), start, step, counted)
+    return F.aggregate(F.split(text, RE2_LINE_ENDS if re2 else LINE_ENDS, -1), start, step, counted)
 
 
-def context_chars(content: Column) -> Column:
+def context_chars(content: Column, re2: bool = False) -> Column:
     """Pasted context: fenced blocks; long paragraphs of turns without any; bare code otherwise."""
     c = text_of(content)
     blocks = F.regexp_extract_all(c, F.lit(FENCE), F.lit(0))
-    paragraphs = F.split(F.regexp_replace(c, FENCE, "\n"), r"\n(?U)\s*\n", -1)
-    of_paragraphs = F.transform(paragraphs, lambda p: F.when((F.length(p) > 300) & (F.size(blocks) == 0), F.length(p)).otherwise(bare_code_chars(p)))
+    paragraphs = F.split(F.regexp_replace(c, FENCE, "\n"), lexicon.in_re2(r"\n\s*\n") if re2 else r"\n(?U)\s*\n", -1)
+    of_paragraphs = F.transform(paragraphs, lambda p: F.when((F.length(p) > 300) & (F.size(blocks) == 0), F.length(p)).otherwise(bare_code_chars(p, re2)))
     return (F.length(F.array_join(blocks, "")) + F.aggregate(of_paragraphs, F.lit(0), lambda a, b: a + b)).cast("long")
 
 
-def pii_counts(content: Column, low: Column | None = None) -> dict[str, Column]:
+def pii_counts(content: Column, low: Column | None = None, re2: bool = False) -> dict[str, Column]:
     low = folded(content) if low is None else low
-    return {name: count_where(content, low, p, lexicon.needles((p,))) for name, p in lexicon.PII.items()}
+    of = _dotless(content) if re2 else content
+    return {name: count_where(of, low, lexicon.in_re2(p) if re2 else p, lexicon.needles((p,))) for name, p in lexicon.PII.items()}

@@ -37,8 +37,11 @@ def in_order(turns: DataFrame) -> DataFrame:
     return turns.filter(~F.col("role").eqNullSafe("system"))
 
 
-def turn_features(turns: DataFrame, profile: str = "general") -> DataFrame:
-    """Per turn: the counts of all families and what the session's windows need."""
+def turn_features(turns: DataFrame, profile: str = "general", re2: bool = False) -> DataFrame:
+    """Per turn: the counts of all families and what the session's windows need.
+
+    With `re2`, patterns take words, digits and spaces as RE2 does (`functions/text.py`).
+    """
     families = list(lexicon.profile(profile))
     user = F.col("role") == "user"
     rows = in_order(turns).withColumn("content", text.text_of(F.col("content")))
@@ -46,15 +49,15 @@ def turn_features(turns: DataFrame, profile: str = "general") -> DataFrame:
     rows = rows.withColumn("low", text.folded(F.col("content")))
     half = len(families) // 2
     for part in (families[:half], families[half:]):  # two projections keep generated methods small
-        rows = rows.select("*", *(F.when(user | F.lit(f == "ethics"), text.family(F.col("content"), profile, f, F.col("low"))).otherwise(0).alias(f"c_{f}") for f in part))
-    rows = rows.withColumn("pii", F.when(user, sum(text.pii_counts(F.col("content"), F.col("low")).values(), F.lit(0))).otherwise(0))
+        rows = rows.select("*", *(F.when(user | F.lit(f == "ethics"), text.family(F.col("content"), profile, f, F.col("low"), re2)).otherwise(0).alias(f"c_{f}") for f in part))
+    rows = rows.withColumn("pii", F.when(user, sum(text.pii_counts(F.col("content"), F.col("low"), re2).values(), F.lit(0))).otherwise(0))
     rows = rows.withColumn("raw", text.raw_tokens(F.col("content"))).withColumn("toks", F.transform("raw", F.lower)).drop("low")
     return rows.select(
         "*",
         F.size("toks").cast("long").alias("n_tok"),
         text.bigrams(F.col("toks")).alias("bi"),
         F.when(user, text.content_set(F.col("toks"))).alias("words"),
-        F.when(user, text.context_chars(F.col("content"))).otherwise(0).alias("ctx"),
+        F.when(user, text.context_chars(F.col("content"), re2)).otherwise(0).alias("ctx"),
     )
 
 
@@ -92,14 +95,14 @@ def windows(rows: DataFrame) -> DataFrame:
     ).join(near_earlier(rows), ["session_id", "turn"], "left")
 
 
-def session_features(turns: DataFrame, profile: str = "general") -> DataFrame:
+def session_features(turns: DataFrame, profile: str = "general", re2: bool = False) -> DataFrame:
     """One row per session: ids, n_student_turns, nlp_backend, lexicon_profile, the 25 features.
 
     Empty sessions, those of system turns alone, have no row. Null content counts as empty.
     """
     if "discipline" not in turns.columns:
         turns = turns.withColumn("discipline", F.lit(None).cast("string"))
-    rows = windows(turn_features(turns, profile))
+    rows = windows(turn_features(turns, profile, re2))
     user = F.col("role") == "user"
     of_user = lambda x: F.coalesce(F.sum(F.when(user, x)), F.lit(0))
     stop, vague = (F.array(*map(F.lit, x)) for x in (lexicon.STOPWORDS, lexicon.VAGUE))
@@ -119,7 +122,7 @@ def session_features(turns: DataFrame, profile: str = "general") -> DataFrame:
         of_user(F.size(F.filter("toks", lambda t: F.array_contains(vague, t)))).alias("vague"),
         of_user(F.size(F.filter("raw", lambda t: t.rlike("^[A-Z]")))).alias("caps"),
         F.min_by(F.get("raw", F.lit(0)).rlike("^[A-Z]"), F.when(user & (F.col("n_tok") > 0), F.col("turn"))).alias("first_cap"),
-        of_user(text.count(F.col("content"), r"(?U)\d")).alias("digits"),
+        of_user(text.digits(F.col("content"), re2)).alias("digits"),
         of_user(framing).alias("framing"),
         F.count(F.when(user & (F.col("c_error_assert") > 0), 1)).alias("errors"),
         F.count(F.when(user & (F.col("c_error_assert") > 0) & F.col("rechecked"), 1)).alias("rechecks"),
@@ -158,8 +161,8 @@ def student_features(sessions: DataFrame) -> DataFrame:
     return found
 
 
-def extract(turns: DataFrame, level: str = "student", profile: str = "general") -> DataFrame:
+def extract(turns: DataFrame, level: str = "student", profile: str = "general", re2: bool = False) -> DataFrame:
     if level not in ("session", "student"):
         raise ValueError("level must be 'session' or 'student'")
-    found = session_features(turns, profile)
+    found = session_features(turns, profile, re2)
     return found if level == "session" else student_features(found)
