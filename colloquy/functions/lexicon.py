@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import groupby
 from re import _parser as parser
 
 NOT_A_BACK_REFERENCE = r"(?<!\bfor )(?<!\bin )(?<!\bof )(?<!\bsee )(?<!\bstep )"
@@ -169,8 +170,12 @@ def in_re2(p: str) -> str:
 
 def pattern(name: str, family: str, re2: bool = False) -> str:
     """The family's pattern in Java's dialect."""
-    p = "|".join(profile(name)[family])
-    return RE2_FLAGS + in_re2(p) if re2 else FLAGS + p
+    alternatives = profile(name)[family]
+    if not re2:
+        return FLAGS + "|".join(alternatives)
+    # neighbours that begin at a boundary look for it once
+    parts = [r"\b(?:" + "|".join(p[2:] for p in ps) + ")" if at_boundary else "|".join(ps) for at_boundary, ps in groupby(alternatives, lambda p: p.startswith(r"\b"))]
+    return RE2_FLAGS + in_re2("|".join(parts))
 
 
 def _needed(parsed) -> set[str] | None:
